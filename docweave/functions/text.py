@@ -7,17 +7,20 @@ Unicode-aware string semantics the engine is specified with.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters Python treats as whitespace.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
+    "         　"
 )
 # The line breaks Python's splitlines knows besides "\n".
 OTHER_LINE_BREAKS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# One blank that is not a line break, and any run of blanks (Java regex, Unicode classes on).
+BLANK = r"(?:[^\S\n]|\x1f)"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # Question routes, the first being the default.
@@ -25,12 +28,21 @@ ROUTES = ("lookup", "relationship", "compliance-mapping")
 TRUNCATED = " [truncated]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, OTHER_LINE_BREAKS, "\n")
+    """Every line break as a plain newline; most texts pass on cheap byte tests alone."""
+    odd = c.rlike(r"[\r\x0b\x0c\x1c-\x1e]")
+    for mark in ("\x85", "\u2028", "\u2029"):
+        odd = odd | c.contains(mark)
+    return F.when(odd, F.regexp_replace(c, OTHER_LINE_BREAKS, "\n")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
@@ -153,5 +165,5 @@ def citation_label(title: Column, clause: Column, code_ref: Column, section: Col
 
 def markdown_title(text: Column, fallback: Column) -> Column:
     """Text of the first level-1 heading line, else the fallback."""
-    heading = r"(?m)(?U)^[^\S\n]*#(?!#)[^\S\n]*([^\n]*[^\s\x1c-\x1f][^\n]*)$"
+    heading = r"(?m)(?U)^" + BLANK + r"*#(?!#)([^\n]*[^\s\x1f][^\n]*)$"
     return F.coalesce(non_empty(strip(F.regexp_extract(unify_newlines(text), heading, 1))), fallback)
