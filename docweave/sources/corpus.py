@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators.joins import broadcast_if_small
 
 # Document classes in ingestion order, supported and skipped files.
 DOC_TYPES = ("regulatory", "security", "architecture", "code")
@@ -38,55 +39,62 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
 
 
-def file_parts(path: Column, root_name: str) -> list[Column]:
-    """rel (below the root), parts, name, class and stem of a file path."""
-    rel = F.regexp_extract(path, rf"(?s)/{root_name}/(.*)\z", 1)
-    parts = F.split(rel, "/")
-    name = F.element_at(parts, -1)
-    return [rel.alias("rel"), parts.alias("parts"), name.alias("name")]
-
-
-def walk(files: DataFrame, root_name: str = "data") -> DataFrame:
+def walk(files: DataFrame, root: str) -> DataFrame:
     """Ingestible files of a listing (column ``path``), with class, suffix and reading order.
 
     The class is the directory right below the root, however deep the file lies.
     """
-    listed = files.select("*", *file_parts(F.col("path"), root_name))
-    listed = listed.withColumn("doc_type", classify(F.get("parts", F.lit(0)))).withColumn(
-        "suffix", _suffix(F.col("name"))
-    )
+    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
+    parts = F.split("rel", "/")
+    listed = files.withColumn("rel", rel).withColumn("parts", parts)
+    listed = listed.withColumns(
+        {
+            "name": F.element_at("parts", -1),
+            "doc_type": classify(F.get("parts", F.lit(0))),
+        }
+    ).withColumn("suffix", _suffix(F.col("name")))
     return listed.where(
         F.col("doc_type").isNotNull()
         & (F.size("parts") > 1)
         & ~F.col("name").isin(*SKIPPED_NAMES)
         & ~F.col("name").startswith(".")
         & F.col("suffix").isin(*TEXT_SUFFIXES, *CODE_SUFFIXES, *PDF_SUFFIXES)
-    ).withColumn("class_order", F.array_position(F.array(*map(F.lit, DOC_TYPES)), F.col("doc_type")).cast("int"))
+    ).withColumns(
+        {
+            "class_order": F.array_position(F.array(*map(F.lit, DOC_TYPES)), F.col("doc_type")).cast("int"),
+            "stem": file_stem(F.col("name")),
+            "source_path": F.concat(F.lit(os.path.basename(root.rstrip("/")) + "/"), F.col("rel")),
+        }
+    )
 
 
-def assign_doc_ids(files: DataFrame, root_name: str = "data") -> DataFrame:
-    """The file stem, suffixed with a path hash for all but the first file of a stem.
+def later_namesakes(files: DataFrame) -> DataFrame:
+    """Paths of the files whose stem an earlier file already has.
 
-    Paths are unique, so the first files are joined back by path: however many
-    files share one stem, no task ever gathers them.
+    The first file of a stem comes from a pre-aggregated minimum and is taken
+    out by its unique path, so files sharing one stem are never gathered.
     """
-    stem = file_stem(F.col("name"))
-    first = (
-        files.groupBy(stem.alias("stem"))
-        .agg(F.min(F.struct("class_order", "parts", "path")).alias("winner"))
-        .select(F.col("winner.path").alias("path"), F.lit(True).alias("is_first"))
+    stems = files.groupBy("stem").agg(
+        F.min(F.struct("class_order", "parts", "path")).alias("first"), F.count("*").alias("n")
     )
-    source_path = F.concat(F.lit(f"{root_name}/"), F.col("rel"))
-    suffixed = F.concat(stem, F.lit("-"), F.substring(F.sha2(source_path, 256), 1, 8))
-    return files.join(first, "path", "left").select(
-        F.when(F.col("is_first"), stem).otherwise(suffixed).alias("doc_id"),
-        *[c for c in files.columns if c != "content"],
-        stem.alias("stem"),
-        source_path.alias("source_path"),
-        *[c for c in files.columns if c == "content"],
+    shared = stems.where(F.col("n") > 1)
+    return (
+        files.select("path", "stem")
+        .join(shared.select("stem"), "stem", "left_semi")
+        .join(shared.select(F.col("first.path").alias("path")), "path", "left_anti")
+        .select("path")
     )
 
 
+def with_doc_ids(files: DataFrame, namesakes: DataFrame) -> DataFrame:
+    """The file stem as document id, with a path hash behind it for later namesakes."""
+    suffixed = F.concat(F.col("stem"), F.lit("-"), F.substring(F.sha2("source_path", 256), 1, 8))
+    flagged = files.join(namesakes.withColumn("is_later", F.lit(True)), "path", "left")
+    return flagged.withColumn(
+        "doc_id", F.when(F.col("is_later"), suffixed).otherwise(F.col("stem"))
+    ).drop("is_later")
+
+
 def decode_text(content: Column) -> Column:
     """S3: bytes as UTF-8, undecodable ones replaced, in the JVM."""
     return F.make_valid_utf8(content.cast("string"))
@@ -104,22 +112,36 @@ def _pdf_reader(convert: Callable[[bytes], str] | None):
     return read
 
 
+def _any_case_glob(suffixes: tuple[str, ...]) -> str:
+    letters = ["".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in s) for s in suffixes]
+    return "*{" + ",".join(letters) + "}"
+
+
 def load_documents(
     spark: SparkSession, root: str, pdf_to_text: Callable[[bytes], str] | None = None
 ) -> DataFrame:
-    """Documents under ``root``: doc_id, doc_type, title, source_path, abs_path, text, reading order."""
-    if "://" not in root and not os.path.isdir(root):
-        raise FileNotFoundError(f"data directory not found: {root}")
-    root_name = os.path.basename(root.rstrip("/"))
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    )
-    files = assign_doc_ids(walk(listing, root_name), root_name)
-    is_pdf = F.col("suffix").isin(*PDF_SUFFIXES)
+    """Documents under ``root``: doc_id, doc_type, title, source_path, abs_path, text, reading order.
+
+    Document ids come from the listing alone. File contents are read once and
+    meet only the later namesakes, so texts are not shuffled for their ids.
+    """
+    if "://" not in root:
+        root = os.path.abspath(root)
+        if not os.path.isdir(root):
+            raise FileNotFoundError(f"data directory not found: {root}")
+
+    def files(glob: str) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return walk(reader.option("pathGlobFilter", glob).load(root).select("path", "content"), root)
+
+    namesakes = broadcast_if_small(later_namesakes(files("*").drop("content")))
     columns = ["doc_id", "doc_type", "source_path", "path", "stem", "class_order", "parts"]
-    texts = files.where(~is_pdf).select(*columns, decode_text(F.col("content")).alias("text"))
-    pdfs = files.where(is_pdf).select(*columns, _pdf_reader(pdf_to_text)("content").alias("text"))
-    return texts.unionByName(pdfs).select(
+    texts = with_doc_ids(files(_any_case_glob(TEXT_SUFFIXES + CODE_SUFFIXES)), namesakes)
+    pdfs = with_doc_ids(files(_any_case_glob(PDF_SUFFIXES)), namesakes)
+    read = texts.select(*columns, decode_text(F.col("content")).alias("text")).unionByName(
+        pdfs.select(*columns, _pdf_reader(pdf_to_text)("content").alias("text"))
+    )
+    return read.select(
         "doc_id",
         "doc_type",
         tx.markdown_title(F.col("text"), F.col("stem")).alias("title"),
@@ -131,27 +153,25 @@ def load_documents(
     )
 
 
-def resolve_source(path: Column) -> Column:
-    """S11 guard: path below the data root, or NULL when it climbs out of it.
+def resolve_source(path: Column, root: str) -> Column:
+    """S11 guard: path below the data root, or NULL when it leads out of it.
 
-    A leading "data/" is dropped, then "." and ".." are resolved as a file
-    system would; an absolute path or one that leaves the root is refused.
+    A leading "data/" is dropped, then "." and ".." are resolved against the
+    absolute root the way a file system does; the result must lie within it.
     """
-    rel = F.regexp_replace(path, r"^data/", "")
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(False).alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        up = part == ".."
-        return F.struct(
-            F.when(part.isin("", "."), acc["stack"])
-            .when(up, F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
-            .otherwise(F.concat(acc["stack"], F.array(part)))
-            .alias("stack"),
-            (acc["out"] | (up & (F.size(acc["stack"]) == 0))).alias("out"),
+    base = [p for p in root.split("/") if p]
+    rel = F.regexp_replace(path, "^data/", "")
+    home = F.array(*map(F.lit, base)).cast("array<string>")
+    empty = F.array().cast("array<string>")
+
+    def step(stack: Column, part: Column) -> Column:
+        return (
+            F.when(part.isin("", "."), stack)
+            .when(part == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+            .otherwise(F.concat(stack, F.array(part)))
         )
 
-    resolved = F.aggregate(F.split(rel, "/"), start, step)
-    return tx.let(
-        resolved,
-        lambda r: F.when(~r["out"] & ~rel.startswith("/"), F.array_join(r["stack"], "/")),
-    )
+    resolved = F.aggregate(F.split(rel, "/"), F.when(rel.startswith("/"), empty).otherwise(home), step)
+    inside = lambda s: F.slice(s, F.lit(1), F.lit(len(base))) == home
+    below = lambda s: F.slice(s, F.lit(len(base) + 1), F.greatest(F.size(s), F.lit(1)))
+    return tx.let(resolved, lambda s: F.when(inside(s), F.array_join(below(s), "/")))
