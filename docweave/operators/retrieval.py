@@ -134,14 +134,12 @@ class TextIndex:
     def write(chunks: DataFrame, path: str) -> None:
         """Range-clusters by (term, id), so a search prunes to its terms' row groups and the
         postings of a frequent term spread over many files."""
-        spark = chunks.sparkSession
         postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(
             "overwrite"
         ).parquet(f"{path}/postings")
         lengths = chunks.select(F.size(tx.tokens(F.col("text"))).alias("length"))
         stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        del spark
 
     @classmethod
     def read(cls, spark, path: str) -> "TextIndex":

@@ -36,7 +36,7 @@ class GraphStore:
         try:
             return self.spark.read.parquet(f"{self.path}/{table}")
         except AnalysisException as exc:
-            if exc.getCondition() == "PATH_NOT_FOUND":
+            if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
@@ -94,6 +94,8 @@ class GraphStore:
         self._write(merged.withColumn(BUCKET, self._bucket("label", "key")), "entities")
 
     def _upsert_edges(self, assertions: DataFrame, batch: DataFrame, mentions: DataFrame) -> None:
+        if self.read("entities") is None:
+            return
         entities = self._seen_entities(mentions)
         current = self.read("edges")
         if current is not None:
@@ -141,7 +143,10 @@ class GraphStore:
         }
         out = None
         for table, key in checks.items():
-            rows = gr.duplicate_keys(self.read(table), *key).select(
+            stored = self.read(table)
+            if stored is None:
+                continue
+            rows = gr.duplicate_keys(stored, *key).select(
                 F.lit(table).alias("table"), F.concat_ws(" | ", *key).alias("key"), "n"
             )
             out = rows if out is None else out.unionByName(rows)
