@@ -12,22 +12,33 @@ def json_text(content: Column) -> Column:
     """The object inside a reply: fence unwrapped, then first "{" to last "}"."""
     raw = tx.strip(F.coalesce(content, F.lit("")))
     fenced = r"(?s)^```(?:json)?\s*(.*?)\s*```\z"
-    body = tx.strip(F.when(raw.rlike(fenced), F.regexp_extract(raw, fenced, 1)).otherwise(raw))
-    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(inner != "", inner).otherwise(body)
+
+    def inner(body: Column) -> Column:
+        return F.coalesce(tx.non_empty(F.regexp_extract(body, r"(?s)(\{.*\})", 1)), body)
+
+    def unfenced(text: Column) -> Column:
+        wrapped = text.startswith("```") & text.endswith("```")
+        body = F.when(wrapped, tx.strip(F.coalesce(tx.non_empty(F.regexp_extract(text, fenced, 1)), text)))
+        return tx.let(F.coalesce(body, text), inner)
+
+    return tx.let(raw, unfenced)
 
 
 def parse_object(content: Column) -> Column:
     """The reply as a VARIANT object, NULL when it holds none."""
-    text = json_text(content)
-    return F.when(text.startswith("{"), F.try_parse_json(text))
+    return tx.let(json_text(content), lambda t: F.when(t.startswith("{"), F.try_parse_json(t)))
 
 
 def items(payload: Column, name: str) -> Column:
     """Array of VARIANT under ``name``: empty when missing, NULL when it is no list."""
-    value = F.variant_get(payload, f"$.{name}", "variant")
-    return F.when(value.isNull(), F.array().cast("array<variant>")).when(
-        F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(payload, f"$.{name}", "array<variant>")
+
+    def listed(value: Column) -> Column:
+        return F.when(value.isNull(), F.array().cast("array<variant>")).otherwise(
+            F.try_variant_get(value, "$", "array<variant>")
+        )
+
+    return tx.let(
+        payload, lambda p: F.when(p.isNotNull(), tx.let(F.variant_get(p, f"$.{name}", "variant"), listed))
     )
 
 
@@ -36,20 +47,26 @@ def is_object(item: Column) -> Column:
 
 
 def scalar(item: Column, name: str) -> Column:
-    """A scalar field as text, NULL for missing, null, list and object values."""
-    value = F.try_variant_get(item, f"$.{name}", "variant")
-
-    def text(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        plain = F.try_variant_get(v, "$", "string")
-        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"), None).otherwise(
-            F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+    """A scalar field as text, NULL for missing, null, list and object values.
+
+    The type is looked up only for texts that could come from another type.
+    """
+    path = f"$.{name}"
+
+    def text(t: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(item, path, "variant"))
+        nested = t.startswith("{") & kind.startswith("OBJECT") | t.startswith("[") & kind.startswith("ARRAY")
+        return F.when(nested, None).otherwise(
+            F.when(t.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(t)).otherwise(t)
         )
 
-    return tx.let(value, text)
+    return tx.let(F.try_variant_get(item, path, "string"), text)
 
 
 def first_truthy(item: Column, *names: str) -> Column:
     """The first field that holds a non-empty, non-zero scalar, "" when none does."""
-    options = [scalar(item, n) for n in names]
-    return F.coalesce(*[F.when(~o.isin("", "0", "0.0", "False"), o) for o in options], F.lit(""))
+
+    def truthy(name: str) -> Column:
+        return tx.let(scalar(item, name), lambda o: F.when(~o.isin("", "0", "0.0", "False"), o))
+
+    return F.coalesce(*map(truthy, names), F.lit(""))

@@ -202,6 +202,11 @@ def search(
     return fused.select("id", "score", "rrf_score", "rank")
 
 
+def pin(top: DataFrame) -> DataFrame:
+    """The k rows of a result as local rows, so that what is joined to them does not search again."""
+    return top.sparkSession.createDataFrame(top.collect(), top.schema)
+
+
 def fetch_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
     """result rows with text and location, NULLs as empty strings. ``top`` holds at most k rows."""
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", *RESULT_COLUMNS)]
