@@ -124,15 +124,18 @@ def index_terms(spark, sf_dir):
     )
 
 
-@query(
-    f"""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ts FROM benchmark),
+_GOLDEN_SPARSE_SQL = f"""q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ts FROM benchmark),
         qt AS (SELECT item_id, term, count(*) AS weight FROM (SELECT item_id, unnest(ts) AS term FROM q) GROUP BY ALL),
         {TOKENS_SQL},
         tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM toks) GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
         scores AS (SELECT item_id, tf.id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5))
              * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * len(ts) / mean))), 9) AS score
-           FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN toks ON toks.id = tf.id, corpus GROUP BY ALL)
+           FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN toks ON toks.id = tf.id, corpus GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_GOLDEN_SPARSE_SQL}
         SELECT item_id AS query_id, id, round(score, 6) AS score,
                row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank
         FROM scores QUALIFY rank <= {K}"""
@@ -143,6 +146,30 @@ def golden_bm25(spark, sf_dir):
     return _rounded(br.bm25_top_k(_texts(spark, sf_dir), questions, K), "score")
 
 
+@query(
+    f"""WITH {_GOLDEN_SPARSE_SQL},
+        sparse AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= {K}),
+        near AS (SELECT q.vec_id AS item_id, e.vec_id AS id, round((1 + list_cosine_similarity(
+              CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, 9) AS score
+            FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings e),
+        dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= {K}),
+        lists AS (SELECT *, 0 AS list FROM dense UNION ALL SELECT *, 1 FROM sparse),
+        sums AS (SELECT item_id, id, sum(1.0::DOUBLE / ({RRF_K} + rank)) AS rrf_score, arg_min(score, list * 1000 + rank) AS score,
+                   min(list * 1000 + rank) AS seen FROM lists GROUP BY item_id, id)
+        SELECT item_id AS query_id, id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score,
+               row_number() OVER (PARTITION BY item_id ORDER BY round(rrf_score, 12) DESC, seen) AS rank
+        FROM sums QUALIFY rank <= {K}"""
+)
+def golden_hybrid(spark, sf_dir):
+    """E3 in hybrid mode for the whole question set; an item's vector is the one with its number."""
+    items = table(spark, sf_dir, "benchmark").join(
+        table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")
+    )
+    questions = [(r["item_id"], r["text"], r["embedding"]) for r in items.toLocalIterator()]
+    found = br.hybrid_top_k(_chunks(spark, sf_dir), questions, K, RRF_K)
+    return _rounded(found, "score", "rrf_score")
+
+
 @query(
     f"""WITH dims AS (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x,
             generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d),
