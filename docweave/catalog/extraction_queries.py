@@ -165,7 +165,7 @@ relations AS (SELECT *, CASE WHEN verdict = 'kept' AND row_number() OVER (
     f"""WITH {RELATIONS_SQL} SELECT doc_type, rel_type, reason, CAST(count(*) AS BIGINT) AS n FROM relations GROUP BY ALL"""
 )
 def relation_reasons(spark, sf_dir):
-    judged = ex.relation_verdicts(_replies(spark, sf_dir), SCHEMA, "doc_type")
+    judged = ex.mark_duplicates(ex.relation_verdicts(_replies(spark, sf_dir), SCHEMA, "event_id", "doc_type"), "event_id")
     return judged.groupBy("doc_type", "rel_type", "reason").agg(F.count("*").alias("n"))
 
 
@@ -175,7 +175,7 @@ def relation_reasons(spark, sf_dir):
 )
 def kept_relations(spark, sf_dir):
     judged = ex.relation_verdicts(_replies(spark, sf_dir), SCHEMA, "event_id")
-    return judged.where(F.col("reason") == ex.KEPT).select("event_id", *ex.EDGE)
+    return ex.kept_relations(judged, "event_id").select("event_id", *ex.EDGE)
 
 
 @query(

@@ -42,31 +42,26 @@ def items(payload: Column, name: str) -> Column:
     )
 
 
-def is_object(item: Column) -> Column:
-    return F.schema_of_variant(item).startswith("OBJECT")
+def fields(item: Column) -> Column:
+    """The scalar fields of an object as text by name; NULL for an item that is no object.
 
-
-def scalar(item: Column, name: str) -> Column:
-    """A scalar field as text, NULL for missing, null, list and object values.
-
-    The type is looked up only for texts that could come from another type.
+    Null, list and object values become NULL. The type is looked up only for
+    texts that could come from another type.
     """
-    path = f"$.{name}"
 
-    def text(t: Column) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(item, path, "variant"))
+    def text(t: Column, value: Column) -> Column:
+        kind = F.schema_of_variant(value)
         nested = t.startswith("{") & kind.startswith("OBJECT") | t.startswith("[") & kind.startswith("ARRAY")
-        return F.when(nested, None).otherwise(
-            F.when(t.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(t)).otherwise(t)
-        )
+        return F.when(nested, None).when(t.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(t)).otherwise(t)
 
-    return tx.let(F.try_variant_get(item, path, "string"), text)
-
-
-def first_truthy(item: Column, *names: str) -> Column:
-    """The first field that holds a non-empty, non-zero scalar, "" when none does."""
+    return F.transform_values(
+        F.try_variant_get(item, "$", "map<string,variant>"),
+        lambda _, v: tx.let(F.try_variant_get(v, "$", "string"), lambda t: text(t, v)),
+    )
 
-    def truthy(name: str) -> Column:
-        return tx.let(scalar(item, name), lambda o: F.when(~o.isin("", "0", "0.0", "False"), o))
 
-    return F.coalesce(*map(truthy, names), F.lit(""))
+def first_truthy(values: Column, *names: str) -> Column:
+    """The first of the named fields that holds a non-empty, non-zero scalar, "" when none does."""
+    named = F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(values, n))
+    found = F.filter(named, lambda v: v.isNotNull() & ~v.isin("", "0", "0.0", "False"))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))

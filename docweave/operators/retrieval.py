@@ -58,38 +58,34 @@ def bm25_weight(tf: Column, length: Column, mean_length: Column | float) -> Colu
 def bm25_top_k(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """R2 straight from the texts: id, score, rank. An empty query finds nothing.
 
-    Two scans, no shuffle but of one statistics row per task: the first counts
-    documents, lengths and the document frequency of each query term; the
-    second scores inside the row. See TextIndex for searching stored postings.
+    Two scans and no shuffle but of one statistics row per task: the first
+    counts documents, lengths and the document frequency of each query term;
+    the second scores inside the row and keeps the best. See TextIndex for
+    searching stored postings.
     """
     terms = query_terms(query)
     names = sorted(terms)
-    wanted = F.array(*map(F.lit, names)).cast("array<string>")
-
-    def frequencies(toks: Column) -> Column:
-        hits = F.filter(toks, lambda t: t.isin(*names))
-        return F.transform(wanted, lambda w: F.size(F.filter(hits, lambda t: t == w)))
-
+    if not names:
+        return _ranked(chunks.select("id", F.lit(0.0).alias("score")).limit(0))
+    hits = F.filter("toks", lambda t: t.isin(*names))
     counted = chunks.select("id", tx.tokens(F.col("text")).alias("toks")).select(
-        "id", F.size("toks").alias("length"), frequencies(F.col("toks")).alias("tf")
+        "id", F.size("toks").alias("length"), hits.alias("hits")
     )
-    if not names:
-        return _ranked(counted.select("id", F.lit(0.0).alias("score")).where(F.lit(False)))
     stats = counted.agg(
         F.count("*").alias("n"),
         F.avg("length").alias("mean"),
-        *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(names))],
+        *[F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(names)],
     ).first()
-    score = reduce(
-        lambda a, b: a + b,
-        [
-            F.lit(terms[t] * idf(stats["n"], stats[f"df{i}"]))
-            * bm25_weight(F.col("tf")[i], F.col("length"), stats["mean"] or 1.0)
-            for i, t in enumerate(names)
-        ],
-    )
-    matching = counted.where(F.exists("tf", lambda f: f > 0))
-    return _ranked(matching.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k))
+    score = F.lit(0.0)
+    for i, t in enumerate(names):
+        tf = F.size("hits") - F.size(F.array_remove("hits", t))
+        weight = terms[t] * idf(stats["n"], stats[f"df{i}"])
+        score = score + F.lit(weight) * bm25_weight(tf, F.col("length"), stats["mean"] or 1.0)
+    # Chunks without a hit sort last and are dropped behind the limit: a filter
+    # before it would move below the tokenizer and repeat its work.
+    scored = counted.select("id", F.when(F.size("hits") > 0, score).alias("score"))
+    top = scored.orderBy(F.desc_nulls_last("score"), "id").limit(k)
+    return _ranked(top.where(F.col("score").isNotNull()))
 
 
 def term_frequencies(toks: Column) -> Column:

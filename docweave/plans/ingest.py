@@ -65,7 +65,7 @@ class Ingest:
             ),
             timings,
         )
-        relations = ex.relation_verdicts(replies, self.schema, *keep).where(F.col("reason") == ex.KEPT)
+        relations = ex.kept_relations(ex.relation_verdicts(replies, self.schema, *keep), *keep)
         started = time.monotonic()
         self.store.apply(
             documents.select("doc_id", "title", "doc_type", "source_path"), chunks, mentions, relations
