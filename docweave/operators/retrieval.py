@@ -18,12 +18,15 @@ from docweave.functions import vector as vec
 BM25_K1 = 1.2
 BM25_B = 0.75
 
+# Scores that agree to this many digits are ties, however the sums were ordered.
+SCORE_DIGITS = 9
+
 RESULT_COLUMNS = ("section", "clause", "code_ref")
 
 
 def _ranked(top: DataFrame) -> DataFrame:
     """Adds the rank by (score, id) to a list that is already cut to its top rows."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", SCORE_DIGITS)), "id")
     return top.withColumn("rank", F.row_number().over(order))
 
 
@@ -33,9 +36,11 @@ def dense_top_k(chunks: DataFrame, query: Sequence[float], k: int, vector: str =
     Only ids and vectors are read, each task keeps its k best, and one task
     merges k rows per task.
     """
-    scored = chunks.select("id", vec.cosine_to(query)(vector).alias("cosine")).where(F.col("cosine").isNotNull())
-    top = scored.withColumn("score", vec.similarity_score(F.col("cosine"))).orderBy(F.desc("score"), "id").limit(k)
-    return _ranked(top)
+    scored = chunks.select("id", vec.cosine_to(query)(vector).alias("cosine"))
+    # Rows without a usable vector sort last and are dropped behind the limit,
+    # so the scoring function appears in the plan once.
+    top = scored.orderBy(F.desc_nulls_last(F.round("cosine", SCORE_DIGITS)), "id").limit(k)
+    return _ranked(top.where(F.col("cosine").isNotNull()).withColumn("score", vec.similarity_score(F.col("cosine"))))
 
 
 # -------------------------------------------------------------------- sparse
@@ -84,7 +89,7 @@ def bm25_top_k(chunks: DataFrame, query: str, k: int) -> DataFrame:
     # Chunks without a hit sort last and are dropped behind the limit: a filter
     # before it would move below the tokenizer and repeat its work.
     scored = counted.select("id", F.when(F.size("hits") > 0, score).alias("score"))
-    top = scored.orderBy(F.desc_nulls_last("score"), "id").limit(k)
+    top = scored.orderBy(F.desc_nulls_last(F.round("score", SCORE_DIGITS)), "id").limit(k)
     return _ranked(top.where(F.col("score").isNotNull()))
 
 
@@ -154,7 +159,7 @@ class TextIndex:
         scored = found.groupBy("id").agg(
             F.sum(weight * bm25_weight(F.col("tf"), F.col("length"), self.mean_length)).alias("score")
         )
-        return _ranked(scored.orderBy(F.desc("score"), "id").limit(k))
+        return _ranked(scored.orderBy(F.desc(F.round("score", SCORE_DIGITS)), "id").limit(k))
 
 
 # -------------------------------------------------------------------- fusion
