@@ -34,7 +34,9 @@ class GraphStore:
 
     def read(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{table}")
+            stored = self.spark.read.parquet(f"{self.path}/{table}")
+            # See _upsert_edges for the rows without a type.
+            return stored.where(F.col("rel_type").isNotNull()) if table == "edges" else stored
         except AnalysisException as exc:
             if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
@@ -97,7 +99,7 @@ class GraphStore:
         if self.read("entities") is None:
             return
         entities = self._seen_entities(mentions)
-        current = self.read("edges")
+        current, touched = self.read("edges"), []
         if current is not None:
             owned = current.join(
                 batch.select(F.col("doc_id").alias("source_document")), "source_document", "left_semi"
@@ -107,8 +109,11 @@ class GraphStore:
             if not touched:
                 return
             current = current.where(F.col(BUCKET).isin(*touched))
-        edges = gr.upsert_edges(current, assertions, entities, batch)
-        self._write(edges.withColumn(BUCKET, self._bucket(*gr.EDGE)), "edges")
+        edges = gr.upsert_edges(current, assertions, entities, batch).withColumn(BUCKET, self._bucket(*gr.EDGE))
+        # A bucket whose last edge goes must still be overwritten, so every
+        # touched bucket gets one row that stands for no edge.
+        marks = self.spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int")
+        self._write(edges.unionByName(marks, allowMissingColumns=True), "edges")
 
     def _seen_entities(self, mentions: DataFrame) -> DataFrame:
         """Stored entities with the write that first made them visible in this batch.
