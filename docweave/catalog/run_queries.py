@@ -14,6 +14,7 @@ from docweave.plans import evaluation, runs
 from docweave.plans.agent import Agent
 from docweave.plans.graph_schema import GraphSchema
 from docweave.plans.llm import ScriptedModel
+from docweave.session import stored
 
 
 @query(
@@ -140,7 +141,9 @@ def citation_hits(spark, sf_dir):
 @query()
 def scripted_run(spark, sf_dir):
     """One question through the whole agent with a scripted model, its events as rows."""
-    chunks = embed_chunks(_window_chunks(spark, sf_dir), lambda: HashingEmbedder(WIDTH), EngineConfig(embedding_dim=WIDTH))
+    embedded = embed_chunks(_window_chunks(spark, sf_dir), lambda: HashingEmbedder(WIDTH), EngineConfig(embedding_dim=WIDTH))
+    # The agent searches the chunk table several times; vectors are made once.
+    chunks = stored(embedded, "chunks")
     model = ScriptedModel(
         [
             "relationship asks how suppliers reach regions",

@@ -92,9 +92,10 @@ def score_citations(expected: DataFrame, citations: DataFrame, by: Sequence[str]
     expected: by, expectation, doc_title_contains, clause (NULL: any).
     citations: by, position, title, section, clause.
     """
-    cited = citations.select(
-        *by, "position", F.col("title").alias("cited_title"), F.col("section").alias("cited_section"), F.col("clause").alias("cited_clause")
-    )
+    # A run cites the same place many times at most; one row per place is enough to find the first.
+    cited = citations.groupBy(
+        *by, F.col("title").alias("cited_title"), F.col("clause").alias("cited_clause")
+    ).agg(F.min(F.struct("position", "section")).alias("cited"))
     fulfils = F.lower(F.coalesce("cited_title", F.lit(""))).contains(F.lower("doc_title_contains")) & (
         F.col("clause").isNull() | (F.coalesce("cited_clause", F.lit("")) == F.col("clause"))
     )
@@ -103,12 +104,12 @@ def score_citations(expected: DataFrame, citations: DataFrame, by: Sequence[str]
         expected.join(cited, list(by))
         .where(fulfils)
         .groupBy(*keys)
-        .agg(F.min_by("cited_section", "position").alias("matched_section"), F.lit(True).alias("hit"))
+        .agg(F.min("cited").alias("cited"), F.lit(True).alias("hit"))
     )
     return expected.join(first, list(keys), "left").select(
         *expected.columns,
         F.coalesce("hit", F.lit(False)).alias("hit"),
-        F.coalesce("matched_section", F.lit("")).alias("matched_section"),
+        F.coalesce("cited.section", F.lit("")).alias("matched_section"),
     )
 
 

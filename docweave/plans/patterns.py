@@ -113,7 +113,7 @@ class Match:
 
 
 def path_counts(graph: Graph, start_label: str, *hops: tuple[str, str, str]) -> DataFrame:
-    """How many paths lead to each end node, and from how many starts the pattern can begin.
+    """How many paths lead to each end node.
 
     Hops are (type, direction, label). Counts are summed per node after every
     hop, so a hub with many edges in and out costs their sum, never their
@@ -125,11 +125,11 @@ def path_counts(graph: Graph, start_label: str, *hops: tuple[str, str, str]) ->
         step = _directed(graph.edges, (rel_type,), direction).where(
             (F.col("from_label") == label) & (F.col("to_label") == next_label)
         )
-        parallel = step.groupBy("from_key", "to_key").agg(F.count("*").alias("n"))
+        # One row per node on the left, so the join yields each edge at most once.
         here = (
-            here.join(parallel, here["key"] == parallel["from_key"])
+            here.join(step.select("from_key", "to_key"), F.col("key") == F.col("from_key"))
             .groupBy(F.col("to_key").alias("key"))
-            .agg(F.sum(F.col("paths") * F.col("n")).alias("paths"))
+            .agg(F.sum("paths").alias("paths"))
         )
         label = next_label
     return here
