@@ -40,7 +40,7 @@ class HashingEmbedder:
         return [self.embed_query(t) for t in texts]
 
 
-class FastEmbedEmbedder:
+class OnnxEmbedder:
     """CPU ONNX embedder, available where the optional fastembed package is installed."""
 
     def __init__(self, model_name: str = "mixedbread-ai/mxbai-embed-large-v1"):

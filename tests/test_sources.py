@@ -136,12 +136,12 @@ def test_broken_log_stream_and_watchdog():
     assert codes == [75]
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    class Conf:
-        def get(self, name, default):
-            return {"spark.checkpoint.dir": str(tmp_path)}.get(name, default)
+def test_shared_folder_follows_the_session(tmp_path):
+    def session(master, **settings):
+        conf = SimpleNamespace(get=lambda name, default: settings.get(name.replace(".", "_"), default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
-    assert shared_folder(SimpleNamespace(conf=Conf())) == str(tmp_path)
-    cluster = SimpleNamespace(conf=spark.conf, sparkContext=SimpleNamespace(master="yarn"))
+    assert shared_folder(session("yarn", spark_checkpoint_dir=str(tmp_path))) == str(tmp_path)
+    assert "docweave-" in shared_folder(session("local[2]"))
     with pytest.raises(RuntimeError):
-        shared_folder(cluster)
+        shared_folder(session("yarn"))
