@@ -26,6 +26,9 @@ scored AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[
 dense AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank
           FROM (SELECT id, cosine, (1 + cosine) / 2 AS score FROM scored WHERE cosine IS NOT NULL) QUALIFY rank <= {K})"""
 
+# The same over the vectors of documents only.
+OF_DOCUMENTS = (" FROM embeddings)", " FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
+
 _TERMS = rt.query_terms(QUESTION)
 _TERM_ROWS = ", ".join(f"('{t}', {n})" for t, n in sorted(_TERMS.items()))
 TOKENS_SQL = """toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ts FROM documents),
@@ -43,6 +46,7 @@ lists AS (SELECT id, score, 0 AS list, rank FROM dense UNION ALL SELECT id, scor
 sums AS (SELECT id, sum(1.0::DOUBLE / ({RRF_K} + rank)) AS rrf_score, arg_min(score, list * 1000 + rank) AS score,
            min(list * 1000 + rank) AS seen FROM lists GROUP BY id),
 fused AS (SELECT *, row_number() OVER (ORDER BY round(rrf_score, 12) DESC, seen) AS rank FROM sums)"""
+FUSED_CHUNKS_SQL = FUSED_SQL.replace(*OF_DOCUMENTS)
 
 
 def _vectors(spark, sf_dir):
@@ -82,7 +86,7 @@ def fused_top_k(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FUSED_SQL} SELECT 'hybrid' AS mode, id, round(score, 6) AS score, rank FROM fused WHERE rank <= {K}
+    f"""WITH {FUSED_CHUNKS_SQL} SELECT 'hybrid' AS mode, id, round(score, 6) AS score, rank FROM fused WHERE rank <= {K}
         UNION ALL SELECT 'vector', id, round(score, 6), rank FROM dense"""
 )
 def retrieval_modes(spark, sf_dir):
@@ -151,7 +155,7 @@ def golden_bm25(spark, sf_dir):
         sparse AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= {K}),
         near AS (SELECT q.vec_id AS item_id, e.vec_id AS id, round((1 + list_cosine_similarity(
               CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, 9) AS score
-            FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings e),
+            FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
         dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= {K}),
         lists AS (SELECT *, 0 AS list FROM dense UNION ALL SELECT *, 1 FROM sparse),
         sums AS (SELECT item_id, id, sum(1.0::DOUBLE / ({RRF_K} + rank)) AS rrf_score, arg_min(score, list * 1000 + rank) AS score,
@@ -252,7 +256,7 @@ def citations(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FUSED_SQL} SELECT rank, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score,
+    f"""WITH {FUSED_CHUNKS_SQL} SELECT rank, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score,
           CAST(id AS VARCHAR) AS doc_id, 'Document ' || id AS title, lang AS doc_type, 'data/' || source || '.md' AS source_path
         FROM fused JOIN documents ON doc_id = id WHERE rank <= {K}"""
 )
