@@ -141,12 +141,12 @@ def skipped_edges(spark, sf_dir):
 def replaced_edges(spark, sf_dir):
     """K5 on edges: urgent orders are ingested again and now link every supplier to itself."""
     _, relations = _line_batch(spark, sf_dir)
-    everything = F.struct(F.lit(-1).cast("long").alias("doc"), F.lit(-1).cast("long").alias("chunk"))
+    before_all = gr.before_batch(relations)
     ends = lambda s: relations.select(F.col(f"{s}_label").alias("label"), F.col(f"{s}_key").alias("key"))
     entities = (
         ends("source").unionByName(ends("target"))
         .unionByName(ends("target").withColumn("label", F.lit("Part")))
-        .distinct().withColumn("first_seen", everything)
+        .distinct().withColumn("first_seen", before_all)
     )
     before = gr.upsert_edges(None, gr.last_assertions(relations), entities, None)
     urgent = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(_string("o_orderkey").alias("doc_id"))

@@ -358,11 +358,9 @@ def chunk_documents(docs: DataFrame, config: EngineConfig = EngineConfig(), *kee
     """
     size, overlap = config.chunk_size, config.chunk_overlap
     keep = ("doc_id", "doc_type", *keep)
-    is_python = F.coalesce(
-        (F.col("doc_type") == "code") & F.col("source_path").rlike(r"[^/]\.py\z"), F.lit(False)
-    )
+    is_python = (F.col("doc_type") == "code") & F.col("source_path").rlike(r"[^/]\.py\z")
     prose = explode_chunks(
-        docs.where(~is_python),
+        docs.where(~F.coalesce(is_python, F.lit(False))),
         F.when(
             F.col("doc_type").isin("regulatory", "security"), clause_chunks(F.col("text"), size, overlap)
         ).otherwise(heading_chunks(F.col("text"), size, overlap)),

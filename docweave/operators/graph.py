@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 EDGE = ("rel_type", "source_label", "source_key", "target_label", "target_key")
 PROVENANCE = ("source_chunk", "source_document")
-BEFORE_BATCH = -1
 
 
 def replace_documents(current: DataFrame, batch: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -28,8 +27,15 @@ def attached_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
 
 
-def write_order(doc_order: str = "doc_order", chunk_index: str = "chunk_index") -> Column:
-    return F.struct(F.col(doc_order).cast("long").alias("doc"), F.col(chunk_index).cast("long").alias("chunk"))
+def write_order() -> Column:
+    """When a row was written. ``doc_order`` may be of any sortable type."""
+    return F.struct(F.col("doc_order").alias("doc"), F.col("chunk_index").cast("long").alias("chunk"))
+
+
+def before_batch(rows: DataFrame) -> Column:
+    """A write order below all of the batch's: NULL fields sort first."""
+    kind = rows.schema["doc_order"].dataType
+    return F.struct(F.lit(None).cast(kind).alias("doc"), F.lit(None).cast("long").alias("chunk"))
 
 
 def _last_value(prop: str) -> Column:
@@ -44,8 +50,8 @@ def upsert_entities(current: DataFrame | None, mentions: DataFrame, properties:
     """
     rows = mentions.select("label", "key", *properties, write_order().alias("written"))
     if current is not None:
-        before = F.struct(F.lit(BEFORE_BATCH).cast("long").alias("doc"), F.lit(BEFORE_BATCH).cast("long").alias("chunk"))
-        rows = current.select("label", "key", *properties, before.alias("written")).unionByName(rows)
+        before = before_batch(mentions).alias("written")
+        rows = current.select("label", "key", *properties, before).unionByName(rows)
     return rows.groupBy("label", "key").agg(
         *[_last_value(p) for p in properties], F.min("written").alias("first_seen")
     )

@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
@@ -44,7 +44,11 @@ class Ingest:
         if stored is None:
             started = time.monotonic()
             # Only a finished write leaves the files a later read finds.
-            make().write.mode("overwrite").parquet(f"{self.store.path}/{table}")
+            writer = make().write.mode("overwrite")
+            if name == "documents":
+                # The chunkers read classes apart.
+                writer = writer.partitionBy("doc_type")
+            writer.parquet(f"{self.store.path}/{table}")
             timings[name] = time.monotonic() - started
             stored = self.spark.read.parquet(f"{self.store.path}/{table}")
         return stored
@@ -74,10 +78,8 @@ class Ingest:
         return self.summary(chunks, replies, mentions, relations) | {"seconds": timings}
 
     def _ordered_documents(self, root: str) -> DataFrame:
-        """Documents with their place in the reading order, joined back by their unique path."""
         docs = load_documents(self.spark, root, self.pdf_to_text)
-        places = reading_order(docs.select("source_path", "class_order", "parts"))
-        return docs.drop("class_order", "parts").join(places, "source_path")
+        return docs.withColumn("doc_order", reading_order()).drop("class_order", "parts")
 
     def _embedded_chunks(self, documents: DataFrame) -> DataFrame:
         return embed_chunks(chunk_documents(documents, self.config), self.make_embedder, self.config)
@@ -110,9 +112,9 @@ class Ingest:
         }
 
 
-def reading_order(files: DataFrame, key: str = "source_path") -> DataFrame:
-    """key, doc_order: increasing with (class, path parts), numbered without gathering the files."""
-    ranged = files.repartitionByRange("class_order", "parts").sortWithinPartitions("class_order", "parts")
-    # monotonically_increasing_id numbers rows in partition order, then in row
-    # order; the order is all that is needed, gaps do no harm.
-    return ranged.select(key, F.monotonically_increasing_id().alias("doc_order"))
+def reading_order() -> Column:
+    """A text that sorts as (class, path components) does, so no file needs to be numbered.
+
+    The separator sorts below every character of a path.
+    """
+    return F.concat_ws("\0", F.col("class_order").cast("string"), F.col("parts"))

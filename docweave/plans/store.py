@@ -124,7 +124,7 @@ class GraphStore:
         seen = mentions.groupBy("label", "key").agg(
             F.min(gr.write_order()).alias("first_seen"), F.max("is_new").alias("is_new")
         )
-        before = F.struct(F.lit(-1).cast("long").alias("doc"), F.lit(-1).cast("long").alias("chunk"))
+        before = gr.before_batch(mentions)
         stored = self.read("entities").select("label", "key")
         return stored.join(seen, ["label", "key"], "left").select(
             "label", "key", F.when(F.col("is_new"), F.col("first_seen")).otherwise(before).alias("first_seen")
