@@ -146,8 +146,10 @@ _GOLDEN_SPARSE_SQL = f"""q AS (SELECT item_id, regexp_extract_all(lower(text), '
 )
 def golden_bm25(spark, sf_dir):
     """Every benchmark item as a question, answered in one pass over the documents."""
-    questions = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").toLocalIterator()]
-    return _rounded(br.bm25_top_k(_texts(spark, sf_dir), questions, K), "score")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    texts = _texts(spark, sf_dir)
+    found = br.answer_all(questions, lambda rows: br.bm25_top_k(texts, [tuple(r) for r in rows], K))
+    return _rounded(found, "score")
 
 
 @query(
@@ -166,11 +168,13 @@ def golden_bm25(spark, sf_dir):
 )
 def golden_hybrid(spark, sf_dir):
     """E3 in hybrid mode for the whole question set; an item's vector is the one with its number."""
-    items = table(spark, sf_dir, "benchmark").join(
-        table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")
+    questions = (
+        table(spark, sf_dir, "benchmark")
+        .join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id"))
+        .select(F.col("item_id").alias("query_id"), "text", "embedding")
     )
-    questions = [(r["item_id"], r["text"], r["embedding"]) for r in items.toLocalIterator()]
-    found = br.hybrid_top_k(_chunks(spark, sf_dir), questions, K, RRF_K)
+    chunks = _chunks(spark, sf_dir)
+    found = br.answer_all(questions, lambda rows: br.hybrid_top_k(chunks, [tuple(r) for r in rows], K, RRF_K))
     return _rounded(found, "score", "rrf_score")
 
 
@@ -189,8 +193,12 @@ def golden_dense(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     means = vectors.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
     centers = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("c"))
-    questions = [(r["label"], [e["x"] for e in r["c"]]) for r in centers.toLocalIterator()]
-    return _rounded(br.dense_top_k(_vectors(spark, sf_dir), questions, K), "score")
+    questions = centers.select(
+        F.col("label").cast("long").alias("query_id"), F.transform("c", lambda e: e["x"]).alias("center")
+    )
+    chunks = _vectors(spark, sf_dir)
+    found = br.answer_all(questions, lambda rows: br.dense_top_k(chunks, [tuple(r) for r in rows], K))
+    return _rounded(found, "score")
 
 
 @query(

@@ -7,19 +7,23 @@ however many chunks match.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vector as vec
 from docweave.operators import retrieval as rt
+from docweave.session import shared_folder
 
+# The driver holds at most about this many questions at a time.
+QUESTIONS_AT_ONCE = 4096
 # A question slice is shipped to every task; larger sets take one scan per slice.
 SLICE_BYTES = 64 << 20
 ROWS_AT_ONCE = 512
@@ -67,6 +71,11 @@ def _top(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nothing(chunks: DataFrame) -> DataFrame:
+    empty = chunks.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    return _top(empty, 1)
+
+
 def _arrow_type(df: DataFrame) -> tuple[str, pa.DataType]:
     """Chunk ids are strings or longs."""
     kind = df.schema["id"].dataType.simpleString()
@@ -83,6 +92,8 @@ def dense_top_k(chunks: DataFrame, questions: Sequence[tuple[int, Sequence[float
     """R1 for (query_id, vector) questions: query_id, id, score, rank."""
     kind, id_type = _arrow_type(chunks)
     schema = pa.schema([("query_id", pa.int64()), ("id", id_type), ("score", pa.float64())])
+    if not questions:
+        return _nothing(chunks)
 
     def scan(part: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
         names = [q for q, _ in part]
@@ -98,7 +109,7 @@ def dense_top_k(chunks: DataFrame, questions: Sequence[tuple[int, Sequence[float
 
         return chunks.select("id", "embedding").mapInArrow(best, f"query_id long, id {kind}, score double")
 
-    width = len(questions[0][1]) if questions else 1
+    width = len(questions[0][1])
     return _top(reduce(DataFrame.unionByName, map(scan, _slices(questions, 8 * width))), k)
 
 
@@ -116,6 +127,8 @@ def bm25_top_k(chunks: DataFrame, questions: Sequence[tuple[int, str]], k: int)
     """R2 for (query_id, text) questions: query_id, id, score, rank. Two scans per question slice."""
     kind, id_type = _arrow_type(chunks)
     schema = pa.schema([("query_id", pa.int64()), ("id", id_type), ("score", pa.float64())])
+    if not questions:
+        return _nothing(chunks)
     tokenized = chunks.select("id", tx.tokens(F.col("text")).alias("toks"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +175,24 @@ def bm25_top_k(chunks: DataFrame, questions: Sequence[tuple[int, str]], k: int)
     return _top(reduce(DataFrame.unionByName, map(scan, _slices(questions, 4096))), k)
 
 
+def answer_all(questions: DataFrame, answer: Callable[[list[Row]], DataFrame], path: str | None = None) -> DataFrame:
+    """``answer(rows)`` for a question table of any size (unique column query_id).
+
+    A set that fits the driver's share is answered directly. A larger one is
+    cut by hash, and the answers of each part are appended to a table in the
+    shared folder, so neither the driver nor a plan ever holds all questions.
+    """
+    parts = -(-questions.count() // QUESTIONS_AT_ONCE)
+    if parts <= 1:
+        return answer(questions.collect())
+    spark = questions.sparkSession
+    path = path or f"{shared_folder(spark).rstrip('/')}/docweave/answers-{uuid.uuid4().hex}"
+    code = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    for part in range(parts):
+        answer(questions.where(code == part).collect()).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def hybrid_top_k(
     chunks: DataFrame,
     questions: Sequence[tuple[int, str, Sequence[float]]],

@@ -137,3 +137,29 @@ def test_embedding_batches_and_width(spark):
     texts = spark.createDataFrame([("a b",), ("",)], "text string")
     out = em.embed_chunks(texts, lambda: em.HashingEmbedder(8), EngineConfig(embedding_dim=8)).collect()
     assert [len(r["embedding"]) for r in out] == [8, 8]
+
+
+def test_large_question_sets_are_answered_in_parts(spark, chunks, monkeypatch, tmp_path):
+    questions = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha", "beta", "gamma", "delta", "nothing"])], "query_id long, text string")
+    texts = chunks.where("text is not null")
+    answer = lambda rows: br.bm25_top_k(texts, [tuple(r) for r in rows], 3)
+    whole = sorted(map(tuple, br.answer_all(questions, answer).collect()))
+    monkeypatch.setattr(br, "QUESTIONS_AT_ONCE", 2)
+    parts = br.answer_all(questions, answer, str(tmp_path / "answers"))
+    assert sorted(map(tuple, parts.select("query_id", "id", "score", "rank").collect())) == whole
+    assert len({q for q, *_ in whole}) == 4
+
+
+def test_hot_run_keeps_whole_results(spark):
+    """A third of all rows in one run: same result as a plain loop."""
+    rows = [("hot" if i % 3 == 0 else f"r{i % 50}", i, str(i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run string, seq long, id string").repartition(7)
+    expected = {}
+    for run, seq, id_ in rows:
+        seen = expected.setdefault(run, [])
+        if id_ not in seen:
+            seen.append(id_)
+    got = {}
+    for r in rt.merge_context(df, "seq", 24, by=["run"]).orderBy("run", "position").collect():
+        got.setdefault(r["run"], []).append(r["id"])
+    assert got == {run: ids[:24] for run, ids in expected.items()}
