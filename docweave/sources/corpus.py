@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,38 @@ def _pdf_reader(convert: Callable[[bytes], str] | None):
     return read
 
 
+def _unseen_by_reader(component: str) -> bool:
+    """Path components that Spark's file listing passes over."""
+    return (
+        component.startswith(".")
+        or (component.startswith("_") and "=" not in component)
+        or component.endswith("._COPYING_")
+    )
+
+
+def unlisted_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below names such as ``__init__.py`` that the binary file reader leaves out: path, content.
+
+    Only their paths are listed here; the contents are read in the tasks.
+    """
+    system, base = fs.FileSystem.from_uri(root)
+    names = [f.path for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file]
+    hidden = [n for n in names if any(map(_unseen_by_reader, n[len(base) :].strip("/").split("/")))]
+    paths = spark.createDataFrame([(n, root.rstrip("/") + n[len(base) :]) for n in hidden], "name string, path string")
+
+    @F.pandas_udf("binary")
+    def read(batch: pd.Series) -> pd.Series:
+        source, _ = fs.FileSystem.from_uri(root)
+
+        def content(name: str) -> bytes:
+            with source.open_input_stream(name) as stream:
+                return stream.read()
+
+        return batch.map(content)
+
+    return paths.select("path", read("name").alias("content"))
+
+
 def _any_case_glob(suffixes: tuple[str, ...]) -> str:
     letters = ["".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in s) for s in suffixes]
     return "*{" + ",".join(letters) + "}"
@@ -130,14 +163,18 @@ def load_documents(
         if not os.path.isdir(root):
             raise FileNotFoundError(f"data directory not found: {root}")
 
+    unlisted = unlisted_files(spark, root)
+
     def files(glob: str) -> DataFrame:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        return walk(reader.option("pathGlobFilter", glob).load(root).select("path", "content"), root)
+        listed = reader.option("pathGlobFilter", glob).load(root).select("path", "content")
+        return walk(listed.unionByName(unlisted), root)
 
     namesakes = broadcast_if_small(later_namesakes(files("*").drop("content")))
     columns = ["doc_id", "doc_type", "source_path", "path", "stem", "class_order", "parts"]
-    texts = with_doc_ids(files(_any_case_glob(TEXT_SUFFIXES + CODE_SUFFIXES)), namesakes)
-    pdfs = with_doc_ids(files(_any_case_glob(PDF_SUFFIXES)), namesakes)
+    is_pdf = F.col("suffix").isin(*PDF_SUFFIXES)
+    texts = with_doc_ids(files(_any_case_glob(TEXT_SUFFIXES + CODE_SUFFIXES)).where(~is_pdf), namesakes)
+    pdfs = with_doc_ids(files(_any_case_glob(PDF_SUFFIXES)).where(is_pdf), namesakes)
     read = texts.select(*columns, decode_text(F.col("content")).alias("text")).unionByName(
         pdfs.select(*columns, _pdf_reader(pdf_to_text)("content").alias("text"))
     )

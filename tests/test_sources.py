@@ -45,6 +45,20 @@ def test_corpus_tree(spark, tmp_path):
     assert docs[4]["doc_type"] == "architecture"
 
 
+def test_names_the_reader_would_skip(spark, tmp_path):
+    root = tmp_path / "data"
+    write(root, "code/pkg/__init__.py", "import os\n")
+    write(root, "code/_private/x.py", "y = 1\n")
+    write(root, "code/.dir/z.py", "z = 1\n")
+    write(root, "code/.gone.py", "")
+    write(root, "code/seen.py", "w = 1\n")
+    docs = corpus.load_documents(spark, str(root)).orderBy("class_order", "parts").collect()
+    assert [(d["source_path"], d["text"]) for d in docs] == [
+        ("data/code/.dir/z.py", "z = 1\n"), ("data/code/_private/x.py", "y = 1\n"),
+        ("data/code/pkg/__init__.py", "import os\n"), ("data/code/seen.py", "w = 1\n"),
+    ]
+
+
 def test_missing_root_and_pdf(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         corpus.load_documents(spark, str(tmp_path / "none"))
