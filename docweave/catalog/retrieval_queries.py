@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.catalog.corpora import table
@@ -12,6 +14,7 @@ from docweave.operators import chunking as ck
 from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
 from docweave.operators.embedding import HashingEmbedder, embed_chunks
+from docweave.session import shared_folder
 
 # The question every single-question query asks, and its vector in the tables' width.
 QUESTION = "the thation of ereach, que la mentaire"
@@ -76,6 +79,14 @@ def bm25_top_k(spark, sf_dir):
     return _rounded(rt.bm25_top_k(_texts(spark, sf_dir), QUESTION, K), "score")
 
 
+@query(f"WITH {SPARSE_SQL} SELECT id, round(score, 6) AS score, rank FROM sparse")
+def stored_index_search(spark, sf_dir):
+    """K6, R2: the full-text index written to the shared folder, then searched there."""
+    path = f"{shared_folder(spark).rstrip('/')}/docweave/index-{uuid.uuid4().hex}"
+    rt.TextIndex.write(_texts(spark, sf_dir), path)
+    return _rounded(rt.TextIndex.read(spark, path).search(QUESTION, K), "score")
+
+
 @query(
     f"WITH {FUSED_SQL} SELECT id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score, rank FROM fused"
 )

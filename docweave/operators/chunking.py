@@ -10,6 +10,7 @@ sources leave the JVM, for the interpreter's own grammar.
 from __future__ import annotations
 
 import ast
+import bisect
 import io
 import tokenize
 from collections.abc import Iterator
@@ -250,18 +251,36 @@ SEGMENTS = T.ArrayType(
 MODULE = "module"
 
 
-def _top_level(source: str) -> list[tuple[str, int, int]]:
-    """(symbol or "", first line, last line) of the top-level statements and comments."""
-    spans = []
+def _top_level(source: str, lines: list[str]) -> list[tuple[str, int, int, str]]:
+    """(symbol or "", first line, last line, text) of the top-level statements, comments and semicolons.
+
+    Symbols take whole lines; what is not a symbol ends where it ends, so a
+    comment behind a statement is a piece of its own.
+    """
+
+    def at(line: int, byte: int) -> tuple[int, int]:
+        return line, len(lines[line - 1].encode("utf-8")[:byte].decode("utf-8", "ignore"))
+
+    pieces = []
     for node in ast.parse(source).body:
-        first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-        is_symbol = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
-        spans.append((node.name if is_symbol else "", first, node.end_lineno))
-    taken = {line for _, first, last in spans for line in range(first, last + 1)}
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+            pieces.append((node.name, (first, 0), (node.end_lineno, len(lines[node.end_lineno - 1]))))
+        else:
+            pieces.append(("", at(node.lineno, node.col_offset), at(node.end_lineno, node.end_col_offset)))
+    starts = [start for _, start, _ in pieces]
     for tok in tokenize.generate_tokens(io.StringIO(source).readline):
-        if tok.type == tokenize.COMMENT and tok.start[0] not in taken:
-            spans.append(("", tok.start[0], tok.start[0]))
-    return sorted(spans, key=lambda s: s[1])
+        if tok.type == tokenize.COMMENT or (tok.type == tokenize.OP and tok.string == ";"):
+            before = bisect.bisect_right(starts, tok.start) - 1
+            if before < 0 or pieces[before][2] <= tok.start:
+                pieces.append(("", tok.start, tok.end))
+    out = []
+    for symbol, (first, left), (last, right) in sorted(pieces, key=lambda p: p[1]):
+        body = lines[first - 1 : last]
+        body[-1] = body[-1][:right]
+        body[0] = body[0][left:]
+        out.append((symbol, first, last, "\n".join(body)))
+    return out
 
 
 def _column_zero(lines: list[str]) -> list[tuple[str, int, int]]:
@@ -291,12 +310,11 @@ def _segments(source: str | None) -> list[tuple[str, int, int, str]]:
         return []
     lines = source.split("\n")
     try:
-        spans = _top_level(source)
+        pieces = _top_level(source, lines)
     except (SyntaxError, ValueError, tokenize.TokenError):
-        spans = _column_zero(lines)
+        pieces = [(*span, "\n".join(lines[span[1] - 1 : span[2]])) for span in _column_zero(lines)]
     out: list[tuple[str, int, int, str]] = []
-    for symbol, first, last in spans:
-        body = "\n".join(lines[first - 1 : last])
+    for symbol, first, last, body in pieces:
         if symbol:
             out.append((symbol, first, last, body))
         elif out and not out[-1][0]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators.joins import broadcast_if_small
 from docweave.plans.agent import Agent
 
 # A slice of expectations is broadcast; larger sets take one pass per slice.
@@ -16,13 +17,14 @@ SLICE_ROWS = 10_000
 
 
 def _in_slices(small: DataFrame, match) -> DataFrame:
-    """``match(slice)`` unioned over slices of ``small``, each proven to fit a broadcast."""
-    slices = -(-small.count() // SLICE_ROWS) or 1
-    if slices == 1:
+    """``match(slice)`` unioned over slices of ``small``, each counted to fit a broadcast."""
+    slices = -(-small.count() // SLICE_ROWS)
+    if slices <= 1:
         return match(F.broadcast(small))
     # Hash slices vary in size; a quarter of the bound on average keeps each below it.
     code = F.pmod(F.xxhash64(*small.columns), F.lit(4 * slices))
-    return reduce(DataFrame.unionByName, [match(F.broadcast(small.where(code == i))) for i in range(4 * slices)])
+    parts = [broadcast_if_small(small.where(code == i), SLICE_ROWS) for i in range(4 * slices)]
+    return reduce(DataFrame.unionByName, map(match, parts))
 
 
 def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -110,6 +110,17 @@ def test_code_without_symbols_and_broken_code(spark):
     assert chunk(spark, "code", "# T\n\nbody\n", "notes.md")[0]["code_ref"] == ""
 
 
+def test_code_between_symbols(spark):
+    source = "a = 1; b = 'é'  # tail\n# own line\n\n\ndef f():\n    # inside\n    return a  # kept\n\nif a:\n    b = 2\n"
+    rows = chunk(spark, "code", source, "m.py")
+    assert [r["text"] for r in rows] == [
+        "a = 1\n;\nb = 'é'\n# tail\n# own line",
+        "def f():\n    # inside\n    return a  # kept",
+        "if a:\n    b = 2",
+    ]
+    assert rows[1]["code_ref"] == "m.py#f:5-7"
+
+
 def test_sections(spark):
     def section(path):
         return value(spark, extract_section(F.lit(GUIDE), F.lit(path)))

@@ -111,7 +111,7 @@ def test_path_checks_in_slices(spark, graph, monkeypatch):
 
 def test_citation_scores(spark):
     expected = spark.createDataFrame(
-        [("q", 0, "CPS 234", "27"), ("q", 1, "cps 234", None), ("q", 2, "BIAN", None), ("p", 0, "x", None)],
+        [("q", 0, "CPS 234", "27"), ("q", 1, "cps 234", None), ("q", 2, "Domain guide", None), ("p", 0, "x", None)],
         "id string, expectation int, doc_title_contains string, clause string",
     )
     cited = spark.createDataFrame(
