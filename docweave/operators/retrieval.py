@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vector as vec
+from docweave.session import stored
 
 # BM25 saturation and length normalization.
 BM25_K1 = 1.2
@@ -134,12 +135,20 @@ class TextIndex:
     @staticmethod
     def write(chunks: DataFrame, path: str) -> None:
         """Range-clusters by (term, id), so a search prunes to its terms' row groups and the
-        postings of a frequent term spread over many files."""
-        postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/postings")
-        lengths = chunks.select(F.size(tx.tokens(F.col("text"))).alias("length"))
-        stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+        postings of a frequent term spread over many files.
+
+        Texts are tokenized once: the range bounds, the sort and the statistics read the
+        postings back from a stored table.
+        """
+        entries = stored(postings(chunks), "postings")
+        entries.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(
+            f"{path}/postings"
+        )
+        n_docs = chunks.count()
+        total = entries.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))
+        stats = total.select(
+            F.lit(n_docs).cast("long").alias("n_docs"), (F.col("n") / F.lit(max(1, n_docs))).alias("mean_length")
+        )
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
