@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from docweave.llm.piece_codec import op6_sentencepiece
+from docweave.llm.sharding import op3_sharding
 from docweave.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op6_sentencepiece": op6_sentencepiece,
     "op10_token_files": op10_token_files,
 }
 
