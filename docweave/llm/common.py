@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of text that one Arrow batch hands to numpy at once; bounds a task's memory by characters, not rows.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, read back: a lost executor repeats a read, not the work behind it."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +52,31 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         held += size
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+class WordCache(dict):
+    """Word to its ids as bytes, made on first use; words not met for ``2 * CACHE_WORDS`` others are forgotten."""
+
+    CACHE_WORDS = 450_000
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def make(self, word: str) -> bytes:
+        raise NotImplementedError
+
+    def keeps(self, word: str) -> bool:
+        return True
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+            if not self.keeps(word):
+                return ids
+        if len(self) >= self.CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids

@@ -20,10 +20,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import table, text_slices
+from docweave.llm.common import WordCache, table, text_slices
 
 BLANK = "▁"
-CACHE_WORDS = 400_000
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
@@ -58,6 +57,26 @@ def merged(symbols: list[str], scores: dict[str, float]) -> list[str]:
     return [t for t in text if t]
 
 
+class Words(WordCache):
+    """Word to its ids, merged on first use."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+        self.unchecked: list[tuple[str, list[int]]] = []
+
+    def keeps(self, word: str) -> bool:
+        return "\n" not in word or word == "\n"  # a word and the next line's first are seldom met again
+
+    def make(self, word: str) -> bytes:
+        parts = [word] if word[1:].isalpha() else self.codec.segments(word)
+        if len(parts) > 1:
+            return b"".join(map(self.__getitem__, parts))
+        found = self.codec.word_ids(word)
+        self.unchecked.append((word, found))
+        return np.array(found, dtype="<i4").tobytes()
+
+
 class Codec:
     """Encodes and decodes with one vocabulary; keeps the ids of words it has seen."""
 
@@ -74,8 +93,9 @@ class Codec:
         self.byte_fallback = self.library.is_byte(self.bytes[0])
         if any(BLANK in piece.lstrip(BLANK) for piece in self.ids):
             raise ValueError("this vocabulary joins words across blanks")
-        self.fresh: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        # Two characters that no piece has side by side are never merged: a word may be cut between them.
+        self.joined = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
+        self.words = Words(self)
 
     def word_ids(self, word: str) -> list[int]:
         found = []
@@ -89,44 +109,28 @@ class Codec:
                 found.append(self.unknown)
         return found
 
-    def _checked(self, words: list[str]) -> list[bytes]:
-        """The ids of ``words``, compared with the library's."""
-        own = [self.word_ids(word) for word in words]
-        # The library puts a blank before its input, so the word goes in behind its own first blank.
-        marked = [i for i, word in enumerate(words) if word.startswith(BLANK)]
-        theirs = self.library.encode([words[i][1:].replace(BLANK, " ") for i in marked], num_threads=1)
-        for i, ids in zip(marked, theirs):
-            if own[i] != ids and words[i] != BLANK:
-                raise ValueError(f"{words[i]!r}: merged to {own[i]}, the library has {ids}")
-        return [np.array(ids, dtype="<i4").tobytes() for ids in own]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, with an end id."""
-        split: list[list[str]] = []
-        wanted: set[str] = set()
-        for text in texts:
-            if not text:
-                words = []
-            elif "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
-                words = _WORD.findall((" " + text).replace(" ", BLANK))
-            else:
-                words = [BLANK + word for word in text.split(" ")]
-            split.append(words)
-            wanted.update(words)
-        missing = []
-        for word in wanted:
-            if word not in self.fresh:
-                known = self.old.get(word)
-                if known is None:
-                    missing.append(word)
-                else:
-                    self.fresh[word] = known
-        self.fresh.update(zip(missing, self._checked(missing)))
-        end = np.array([self.end], dtype="<i4").tobytes()
-        out = [np.frombuffer(b"".join(map(self.fresh.__getitem__, words)) + end, dtype="<i4") for words in split]
-        if len(self.fresh) > CACHE_WORDS:
-            self.old, self.fresh = self.fresh, {}
-        return out
+    def segments(self, word: str) -> list[str]:
+        cuts = [i + 1 for i, pair in enumerate(zip(word, word[1:])) if pair[0] + pair[1] not in self.joined]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers, without an end id."""
+        if not text:
+            return b""
+        if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
+            words = _WORD.findall((" " + text).replace(" ", BLANK))
+        else:
+            words = (BLANK + word for word in text.split(" "))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def check(self) -> None:
+        """Compares the words merged since the last check with the library."""
+        # The library puts a blank before its input; a word that has none gets its own ids behind that blank's.
+        merged_words, self.words.unchecked = self.words.unchecked, []
+        theirs = self.library.encode([w[1:].replace(BLANK, " ") for w, _ in merged_words if w[0] == BLANK and w != BLANK], num_threads=1)
+        ours = [ids for w, ids in merged_words if w[0] == BLANK and w != BLANK]
+        if ours != theirs:
+            raise ValueError(next(f"merged to {a}, the library has {b}" for a, b in zip(ours, theirs) if a != b))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids)
@@ -160,7 +164,9 @@ def encode_decode(
         decimal = [str(i) for i in range(own.library.get_piece_size())]
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = [x.tolist() for x in own.encode([t or "" for t in part.column(1).to_pylist()])]
+                coded = [own.encode(t or "") for t in part.column(1).to_pylist()]
+                own.check()
+                ids = [np.frombuffer(x, dtype="<i4").tolist() + [own.end] for x in coded]
                 texts = own.decode(ids) if ids else []
                 if digests:
                     first = pa.array([hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string())

@@ -12,7 +12,7 @@ or repeated tasks are without effect.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import table, text_slices, work_folder, written
+from docweave.llm.common import WordCache, table, text_slices, work_folder, written
 
 END_ID = 2
 FILE_BYTES = 64_000_000
-CACHE_WORDS = 500_000
 
 # One record is a header (id, id present, tokens, control bytes, data bytes), then both streams.
 HEADER = "<qbqqq"
@@ -39,63 +38,66 @@ HEADER = "<qbqqq"
 # The four code lengths that a control byte stands for, and their sum.
 LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byte in range(256)], dtype=np.uint8)
 
-# A space between two white-space characters, or after one at the end, belongs to a longer run of white space.
-_WIDE_SPACE = re.compile(r"\s \s|\s \Z|\A \Z")
+# White space other than the blank and the line feed.
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def _has_wide_space(text: str) -> bool:
+    """Whether white space may stand next to white space, or a blank at the end."""
+    return "  " in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in _OTHER_SPACE)
+
+
+class Words(WordCache):
+    """Word, as it stands behind a blank, to its ids."""
+
+    def __init__(self, encode, blank: str):
+        super().__init__()
+        self.encode, self.blank = encode, blank
+        self.first_words: Words = self
+
+    def keeps(self, word: str) -> bool:
+        return "\n" not in word  # a word and the next line's first are seldom met again
+
+    def make(self, word: str) -> bytes:
+        head, line, tail = word.partition("\n")
+        if line:  # the pre-tokenizer ends a word at white space; what follows a line feed has no blank
+            return self[head] + self.encode("\n") + (self.first_words[tail] if tail else b"")
+        if word[-1:] in (".", ",") and word[-2:-1].isalpha():  # and between letters and signs
+            return self[word[:-1]] + self.first_words[word[-1]]
+        return self.encode(self.blank + word) if self.blank + word else b""
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; the ids of a word are looked up once per worker.
+    """Ids of whole texts by the tokenizers library; a word's ids are looked up once per worker.
 
-    The pre-tokenizer never joins what stands before a space with the space itself unless white space
-    stands on both sides, so a text is cut at its single spaces. Texts with wider white space go to the
-    library whole.
+    A byte-level pre-tokenizer never joins what stands before a blank with the blank itself unless white
+    space stands on both sides, so a text is cut at its single blanks. Texts with wider white space go to
+    the library whole, as do all texts under a tokenizer of another kind.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.fresh: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def _look_up(self, words: set[str]) -> None:
-        missing = []
-        for word in words:
-            if word not in self.fresh:
-                known = self.old.get(word)
-                if known is None:
-                    missing.append(word)
-                else:
-                    self.fresh[word] = known
-        self.fresh.update(zip(missing, self._encode(missing)))
-
-    def _trim(self) -> None:
-        if len(self.fresh) > CACHE_WORDS:
-            self.old, self.fresh = self.fresh, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
-        words: set[str] = set()
-        for text in texts:
-            if _WIDE_SPACE.search(text):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            parts = ([first] if first else []) + [" " + word for word in rest]
-            split.append(parts)
-            words.update(parts)
-        self._look_up(words)
-        whole = iter(self._encode([t for t, parts in zip(texts, split) if parts is None]))
-        ids = []
-        for parts in split:
-            data = next(whole) if parts is None else b"".join(map(self.fresh.__getitem__, parts))
-            ids.append(np.frombuffer(data, dtype="<u4"))
-        self._trim()
-        return ids
+        parts = json.loads(self.tokenizer.to_str())
+        kind = parts["pre_tokenizer"] or {}
+        self.cut = kind.get("type") == "ByteLevel" and not kind["add_prefix_space"] and kind["use_regex"]
+        self.cut = self.cut and parts["normalizer"] is None and parts["truncation"] is None
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        if self.cut:
+            self.first_words = Words(self._ids, "")
+            self.words = Words(self._ids, " ")
+            self.words.first_words = self.first_words
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian integers of ``width``."""
+        if not self.cut or _has_wide_space(text):
+            return self._ids(text)
+        first, *rest = text.split(" ")
+        return (self.first_words[first] if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,33 +136,36 @@ def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def tokenized(docs: DataFrame, id_column: str, text_column: str, tokenizer_file: str, end_id: int) -> DataFrame:
-    """(id, ids): the little-endian 32-bit ids of every text and the end id."""
+    """(part, seq, id, ids): the ids of every text and the end id; parts are ascending ranges of document ids, seq their order inside."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file)
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        tail = np.array([end_id], dtype=own.width).tobytes()
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [x.tobytes() + tail for x in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            for rows in text_slices(batch, "text"):
+                ids = [own.encode(t or "") + tail for t in rows.column(1).to_pylist()]
+                n = len(ids)
+                columns = [pa.array([part] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), rows.column(0)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=["part", "seq", "id", "ids"])
+                seq += n
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(encode, "id long, ids binary")
+    order = F.col("id").asc_nulls_first()
+    ordered = rows.repartitionByRange(order).sortWithinPartitions(order, "text")
+    return ordered.mapInArrow(encode, "part long, seq long, id long, ids binary")
 
 
-def frequency_ranks(tokens: DataFrame) -> DataFrame:
+def frequency_ranks(tokens: DataFrame, width: str) -> DataFrame:
     """(token, n, rank) of every id in use, from all documents; as many rows as the vocabulary has at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            data = b"".join(batch.column(0).to_pylist())
-            found = np.bincount(np.frombuffer(data, dtype="<u4"))
-            if len(found) > len(total):
-                found[: len(total)] += total
-                total = found
-            else:
+            for data in batch.column(0):
+                found = np.bincount(np.frombuffer(data.as_buffer(), dtype=width))
+                if len(found) > len(total):
+                    total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
@@ -181,66 +186,63 @@ def write_corpus(
 ) -> None:
     """Writes all texts (null: empty) as token files under ``folder``, in ascending id order (null ids first).
 
-    Rows that share an id are kept, in order of their ids' bytes. ``tokenizer_file`` is a tokenizers
+    Rows that share an id are kept, in order of their texts. ``tokenizer_file`` is a tokenizers
     JSON file (default: the public byte-level vocabulary). Files end at ``file_bytes``; one document
     never spans two.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, id_column, text_column, tokenizer_file or public_tokenizers.path("byte_bpe_50k.json"), end_id), "tokens")
-    ranks = frequency_ranks(tokens).cache()
-    ranks.write.parquet(f"{folder}/ranks")
-    by_token = ranks.select("token", "rank").toPandas()  # bounded by the vocabulary
-    ranks.unpersist()
+    path = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
+    width = encoder(path).width
+    tokens = written(tokenized(docs, id_column, text_column, path, end_id), "tokens", "zstd")
+    frequency_ranks(tokens, width).write.parquet(f"{folder}/ranks")
+    by_token = spark.read.parquet(f"{folder}/ranks").select("token", "rank").toPandas()  # bounded by the vocabulary
     rank_of = np.zeros(int(by_token.token.max()) + 1 if len(by_token) else 1, dtype="<u4")
     rank_of[by_token.token.to_numpy()] = by_token["rank"].to_numpy()
     shared = spark.sparkContext.broadcast(rank_of)
-    _filesystem(folder)[0].create_dir(f"{_filesystem(folder)[1]}/documents", recursive=True)
+    system, root = _filesystem(folder)
+    system.create_dir(f"{root}/documents", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _filesystem(folder)
-        partition, number, stream, rows = TaskContext.get().partitionId(), 0, None, []
-        attempt = uuid.uuid4().hex
-        held = documents = total = 0
-
-        def close():
-            nonlocal stream, number, held, documents, total
-            if stream is not None:
-                stream.close()
-                rows.append((partition, number, name, documents, total))
-                stream, number = None, number + 1
-            held = documents = total = 0
-
+        system, root = _filesystem(folder)
+        stream, rows, name = None, [], ""
+        part = first = seq = held = documents = total = 0
+        # A file holds a run of one part; another begins where the scan starts elsewhere or the file is full.
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                control, packed = pack(shared.value[np.frombuffer(data, dtype="<u4")])
-                if stream is not None and held + len(packed) > file_bytes:
-                    close()
-                if stream is None:
-                    name = f"part-{partition:06d}-{number:05d}-{attempt}.tok"
-                    stream = system.open_output_stream(f"{path}/documents/{name}")
-                n = len(data) // 4
-                stream.write(struct.pack(HEADER, doc_id or 0, doc_id is not None, n, len(control), len(packed)))
+            for own_part, own_seq, doc_id, data in zip(*(batch.column(i) for i in range(4))):
+                own_part, own_seq, doc_id = own_part.as_py(), own_seq.as_py(), doc_id.as_py()
+                ids = np.frombuffer(data.as_buffer(), dtype=width)
+                control, packed = pack(shared.value[ids])
+                if stream is None or (own_part, own_seq) != (part, seq + 1) or held + len(packed) > file_bytes:
+                    if stream is not None:
+                        stream.close()
+                        rows.append((part, first, name, documents, total))
+                    name = f"part-{own_part:06d}-{own_seq:010d}-{uuid.uuid4().hex}.tok"
+                    stream = system.open_output_stream(f"{root}/documents/{name}", buffer_size=1 << 20)
+                    part, first, held, documents, total = own_part, own_seq, 0, 0, 0
+                seq = own_seq
+                stream.write(struct.pack(HEADER, doc_id or 0, doc_id is not None, len(ids), len(control), len(packed)))
                 stream.write(control.tobytes())
                 stream.write(packed.tobytes())
                 held += len(packed) + len(control) + struct.calcsize(HEADER)
                 documents += 1
-                total += n
-        close()
+                total += len(ids)
+        if stream is not None:
+            stream.close()
+            rows.append((part, first, name, documents, total))
         columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-            names=["part", "number", "name", "documents", "tokens"],
+            [pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "seq", "name", "documents", "tokens"]
         )
 
-    ordered = tokens.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    files = ordered.mapInArrow(write, "part long, number long, name string, documents long, tokens long")
+    files = tokens.mapInArrow(write, "part long, seq long, name string, documents long, tokens long")
     files.write.parquet(f"{folder}/files")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the files: ids as an array, start as the ids before it."""
     files = spark.read.parquet(f"{folder}/files")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     listed = files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     ranks = spark.read.parquet(f"{folder}/ranks").select("rank", "token").toPandas()  # bounded by the vocabulary
     token_of = np.zeros(len(ranks) or 1, dtype="<u4")
