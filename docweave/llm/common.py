@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of text that one Arrow batch hands to numpy at once; bounds a task's memory by characters, not rows.
+BATCH_ROWS = 1_000
+# Text that one Arrow batch hands to numpy at once, in bytes.
 BATCH_CHARS = 2_000_000
 
 
@@ -26,10 +28,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, read back: a lost executor repeats a read, not the work behind it."""
     path = work_folder(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand Python a few rows at a time, so that very long texts fit into a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

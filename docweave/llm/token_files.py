@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import WordCache, table, text_slices, work_folder, written
+from docweave.llm.common import WordCache, small_batches, table, text_slices, work_folder, written
 
 END_ID = 2
 FILE_BYTES = 64_000_000
@@ -236,7 +236,8 @@ def write_corpus(
         )
 
     files = tokens.mapInArrow(write, "part long, seq long, name string, documents long, tokens long")
-    files.write.parquet(f"{folder}/files")
+    with small_batches(spark):
+        files.write.parquet(f"{folder}/files")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
