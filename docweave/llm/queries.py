@@ -5,11 +5,13 @@ from __future__ import annotations
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.sharding import op3_sharding
+from docweave.llm.toxicity import op4_toxicity
 from docweave.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op10_token_files": op10_token_files,
 }
