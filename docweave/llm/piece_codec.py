@@ -10,9 +10,9 @@ Every word is also encoded by the sentencepiece library in its Arrow batch, and
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +26,38 @@ BLANK = "▁"
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
-def merged(symbols: list[str], scores: dict[str, float]) -> list[str]:
-    """``symbols`` after all merges: best score first, then leftmost."""
-    text = list(symbols)
-    count = len(text)
-    before = list(range(-1, count - 1))
-    after = list(range(1, count + 1))
-    agenda: list[tuple[float, int, int, str]] = []
+def merged(word: str, ranks: dict[str, int]) -> list[str]:
+    """The symbols of ``word`` after all merges: lowest rank first, then leftmost.
 
-    def propose(left: int, right: int) -> None:
-        if left >= 0 and right < count:
-            piece = text[left] + text[right]
-            score = scores.get(piece)
-            if score is not None:
-                heapq.heappush(agenda, (-score, left, right, piece))
-
-    for place in range(count - 1):
-        propose(place, place + 1)
+    The agenda holds one number for each proposed pair, its rank before its place. A proposal is stale when
+    the pair now at its place has another rank.
+    """
+    count = len(word)
+    bits = count.bit_length()
+    mask = (1 << bits) - 1
+    rank_of = ranks.get
+    text = list(word)
+    before, after = list(range(-1, count - 1)), list(range(1, count + 1))
+    agenda = [rank << bits | i for i in range(count - 1) if (rank := rank_of(word[i : i + 2])) is not None]
+    heapify(agenda)
     while agenda:
-        _, left, right, piece = heapq.heappop(agenda)
-        # Stale where either side has been merged meanwhile.
-        if not text[left] or not text[right] or text[left] + text[right] != piece:
+        proposal = heappop(agenda)
+        left = proposal & mask
+        right = after[left]
+        if not text[left] or right >= count:
+            continue
+        piece = text[left] + text[right]
+        if rank_of(piece) != proposal >> bits:
             continue
         text[left], text[right] = piece, ""
-        after[left] = after[right]
-        if after[right] < count:
-            before[after[right]] = left
-        propose(before[left], left)
-        propose(left, after[left])
+        following = after[left] = after[right]
+        if following < count:
+            before[following] = left
+            if (rank := rank_of(piece + text[following])) is not None:
+                heappush(agenda, rank << bits | left)
+        previous = before[left]
+        if previous >= 0 and (rank := rank_of(text[previous] + piece)) is not None:
+            heappush(agenda, rank << bits | previous)
     return [t for t in text if t]
 
 
@@ -87,7 +91,9 @@ class Codec:
         size = self.library.get_piece_size()
         plain = [i for i in range(size) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
         self.ids = {self.library.id_to_piece(i): i for i in plain}
-        self.scores = {piece: self.library.get_score(i) for piece, i in self.ids.items()}
+        scores = {piece: self.library.get_score(i) for piece, i in self.ids.items()}
+        place = {score: i for i, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {piece: place[score] for piece, score in scores.items()}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
         self.byte_fallback = self.library.is_byte(self.bytes[0])
@@ -99,7 +105,7 @@ class Codec:
 
     def word_ids(self, word: str) -> list[int]:
         found = []
-        for piece in merged(list(word), self.scores):
+        for piece in merged(word, self.ranks):
             own = self.ids.get(piece)
             if own is not None:
                 found.append(own)

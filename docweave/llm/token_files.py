@@ -47,6 +47,13 @@ def _has_wide_space(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in _OTHER_SPACE)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: themselves where printable, else those from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b if b in printable else 256 + others.index(b)) for b in range(256)}
+
+
 class Words(WordCache):
     """Word, as it stands behind a blank, to its ids."""
 
@@ -84,12 +91,17 @@ class Encoder:
         self.cut = kind.get("type") == "ByteLevel" and not kind["add_prefix_space"] and kind["use_regex"]
         self.cut = self.cut and parts["normalizer"] is None and parts["truncation"] is None
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.byte_letters = _byte_letters()
         if self.cut:
             self.first_words = Words(self._ids, "")
             self.words = Words(self._ids, " ")
             self.words.first_words = self.first_words
 
     def _ids(self, text: str) -> bytes:
+        letters = text[1:] if text[:1] == " " else text
+        if self.cut and letters.isalpha() and max(letters) < "\u0250":  # one word to any pre-tokenizer: straight to the merges
+            mapped = text.encode().decode("latin-1").translate(self.byte_letters)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.width).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
