@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.common import held_out, table, text_slices, written
+from docweave.llm.near_dedup import shingles
 
 # Labelled rows that the weights are fitted on, at most; a hash of the text picks them where there are more.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
 STEM_LENGTHS = (4, 5, 6)
 LEAST_TEXTS = 5
-LEAST_WEIGHT = 2.0
+LEAST_WEIGHT = 3.0
 CACHE_WORDS = 400_000
 
 # The letters that a digit or sign may stand for.
@@ -141,7 +142,8 @@ class ToxicityModel:
         return {self._look_up(w)[0] for w in self._tokens(text)}
 
     def evidence(self, text: str) -> float:
-        return sum({word: weight for word, weight in map(self._look_up, self._tokens(text)) if weight}.values())
+        found = {word: weight for word, weight in map(self._look_up, self._tokens(text)) if weight}
+        return math.log1p(sum(found.values()))
 
     def score(self, text: str | None) -> float:
         return 1.0 / (1.0 + math.exp(-min(max(self.slope * self.evidence(text or "") + self.offset, -30.0), 30.0)))
@@ -203,7 +205,13 @@ def fit(
                 names=["feature", "y", "n"],
             )
 
-    distinct = written(chosen.groupBy("text").agg(F.max("y").alias("y")), "training", "zstd")
+    # Near copies would vouch for each other's words: one text stands for those with the same least shingle hash.
+    @F.pandas_udf("long")
+    def least_shingle(text: pd.Series) -> pd.Series:
+        return pd.Series([int(found.min().view(np.int64)) if len(found := shingles(t)) else 0 for t in text], dtype="int64")
+
+    keyed = written(chosen.select(least_shingle("text").alias("key"), "text", "y"), "keyed", "zstd")
+    distinct = written(keyed.groupBy("key").agg(F.min(F.struct("text", "y")).alias("one")).select("one.*"), "training", "zstd")
     by_class = distinct.mapInArrow(used, "feature string, y int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") > 0, 0).otherwise(F.col("n"))).alias("clean")
     )
