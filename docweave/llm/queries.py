@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docweave.llm.language_id import op9_language_id
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.sharding import op3_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 
