@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docweave.llm.decontamination import op2_decontamination
 from docweave.llm.language_id import op9_language_id
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
@@ -11,6 +12,7 @@ from docweave.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
