@@ -6,6 +6,7 @@ from docweave.llm.decontamination import op2_decontamination
 from docweave.llm.language_id import op9_language_id
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
+from docweave.llm.pii import op5_pii
 from docweave.llm.sharding import op3_sharding
 from docweave.llm.toxicity import op4_toxicity
 from docweave.llm.token_files import op10_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
