@@ -9,8 +9,10 @@ from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.pii import op5_pii
 from docweave.llm.sharding import op3_sharding
 from docweave.llm.toxicity import op4_toxicity
+from docweave.llm.vector_search import op7_nearest_neighbours
 from docweave.llm.token_files import op10_token_files
 
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -18,6 +20,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
