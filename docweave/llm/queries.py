@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docweave.llm.decontamination import op2_decontamination
 from docweave.llm.language_id import op9_language_id
+from docweave.llm.masked_lm import op8_masked_lm
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.pii import op5_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_masked_lm": op8_masked_lm,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
