@@ -6,13 +6,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1_000
 # Text that one Arrow batch hands to numpy at once, in bytes.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 6_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +97,23 @@ class WordCache(dict):
             self.clear()
         self[word] = ids
         return ids
+
+
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, number of each word in text order, where each text's words begin), cutting at single blanks."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+
+
+def joined_ids(pieces: list[bytes], words: np.ndarray, begins: np.ndarray, dtype: str) -> list[np.ndarray]:
+    """For each text the ids of its words on end; ``pieces`` are the ids of every distinct word."""
+    flat = np.frombuffer(b"".join(pieces), dtype=dtype)
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // flat.itemsize
+    starts = np.cumsum(lengths) - lengths
+    counts = lengths[words]
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = flat[np.arange(total) + np.repeat(starts[words] - (ends - counts), counts)]
+    bounds = np.concatenate(([0], ends))[begins].tolist()
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WordCache, table, text_slices
+from docweave.llm.common import WordCache, joined_ids, split_words, table, text_slices
 
 BLANK = "▁"
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -119,15 +119,19 @@ class Codec:
         cuts = [i + 1 for i, pair in enumerate(zip(word, word[1:])) if pair[0] + pair[1] not in self.joined]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers, without an end id."""
-        if not text:
-            return b""
-        if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
-            words = _WORD.findall((" " + text).replace(" ", BLANK))
-        else:
-            words = (BLANK + word for word in text.split(" "))
-        return b"".join(map(self.words.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, without an end id."""
+        out = [np.zeros(0, dtype="<i4")] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and not ("  " in t or BLANK in t or t[0] == " " or t[-1] == " ")]
+        if plain:
+            words, order, begins = split_words([texts[i] for i in plain])
+            pieces = [self.words[BLANK + word] for word in words]
+            for i, ids in zip(plain, joined_ids(pieces, order, begins, "<i4")):
+                out[i] = ids
+        for i in set(range(len(texts))).difference(plain):
+            words = _WORD.findall((" " + texts[i]).replace(" ", BLANK)) if texts[i] else []
+            out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<i4")
+        return out
 
     def check(self) -> None:
         """Compares the words merged since the last check with the library."""
@@ -170,9 +174,9 @@ def encode_decode(
         decimal = [str(i) for i in range(own.library.get_piece_size())]
         for batch in batches:
             for part in text_slices(batch, "text"):
-                coded = [own.encode(t or "") for t in part.column(1).to_pylist()]
+                coded = own.encode([t or "" for t in part.column(1).to_pylist()])
                 own.check()
-                ids = [np.frombuffer(x, dtype="<i4").tolist() + [own.end] for x in coded]
+                ids = [x.tolist() + [own.end] for x in coded]
                 texts = own.decode(ids) if ids else []
                 if digests:
                     first = pa.array([hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string())

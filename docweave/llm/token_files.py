@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import WordCache, small_batches, table, text_slices, work_folder, written
+from docweave.llm.common import WordCache, joined_ids, small_batches, split_words, table, text_slices, work_folder, written
 
 END_ID = 2
 FILE_BYTES = 64_000_000
@@ -104,12 +104,22 @@ class Encoder:
             return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.width).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers of ``width``."""
-        if not self.cut or _has_wide_space(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        return (self.first_words[first] if first else b"") + b"".join(map(self.words.__getitem__, rest))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``width``."""
+        cut = [i for i, text in enumerate(texts) if self.cut and text and not _has_wide_space(text)]
+        out = [b""] * len(texts)
+        if cut:
+            words, order, begins = split_words([texts[i] for i in cut])
+            pieces = [self.words[w] for w in words]
+            # A text's first word has no blank before it.
+            first = [words[w] for w in order[begins[:-1]]]
+            order[begins[:-1]] = np.arange(len(first)) + len(pieces)
+            pieces += [self.first_words[w] if w else b"" for w in first]
+            for i, ids in zip(cut, joined_ids(pieces, order, begins, self.width)):
+                out[i] = ids.tobytes()
+        for i in set(range(len(texts))).difference(cut):
+            out[i] = self._ids(texts[i])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,7 +166,7 @@ def tokenized(docs: DataFrame, id_column: str, text_column: str, tokenizer_file:
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in text_slices(batch, "text"):
-                ids = [own.encode(t or "") + tail for t in rows.column(1).to_pylist()]
+                ids = [x + tail for x in own.encode([t or "" for t in rows.column(1).to_pylist()])]
                 n = len(ids)
                 columns = [pa.array([part] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), rows.column(0)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=["part", "seq", "id", "ids"])
@@ -281,7 +291,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
                             held, size = [], 0
                 yield _rows(held)
 
-    spread = listed.select("name", "start").repartition("name")
+    spread = listed.select("name", "start").repartition(max(1, files.count()))
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
