@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from docweave.llm.decontamination import op2_decontamination
 from docweave.llm.language_id import op9_language_id
 from docweave.llm.masked_lm import op8_masked_lm
@@ -9,9 +11,16 @@ from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.pii import op5_pii
 from docweave.llm.sharding import op3_sharding
+from docweave.llm.token_files import op10_token_files
 from docweave.llm.toxicity import op4_toxicity
 from docweave.llm.vector_search import op7_nearest_neighbours
-from docweave.llm.token_files import op10_token_files
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
@@ -25,6 +34,7 @@ QUERIES = {
     "op8_masked_lm": op8_masked_lm,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "pipeline": pipeline,
 }
 
 # Queries without SQL are tested against brute force, exact round trips or held-out accuracy in tests/llm.
