@@ -87,8 +87,8 @@ pieces AS (SELECT doc_id, sec, section,
 heading_pieces AS (
   SELECT doc_id, {CHUNK_COLUMNS}, section, '' AS clause, text FROM pieces
   UNION ALL
-  SELECT doc_id, 0, '', '', substring(trim(text, {WS}), 1, 900) FROM markdown
-  WHERE doc_id NOT IN (SELECT doc_id FROM pieces) AND trim(text, {WS}) <> '')"""
+  SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT), '', '', unnest(ws)
+  FROM (SELECT doc_id, {hard_split_sql(f"trim(text, {WS})")} AS ws FROM markdown WHERE doc_id NOT IN (SELECT doc_id FROM pieces)))"""
 
 
 def _chunk_rows(docs, pieces):

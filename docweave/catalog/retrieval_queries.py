@@ -111,7 +111,7 @@ def retrieval_modes(spark, sf_dir):
 
 @query(
     f"""WITH {SPARSE_SQL} SELECT sha256(string_agg('[' || rank || '] (' || coalesce(nullif(source, ''), CAST(id AS VARCHAR))
-           || ') ' || substring(text, 1, 1200), chr(10) || chr(10) ORDER BY rank)) AS digest
+           || ') ' || text, chr(10) || chr(10) ORDER BY rank)) AS digest
         FROM sparse JOIN documents ON doc_id = id"""
 )
 def rendered_context(spark, sf_dir):
@@ -213,15 +213,14 @@ def golden_dense(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, id, position FROM (
-         SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY first, id) AS position FROM (
-           SELECT user_id, CAST(floor(value) AS BIGINT) AS id, min(event_id) AS first FROM events
-           WHERE value IS NOT NULL GROUP BY ALL)) WHERE position <= 24"""
+    """SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY first, id) AS position FROM (
+         SELECT user_id, CAST(floor(value) AS BIGINT) AS id, min(event_id) AS first FROM events
+         WHERE value IS NOT NULL GROUP BY ALL)"""
 )
 def merged_contexts(spark, sf_dir):
     """R5 per user: the event value's whole part stands for the chunk found, the event for the order."""
     found = table(spark, sf_dir, "events").select("user_id", F.floor("value").alias("id"), "event_id")
-    merged = rt.merge_context(found, "event_id", 24, by=["user_id"])
+    merged = rt.merge_context(found, "event_id", by=["user_id"])
     return merged.select("user_id", "id", F.col("position").cast("long").alias("position"))
 
 

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.catalog.corpora import table
-from docweave.catalog.graph_queries import trade_graph
 from docweave.catalog.registry import hard_split_sql, query
-from docweave.catalog.retrieval_queries import WIDTH, _titled_documents, _window_chunks
-from docweave.config import EngineConfig
-from docweave.operators.embedding import HashingEmbedder, embed_chunks
+from docweave.catalog.retrieval_queries import _titled_documents, _window_chunks
 from docweave.plans import evaluation, runs
-from docweave.plans.agent import Agent
-from docweave.plans.graph_schema import GraphSchema
-from docweave.plans.llm import ScriptedModel
-from docweave.session import stored
 
 
 @query(
@@ -43,11 +36,11 @@ def stage_times(spark, sf_dir):
     """WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'hybrid' ELSE 'vector' END AS mode,
             CASE role WHEN 'user' THEN 'lookup' WHEN 'system' THEN 'compliance-mapping' ELSE 'relationship' END AS route,
             CASE WHEN role = 'user' THEN 'Sufficient. ' || text ELSE 'insufficient: ' || text END AS reply, turn + 1 AS iterations FROM conversations),
-       j AS (SELECT *, iterations >= 3 OR reply LIKE 'Sufficient.%' AS sufficient FROM s)
+       j AS (SELECT *, iterations >= 3 AS capped, iterations < 3 AND reply LIKE 'Sufficient.%' AS sufficient FROM s)
        SELECT conv_id, turn, CASE WHEN mode = 'hybrid' AND route <> 'lookup' THEN 'traverse' ELSE 'sufficiency' END AS after_retrieve,
-              sufficient, CASE WHEN iterations >= 3 THEN 'hard cap of 3 iterations reached' WHEN sufficient THEN ''
-                               ELSE substring(reply, 1, 300) END AS note,
-              CASE WHEN sufficient THEN 'synthesize' ELSE 'retrieve' END AS after_sufficiency FROM j"""
+              sufficient, capped, CASE WHEN capped THEN 'hard cap of 3 iterations reached' WHEN sufficient THEN ''
+                               ELSE reply END AS note,
+              CASE WHEN sufficient OR capped THEN 'synthesize' ELSE 'retrieve' END AS after_sufficiency FROM j"""
 )
 def loop_outcomes(spark, sf_dir):
     role, mode = F.col("role"), F.when(F.col("turn") % 2 == 0, "hybrid").otherwise("vector")
@@ -55,14 +48,15 @@ def loop_outcomes(spark, sf_dir):
     reply = F.concat(F.when(role == "user", "Sufficient. ").otherwise("insufficient: "), F.col("text"))
     turns = table(spark, sf_dir, "conversations")
     iterations = F.col("turn") + 1
-    sufficient = runs.is_sufficient(reply, iterations)
+    sufficient, capped = runs.is_sufficient(reply, iterations), runs.is_capped(iterations)
     return turns.select(
         "conv_id",
         "turn",
         runs.after_retrieve(route, mode).alias("after_retrieve"),
         sufficient.alias("sufficient"),
+        capped.alias("capped"),
         runs.judge_note(reply, iterations).alias("note"),
-        runs.after_sufficiency(sufficient).alias("after_sufficiency"),
+        runs.after_sufficiency(sufficient, capped).alias("after_sufficiency"),
     )
 
 
@@ -136,31 +130,3 @@ def scored_citations(spark, sf_dir):
 )
 def citation_hits(spark, sf_dir):
     return evaluation.citation_hits(_scored(spark, sf_dir), ["user_id"])
-
-
-@query()
-def scripted_run(spark, sf_dir):
-    """One question through the whole agent with a scripted model, its events as rows."""
-    embedded = embed_chunks(_window_chunks(spark, sf_dir), lambda: HashingEmbedder(WIDTH), EngineConfig(embedding_dim=WIDTH))
-    # The agent searches the chunk table several times; vectors are made once.
-    chunks = stored(embedded, "chunks")
-    model = ScriptedModel(
-        [
-            "relationship asks how suppliers reach regions",
-            "suppliers per nation of ASIA",
-            "SELECT n.name AS nation, count(*) AS suppliers, min(e.source_chunk) AS source_chunk FROM edges e "
-            "JOIN nodes n ON n.label = e.target_label AND n.key = e.target_key "
-            "WHERE e.source_label = 'Supplier' AND e.rel_type = 'IN_NATION' GROUP BY n.name ORDER BY suppliers DESC, nation",
-            "sufficient",
-        ],
-        tokens=["Counted", " by nation."],
-    )
-    agent = Agent(
-        spark, chunks, _titled_documents(spark, sf_dir), trade_graph(spark, sf_dir), GraphSchema.load(), model,
-        HashingEmbedder(WIDTH).embed_query, EngineConfig(embedding_dim=WIDTH),
-    )
-    rows = [
-        (i, e["type"], e.get("step", ""), e.get("text", e.get("answer", "")), len(e.get("citations", [])))
-        for i, e in enumerate(agent.ask("Which nations have most suppliers?"))
-    ]
-    return spark.createDataFrame(rows, "position int, type string, step string, text string, citations int")

@@ -106,8 +106,8 @@ def clause_keys(spark, sf_dir):
         f AS (SELECT *, trim(lower(ws[1]), '.,:;!?"''') AS tok FROM w)
        SELECT conv_id, turn, coalesce(nullif(tok, ''), 'none') AS token,
               CASE WHEN tok IN ('lookup', 'relationship', 'compliance-mapping') THEN tok ELSE 'lookup' END AS route,
-              substring(array_to_string(ws[2:], ' '), 1, 300) AS rationale,
-              substring(array_to_string(ws, ' '), 1, 48) AS purpose FROM f"""
+              array_to_string(ws[2:], ' ') AS rationale, array_to_string(ws, ' ') AS purpose,
+              substring(array_to_string(ws, ' '), 1, 48) AS short_purpose FROM f"""
 )
 def route_replies(spark, sf_dir):
     reply = (
@@ -123,6 +123,7 @@ def route_replies(spark, sf_dir):
         tx.route(F.col("reply")).alias("route"),
         tx.route_rationale(F.col("reply")).alias("rationale"),
         tx.purpose_label(F.col("reply")).alias("purpose"),
+        tx.purpose_label(F.col("reply"), 48).alias("short_purpose"),
     )
 
 
@@ -172,16 +173,17 @@ def guard_verdicts(spark, sf_dir):
 @query(
     """WITH r AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","text":' || to_json(text) || '}' AS line,
                     text FROM documents)
-       SELECT doc_id, sha256(substring(line, 1, 600)) AS row_digest,
-              CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || ' [truncated]' ELSE text END AS message,
-              CASE WHEN length(text) > 180 THEN substring(text, 1, 180) || '…' ELSE text END AS summary FROM r"""
+       SELECT doc_id, sha256(line) AS row_digest, sha256(text) AS message_digest,
+              CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || ' [truncated]' ELSE text END AS short_message,
+              CASE WHEN length(text) > 180 THEN substring(text, 1, 180) || '…' ELSE text END AS short_summary FROM r"""
 )
 def row_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.sha2(row_text("doc_id", "lang", "text"), 256).alias("row_digest"),
-        tx.trim_message(F.col("text")).alias("message"),
-        tx.summarize(F.col("text")).alias("summary"),
+        F.sha2(tx.trim_message(F.col("text")), 256).alias("message_digest"),
+        tx.trim_message(F.col("text"), 400).alias("short_message"),
+        tx.summarize(F.col("text"), 180).alias("short_summary"),
     )
 
 
@@ -271,13 +273,13 @@ def source_paths(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part, sha256(string_agg(text, '' ORDER BY turn)) AS answer_digest,
+    """SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS answer_digest,
               CAST(count(*) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars
        FROM conversations GROUP BY conv_id"""
 )
 def token_streams(spark, sf_dir):
     joined = ev.answers(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
-    return joined.select("conv_id", "part", F.sha2("answer", 256).alias("answer_digest"), "tokens", "chars")
+    return joined.select("conv_id", F.sha2("answer", 256).alias("answer_digest"), "tokens", "chars")
 
 
 @query(

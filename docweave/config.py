@@ -16,7 +16,6 @@ ENVIRONMENT = {
     "answer_max_tokens": "AGENT_MAX_TOKENS",
     "query_max_tokens": "TEXT2CYPHER_MAX_TOKENS",
     "ingest_concurrency": "INGEST_CONCURRENCY",
-    "stall_seconds": "INGEST_STALL_SECONDS",
     "schema_file": "SCHEMA_FILE",
     "trace_dir": "TRACE_DIR",
     "llm_base_url": "LLM_BASE_URL",
@@ -34,19 +33,17 @@ class EngineConfig:
     top_k: int = 8
     rrf_k: int = 60
     max_iterations: int = 3
-    max_context_chunks: int = 24
-    max_chunk_text_chars: int = 1200
+    max_context_chunks: int | None = None
+    max_chunk_text_chars: int | None = None
     query_attempts: int = 3
-    query_max_rows: int = 25
-    query_row_chars: int = 600
+    query_page_rows: int = 25
+    query_row_chars: int | None = None
     query_error_chars: int = 400
     extract_attempts: int = 3
-    extract_chunk_chars: int = 4000
     extract_max_tokens: int = 8192
     answer_max_tokens: int = 4096
     query_max_tokens: int = 8192
     ingest_concurrency: int = 6
-    stall_seconds: int = 600
     schema_file: str = ""
     trace_dir: str = ""
     llm_base_url: str = ""

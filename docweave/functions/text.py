@@ -118,9 +118,17 @@ def route(c: Column) -> Column:
     return F.when(token.isin(*ROUTES), token).otherwise(F.lit(ROUTES[0]))
 
 
-def route_rationale(c: Column, limit: int = 300) -> Column:
+def _cut(c: Column, limit: int | None, mark: str = "") -> Column:
+    """The first ``limit`` characters and a mark where more follow; all of them without a limit."""
+    if limit is None:
+        return c
+    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(mark))).otherwise(c)
+
+
+def route_rationale(c: Column, limit: int | None = None) -> Column:
+    """Everything behind the first word, on one line."""
     w = words(F.coalesce(c, F.lit("")))
-    return F.substring(F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " "), 1, limit)
+    return _cut(F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " "), limit)
 
 
 def strip_fences(c: Column) -> Column:
@@ -129,21 +137,19 @@ def strip_fences(c: Column) -> Column:
     return strip(F.when(c.rlike(fence), F.regexp_extract(c, fence, 1)).otherwise(c))
 
 
-def trim_message(c: Column, limit: int = 400) -> Column:
-    """at most ``limit`` characters plus a marker."""
-    s = strip(c)
-    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit(TRUNCATED))).otherwise(s)
+def trim_message(c: Column, limit: int | None = None) -> Column:
+    """the stripped message; with a limit, so many characters plus a marker."""
+    return let(strip(c), lambda s: _cut(s, limit, TRUNCATED))
 
 
-def summarize(c: Column, limit: int = 180) -> Column:
-    """one-line detail with an ellipsis beyond ``limit`` characters."""
-    s = F.coalesce(c, F.lit(""))
-    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("…"))).otherwise(s)
+def summarize(c: Column, limit: int | None = None) -> Column:
+    """the detail; with a limit, so many characters plus an ellipsis."""
+    return _cut(F.coalesce(c, F.lit("")), limit, "…")
 
 
-def purpose_label(c: Column, limit: int = 48) -> Column:
-    """first characters of the whitespace-flattened prompt."""
-    return F.substring(F.array_join(words(c), " "), 1, limit)
+def purpose_label(c: Column, limit: int | None = None) -> Column:
+    """the prompt on one line; with a limit, its first characters."""
+    return _cut(F.array_join(words(c), " "), limit)
 
 
 def loosely_matches(expected: Column, actual: Column) -> Column:

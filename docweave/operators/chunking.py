@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import bisect
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -137,12 +138,12 @@ def _piece(section: Column, clause: Column, code_ref: Column, text: Column) -> C
     )
 
 
-def _or_whole(found: Column, whole: Column, ref: Column) -> Column:
-    """The pieces found, or the start of the text when there are none but the text is not blank."""
+def _or_whole(found: Column, windows: Column, ref: Column) -> Column:
+    """The pieces found, or the windows of the whole text when there are none."""
     return tx.let(
         found,
         lambda f: F.when(
-            (F.size(f) == 0) & (whole != ""), F.array(_piece(ref, F.lit(""), ref, whole)).cast(PIECE)
+            F.size(f) == 0, F.transform(windows, lambda w: _piece(ref, F.lit(""), ref, w)).cast(PIECE)
         ).otherwise(f.cast(PIECE)),
     )
 
@@ -181,8 +182,8 @@ def heading_chunks(text: Column, size: int, overlap: int) -> Column:
         zipped = F.arrays_zip(F.concat(F.array(F.lit("")), paths).alias("path"), bodies.alias("body"))
         return F.flatten(F.transform(zipped, pieces))
 
-    whole = F.substring(tx.strip(text), 1, size)
-    return _or_whole(tx.let(split_sections(text), found), whole, F.lit(""))
+    windows = hard_split(tx.strip(text), size, overlap)
+    return _or_whole(tx.let(split_sections(text), found), windows, F.lit(""))
 
 
 def clause_chunks(text: Column, size: int, overlap: int) -> Column:
@@ -308,10 +309,12 @@ def _segments(source: str | None) -> list[tuple[str, int, int, str]]:
     """Top-level symbols in order, the statements between them joined into module segments."""
     if not source or not source.strip():
         return []
+    # The parser's own line ends.
+    source = re.sub("\r\n?", "\n", source)
     lines = source.split("\n")
     try:
         pieces = _top_level(source, lines)
-    except (SyntaxError, ValueError, tokenize.TokenError):
+    except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError, tokenize.TokenError):
         pieces = [(*span, "\n".join(lines[span[1] - 1 : span[2]])) for span in _column_zero(lines)]
     out: list[tuple[str, int, int, str]] = []
     for symbol, first, last, body in pieces:
@@ -348,8 +351,8 @@ def code_chunks(segments: Column, text: Column, path: Column, size: int, overlap
         ).otherwise(F.array(s["body"]))
         return F.transform(texts, lambda t: _piece(section, F.lit(""), code_ref, t))
 
-    whole = F.substring(tx.strip(text), 1, size)
-    return _or_whole(F.flatten(F.transform(segments, pieces)), whole, module_ref)
+    windows = hard_split(tx.strip(text), size, overlap)
+    return _or_whole(F.flatten(F.transform(segments, pieces)), windows, module_ref)
 
 
 # ----------------------------------------------------------------- dispatch

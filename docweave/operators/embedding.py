@@ -57,22 +57,11 @@ class OnnxEmbedder:
         return [float(x) for x in next(iter(self._model.query_embed(text)))]
 
 
-def check_dimension(embedder: Embedder, expected: int) -> int:
-    """L2: fail at start-up when the model's width is not the configured one."""
-    actual = len(embedder.embed(["dimension probe"])[0])
-    if actual != expected:
-        raise ValueError(f"embedding_dim={expected} does not match the model's width {actual}")
-    return actual
-
-
-def embed_batches(embedder: Embedder, texts: Sequence[str], batch: int) -> list[list[float]]:
-    """Vectors in input order, ``batch`` texts per model call; the counts must agree."""
-    vectors: list[list[float]] = []
-    for start in range(0, len(texts), batch):
-        vectors.extend(embedder.embed(texts[start : start + batch]))
-    if len(vectors) != len(texts):
-        raise RuntimeError(f"the model returned {len(vectors)} vectors for {len(texts)} texts")
-    return vectors
+def check_dimension(embedder: Embedder, expected: int) -> None:
+    """L2: one short text is embedded before any job starts; ValueError when its vector has another width."""
+    (vector,) = embedder.embed(["width"])
+    if len(vector) != expected:
+        raise ValueError(f"the model makes vectors of {len(vector)} numbers, embedding_dim is {expected}")
 
 
 def embed_chunks(
@@ -88,9 +77,11 @@ def embed_chunks(
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make_embedder()
         for series in texts:
-            vectors = embed_batches(embedder, series.tolist(), batch)
-            if any(len(v) != width for v in vectors):
-                raise ValueError(f"a vector is not {width} wide")
-            yield pd.Series(vectors, index=series.index)
+            parts = [series.iloc[at : at + batch] for at in range(0, len(series), batch)]
+            made = [pd.Series(embedder.embed(part.tolist())) for part in parts]
+            for part, vectors in zip(parts, made):
+                if len(vectors) != len(part) or set(map(len, vectors)) != {width}:
+                    raise ValueError(f"{len(part)} texts need as many vectors of {width} numbers")
+            yield pd.concat(made, ignore_index=True) if made else pd.Series([], dtype=object)
 
     return chunks.withColumn("embedding", embed("text"))

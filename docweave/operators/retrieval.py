@@ -229,11 +229,11 @@ def fetch_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def merge_context(rows: DataFrame, order: str, cap: int = 24, by: Sequence[str] = ()) -> DataFrame:
-    """First occurrence of every id, the first ``cap`` of them per context.
+def merge_context(rows: DataFrame, order: str, cap: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """First occurrence of every id with its position in the context.
 
-    First occurrences come from a pre-aggregated minimum, and the rank filter
-    cuts each task's share of a context to ``cap`` rows before the shuffle.
+    With ``cap``, the first so many positions only; each task then sends no
+    more of a context. First occurrences come from a pre-aggregated minimum.
     """
     named = rows.where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "")
     payload = [c for c in rows.columns if c not in (*by, "id", order)]
@@ -241,18 +241,17 @@ def merge_context(rows: DataFrame, order: str, cap: int = 24, by: Sequence[str]
         F.min(F.struct(order, *payload)).alias("row")
     ).select(*by, "id", "row.*")
     window = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order, "id")
-    return first.withColumn("position", F.row_number().over(window)).where(F.col("position") <= cap)
+    placed = first.withColumn("position", F.row_number().over(window))
+    return placed if cap is None else placed.where(F.col("position") <= cap)
 
 
-def render_context(rows: DataFrame, limit: int = 1200, by: Sequence[str] = ()) -> DataFrame:
-    """one text per context: "[position] (label) text", blank-line separated.
-
-    Contexts hold at most the merge cap of rows.
-    """
+def render_context(rows: DataFrame, limit: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """one text per context: "[position] (label) text", blank-line separated, texts in full without a limit."""
+    text = F.coalesce("text", F.lit(""))
     label = tx.context_label(F.col("section"), F.col("code_ref"), F.col("id").cast("string"))
     line = F.concat(
         F.lit("["), F.col("position").cast("string"), F.lit("] ("), label, F.lit(") "),
-        F.substring(F.coalesce("text", F.lit("")), 1, limit),
+        text if limit is None else F.substring(text, 1, limit),
     )
     ordered = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
     return rows.groupBy(*by).agg(

@@ -63,19 +63,13 @@ class GraphSchema:
             self.extractable_triples(), "doc_type string, source_label string, rel_type string, target_label string"
         )
 
-    def render(self) -> str:
-        """The knowledge layer as prompt text: labels, endpoint pairs, provenance."""
-        lines = ["NODE LABELS:"]
-        for label, spec in self.labels.items():
-            lines.append(
-                f"- :{label} (key: {spec['key']}; properties: {', '.join(spec['properties'])}) — {spec['description']}"
-            )
-        lines += ["", "RELATIONSHIPS:"]
+    def describe(self) -> dict:
+        """The knowledge layer as data for a prompt: labels, and for every type the label pairs it links."""
+        pairs: dict[str, list[str]] = {}
         for source, rel, target in self.declared_triples():
-            lines.append(f"- (: {source})-[:{rel}]->(: {target}) — {self.relationships[rel]['description']}")
-        provenance = self.content["knowledge_layer"].get("edge_provenance", {})
-        if provenance:
-            names = ", ".join(f"`{n}` ({t})" for n, t in provenance.items())
-            lines += ["", f"PROVENANCE: every relationship has {names}; select source_chunk so answers can cite it."]
-        return "\n".join(lines)
-
+            pairs.setdefault(rel, []).append(f"{source} to {target}")
+        return {
+            "labels": {n: {"is": s["description"], "key": s["key"], "has": s["properties"]} for n, s in self.labels.items()},
+            "links": {rel: {"is": self.relationships[rel]["description"], "between": pairs[rel]} for rel in pairs},
+            "on_every_link": self.content["knowledge_layer"].get("edge_provenance", {}),
+        }

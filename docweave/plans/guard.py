@@ -1,131 +1,69 @@
 """What a generated statement must satisfy before it may run.
 
-The checks exist twice: for one statement on the driver, and as Columns for a
-table of statements.
+Spark's own analysis decides: the statement is explained, not run, and its plans may read the given views and
+nothing else, without cross joins, table functions, scripts, reflection or commands. For tables of statements the same first
+questions (empty, a URL, a write keyword) are answered by columns.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 
-# Write keywords, and how URLs, literals, fences and clause ends look.
+# Write keywords, and how URLs and quoted literals look.
 WRITE_KEYWORDS = "CREATE MERGE DELETE SET DETACH DROP REMOVE CALL LOAD FOREACH"
-# Refused in Spark SQL besides: a SELECT must not insert, start a script or call into the JVM.
-SQL_KEYWORDS = "INSERT TRANSFORM REFLECT TRY_REFLECT JAVA_METHOD"
-SCRIPT = r"\bUSING\b(?!\s*\()"
 URL = r"https?://"
 LITERAL = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
-FENCE = r"```(?:cypher|sql)?\s*(.*?)```"
-CLAUSE_END = r"(?<!\.)\b(ORDER\s+BY|LIMIT|SKIP)\b"
 
-EMPTY = "empty statement"
-HAS_URL = "statement contains a URL literal; not permitted"
-WRITES = "statement contains a write keyword; read-only statements only"
+# Functions by which a query could leave the engine.
+FOREIGN = r"\b(?:reflect|try_reflect|java_method|input_file_name|input_file_block_start|input_file_block_length)\("
+# What a statement's own text may not turn into.
+NOT_A_READ = r"'?(?:UnresolvedTableValuedFunction|UnresolvedTVF|ScriptTransformation|\w*Command\b|\w*Insert\w*|Create\w+|Drop\w+|Delete\w+|Update\w+|MergeInto\w*|Set\w*|Show\w+|Describe\w*|Cache\w*)"
 
 
-def _any_word(words: str) -> str:
-    return r"\b(" + "|".join(words.split()) + r")\b"
+class Refused(ValueError):
+    """The statement may not run; the message says why."""
 
 
-def strip_fences(text: str) -> str:
-    fence = re.search(FENCE, text, re.DOTALL)
-    return (fence.group(1) if fence else text).strip()
+def bare(text: str) -> str:
+    """A reply's statement: what its fence holds, or all of it, without closing semicolons."""
+    pieces = (text or "").split("```")
+    inner = re.sub(r"\A[a-z]*\s", "", pieces[1]) if len(pieces) > 2 else (text or "")
+    return inner.strip().rstrip("; \n\t").strip()
 
 
-def blank_literals(statement: str) -> str:
-    """the statement with every quoted literal blanked, positions unchanged.
-
-    An unclosed literal runs to the end.
-    """
-    return re.sub(
-        r"'(?:[^'\\]|\\.)*(?:'|\\?\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\\?\Z)",
-        lambda m: " " * len(m.group()),
-        statement,
-        flags=re.DOTALL,
-    )
+def explained(spark: SparkSession, statement: str) -> dict[str, list[str]]:
+    """Spark's plans of a statement by name, one operator a line, without running it."""
+    text = spark.sql(f"EXPLAIN EXTENDED {statement}").first()[0]
+    plans = re.findall(r"(?ms)^== ([A-Z]\w+) (?:Logical )?Plan ==\n(.*?)(?=^== |\Z)", text)
+    if [name for name, _ in plans] != ["Parsed", "Analyzed", "Optimized", "Physical"]:
+        raise Refused(text if "Exception" in text or "Error" in text else "the statement could not be analyzed")
+    return {name: [re.sub(r"^[\s:|+-]+", "", line) for line in body.splitlines()] for name, body in plans}
 
 
-def unique_aliases(statement: str) -> str:
-    """later repeats of an alias in the last RETURN projection become alias_2, alias_3, ..."""
-    blanked = blank_literals(statement)
-    returns = [m.start() for m in re.finditer(r"\bRETURN\b", blanked, re.IGNORECASE)]
-    if not returns:
-        return statement
-    end = re.compile(CLAUSE_END, re.IGNORECASE).search(blanked, returns[-1])
-    stop = end.start() if end else len(statement)
-
-    bounds, depth = [returns[-1]], 0
-    for at in range(returns[-1], stop):
-        depth += {"(": 1, ")": -1}.get(blanked[at], 0)
-        if blanked[at] == "," and depth == 0:
-            bounds.append(at + 1)
-    ends = [b - 1 for b in bounds[1:]] + [stop]
-
-    taken: set[str] = set()
-    pieces, done = [], 0
-    for lo, hi in zip(bounds, ends):
-        alias = re.search(r"\bAS\s+(\w+)\s*\Z", blanked[lo:hi], re.IGNORECASE)
-        if not alias:
-            continue
-        name, suffix = alias.group(1), 2
-        if name in taken:
-            while f"{name}_{suffix}" in taken:
-                suffix += 1
-            pieces.append(statement[done : lo + alias.start()] + f"AS {name}_{suffix}")
-            done = lo + alias.end(1)
-            name = f"{name}_{suffix}"
-        taken.add(name)
-    return "".join(pieces) + statement[done:]
-
-
-def clean_statement(text: str) -> str:
-    """the statement without fences and trailing semicolons; ValueError when it may not run."""
-    statement = strip_fences(text).strip().rstrip(";").strip()
-    if not statement:
-        raise ValueError(EMPTY)
+def checked(spark: SparkSession, statement: str, views: Iterable[str]) -> DataFrame:
+    """The statement as a DataFrame; Refused when its plan does more than read the views."""
+    allowed = {v.lower() for v in views}
     if re.search(URL, statement, re.IGNORECASE):
-        raise ValueError(HAS_URL)
-    if re.search(_any_word(WRITE_KEYWORDS), re.sub(LITERAL, "''", statement), re.IGNORECASE):
-        raise ValueError(WRITES)
-    return unique_aliases(statement)
-
-
-def clean_sql(text: str, relations: set[str]) -> str:
-    """F14 for Spark SQL: also one SELECT over the given relations only.
-
-    Anything that could name a file, another catalog or a table function is
-    refused: quoted identifiers, relations outside the set, and qualifiers that
-    the statement does not declare itself.
-    """
-    statement = clean_statement(text)
-    blanked = re.sub(r"--[^\n]*|/\*.*?\*/", " ", blank_literals(statement), flags=re.DOTALL)
-    if ";" in blanked or not re.match(r"(SELECT|WITH)\b", blanked.strip(), re.IGNORECASE):
-        raise ValueError("only a single SELECT statement may run")
-    if re.search(f"{_any_word(SQL_KEYWORDS)}|{SCRIPT}", blanked, re.IGNORECASE):
-        raise ValueError(WRITES)
-    if "`" in blanked:
-        raise ValueError("quoted identifiers are not permitted")
-    words = {w.lower() for w in re.findall(r"(?<![\w.])([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?AS\s*\(", blanked, re.IGNORECASE)}
-    allowed = {r.lower() for r in relations} | words
-    sources = re.findall(r"\b(?:FROM|JOIN)\s+(?:LATERAL\s+)?([A-Za-z_][\w.]*)", blanked, re.IGNORECASE)
-    for name in sources:
-        if name.lower() not in allowed:
-            raise ValueError(f"unknown relation {name}")
-    for listed in re.findall(r"\bFROM\b(.*?)(?=\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|JOIN|ON)\b|\)|\Z)", blanked, re.I | re.S):
-        for item in listed.split(",")[1:]:
-            name = item.strip().split()[0] if item.strip() else ""
-            if name and not name.startswith("(") and name.lower() not in allowed:
-                raise ValueError(f"unknown relation {name}")
-    declared = allowed | {a.lower() for a in re.findall(r"(?:[\w)])\s+(?:AS\s+)?([A-Za-z_]\w*)", blanked, re.IGNORECASE)}
-    for qualifier in re.findall(r"(?<![\w.])([A-Za-z_]\w*)\s*\.\s*[A-Za-z_*]", blanked):
-        if qualifier.lower() not in declared:
-            raise ValueError(f"unknown qualifier {qualifier}")
-    return statement
+        raise Refused("a URL is not permitted")
+    if not re.match(r"(?is)[\s(]*(?:SELECT|WITH)\b", statement):
+        raise Refused(f"only a SELECT over {', '.join(sorted(allowed))} may run")
+    plans = explained(spark, statement)
+    names = {n.lower() for line in plans["Parsed"] if line.startswith("CTE [") for n in line[5:].rstrip("]").split(", ")}
+    for line in plans["Parsed"]:
+        relation = re.match(r"'UnresolvedRelation \[([^\]]*)\]", line)
+        if relation and relation.group(1).lower() not in allowed | names:
+            raise Refused(f"{relation.group(1)} is not one of {', '.join(sorted(allowed))}")
+        if re.match(NOT_A_READ, line) or re.search(FOREIGN, line, re.IGNORECASE):
+            raise Refused(f"{line.split(' ')[0]} is not part of a plain SELECT")
+    if any(re.fullmatch(r"Join (?:Cross|Inner|LeftOuter|RightOuter|FullOuter)", line) for line in plans["Optimized"]):
+        raise Refused("tables are joined without a condition")
+    return spark.sql(statement)
 
 
 # ------------------------------------------------------------- Column forms
@@ -138,23 +76,20 @@ def cleaned(text: Column) -> Column:
 def verdict(text: Column) -> Column:
     """F14 over a column: ok, empty, url or write_keyword."""
     statement = cleaned(text)
-    bare = F.regexp_replace(statement, LITERAL, "''")
+    outside = F.regexp_replace(statement, LITERAL, "''")
+    keyword = r"(?i)\b(" + WRITE_KEYWORDS.replace(" ", "|") + r")\b"
     return (
         F.when(statement == "", "empty")
         .when(statement.rlike("(?i)" + URL), "url")
-        .when(bare.rlike("(?i)" + _any_word(WRITE_KEYWORDS)), "write_keyword")
+        .when(outside.rlike(keyword), "write_keyword")
         .otherwise("ok")
     )
 
 
 def unique_columns(names: list[str]) -> list[str]:
-    """F15 for result columns: repeated names numbered the way repeated aliases are."""
-    taken: set[str] = set()
-    out = []
+    """result columns told apart; the n-th of one name gets the number n, or the next that is free."""
+    given: list[str] = []
     for name in names:
-        fresh, n = name, 2
-        while fresh in taken:
-            fresh, n = f"{name}_{n}", n + 1
-        taken.add(fresh)
-        out.append(fresh)
-    return out
+        numbered = (f"{name}_{n}" for n in range(2, len(names) + 2))
+        given.append(name if name not in given else next(c for c in numbered if c not in given))
+    return given

@@ -6,124 +6,97 @@ import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
-from docweave.functions import text as tx
 from docweave.plans import guard
 from docweave.plans.graph_schema import GraphSchema
 
-PROMPT = """Write one Spark SQL SELECT that answers the question from these views:
-- {views}
-nodes(label, key, {properties}); edges(rel_type, source_label, source_key, target_label, target_key, source_chunk, source_document).
-
-{schema}
-
-Rules:
-- Read only; nothing but SELECT.
-- Give every result column its own alias.
-- At most {rows} rows.
-- Use only the labels and types above.
-- A type connects only the endpoint pairs listed above; where no pair links two labels directly, go through nodes between them and do not invent an edge.
-- Send the statement alone, without fences or comments.
-
-QUESTION: {question}
-"""
-RETRY = """
-PREVIOUS ATTEMPT FAILED.
-Statement:
-{statement}
-Error:
-{error}
-Send the corrected statement alone.
-"""
-NO_STATEMENT = "The last reply held no statement. Send the SELECT statement alone."
+EDGE_COLUMNS = "rel_type, source_label, source_key, target_label, target_key, source_chunk, source_document"
+NO_STATEMENT = "there was no statement in the reply"
 
 
 @dataclass(frozen=True)
-class QueryResult:
+class Answer:
+    """A query that ran: its rows as a table, the references in its first page, and that page as text."""
+
     statement: str
-    rows: list[dict]
+    rows: DataFrame
     chunk_refs: list[str]
-
-
-def trim(text: str, limit: int = 400) -> str:
-    text = text.strip()
-    return text if len(text) <= limit else text[:limit] + tx.TRUNCATED
-
-
-def build_prompt(
-    question: str,
-    schema: GraphSchema,
-    views: Iterable[str],
-    config: EngineConfig = EngineConfig(),
-    statement: str = "",
-    error: str = "",
-) -> str:
-    prompt = PROMPT.format(
-        views=", ".join(views),
-        properties=", ".join(schema.properties),
-        schema=schema.render(),
-        rows=config.query_max_rows,
-        question=question,
-    )
-    return prompt + (RETRY.format(statement=statement, error=error) if statement and error else "")
-
-
-def run_statement(spark: SparkSession, statement: str, max_rows: int) -> list[dict]:
-    """Analyze first, then run with the row cap inside the plan. Repeated column names get numbers."""
-    df = spark.sql(statement)
-    rows = df.toDF(*guard.unique_columns(df.columns)).limit(max_rows).collect()
-    return [r.asDict(recursive=True) for r in rows]
-
-
-def collect_chunk_refs(rows: list[dict]) -> list[str]:
-    """source_chunk values at the top of a row or one level down, first mention first."""
-    refs: dict[str, None] = {}
-    for row in rows:
-        for name, value in row.items():
-            ref = value.get("source_chunk") if isinstance(value, dict) else value if name == "source_chunk" else None
-            if isinstance(ref, str) and ref:
-                refs[ref] = None
-    return list(refs)
-
-
-def rows_to_text(rows: list[dict], config: EngineConfig = EngineConfig()) -> str:
-    lines = [json.dumps(r, ensure_ascii=False, default=str) for r in rows[: config.query_max_rows]]
-    return "\n".join(line[: config.query_row_chars] for line in lines)
-
-
-def row_text(*columns: str, limit: int = 600) -> Column:
-    """F16 over a table: the row as JSON, cut to ``limit`` characters."""
-    return F.substring(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 1, limit)
-
-
-def run_query(
-    spark: SparkSession,
-    question: str,
-    schema: GraphSchema,
-    views: Iterable[str],
-    ask: Callable[[str], str],
-    config: EngineConfig = EngineConfig(),
-) -> QueryResult | None:
-    """Generate, guard, analyze, run; a failure goes into the next prompt. None when attempts run out."""
-    views = list(views)
-    statement = error = ""
-    for _ in range(config.query_attempts):
-        raw = ask(build_prompt(question, schema, views, config, statement, error))
+    text: str
+
+
+def build_prompt(question: str, schema: GraphSchema, views: Iterable[str], failures: list[dict] = ()) -> str:
+    """One JSON object: the tables, the schema as data, what the statement must be, and earlier failures."""
+    columns = {"nodes": ", ".join(["label", "key", *schema.properties]), "edges": EDGE_COLUMNS}
+    body = {
+        "question": question,
+        "reply": "one Spark SQL SELECT, bare",
+        "tables": {view: columns.get(view, "") for view in views},
+        "schema": schema.describe(),
+        "limits": {
+            "links": "a link exists only between label pairs listed for its type; longer ways are chains of listed links",
+            "output": "every column under a name of its own, with edges.source_chunk where edges are used",
+        },
+    }
+    if failures:
+        body["failures"] = list(failures)
+    return json.dumps(body, ensure_ascii=False, indent=1)
+
+
+def run_statement(spark: SparkSession, statement: str, views: Iterable[str]) -> DataFrame:
+    """The checked statement's rows, repeated column names numbered."""
+    df = guard.checked(spark, statement, views)
+    return df.toDF(*guard.unique_columns(df.columns))
+
+
+def page(rows: DataFrame, size: int, number: int = 0) -> DataFrame:
+    """One page of a result, in the result's order; all pages together are the result."""
+    return rows.offset(size * number).limit(size)
+
+
+def chunk_references(rows: DataFrame) -> list[str]:
+    """The values of ``source_chunk`` in a page of rows, plain or inside a struct, in order, once each."""
+    named = [
+        F.col(f"`{f.name}`.source_chunk") if hasattr(f.dataType, "names") else F.col(f"`{f.name}`")
+        for f in rows.schema.fields
+        if "source_chunk" in getattr(f.dataType, "names", ()) or f.name == "source_chunk"
+    ]
+    if not named:
+        return []
+    values = rows.select(F.filter(F.array(*[c.cast("string") for c in named]), lambda v: v.isNotNull() & (v != "")).alias("refs")).collect()
+    return list(dict.fromkeys(ref for row in values for ref in row["refs"]))
+
+
+def row_text(*columns: str, limit: int | None = None) -> Column:
+    """F16 over a table: the row as JSON, with a limit cut to so many characters."""
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return line if limit is None else F.substring(line, 1, limit)
+
+
+def page_text(rows: DataFrame, config: EngineConfig) -> str:
+    """The first page as one JSON line per row, and whether more follow."""
+    size = config.query_page_rows
+    lines = [r["line"] for r in rows.limit(size + 1).select(row_text(*[f"`{c}`" for c in rows.columns], limit=config.query_row_chars).alias("line")).collect()]
+    more = [f"(more rows follow these {size})"] if len(lines) > size else []
+    return "\n".join(lines[:size] + more) or "(no rows)"
+
+
+def answer(
+    spark: SparkSession, question: str, schema: GraphSchema, views: Iterable[str], ask: Callable[[str], str], config: EngineConfig = EngineConfig()
+) -> Answer | None:
+    """The first statement that passes the guard and runs; every failure goes into the next prompt. None without one."""
+    views, failures = list(views), []
+    while len(failures) < config.query_attempts:
+        reply = ask(build_prompt(question, schema, views, failures))
+        statement = guard.bare(reply)
         try:
-            cleaned = guard.clean_sql(raw, set(views))
-        except ValueError as exc:
-            error = NO_STATEMENT if str(exc) == guard.EMPTY else str(exc)
-            statement = trim(raw, config.query_error_chars) or "(no output)"
-            continue
-        try:
-            rows = run_statement(spark, cleaned, config.query_max_rows)
-        except Exception as exc:  # noqa: BLE001 - analysis and run-time errors are fed back
-            statement, error = cleaned, trim(str(exc), config.query_error_chars)
-            continue
-        return QueryResult(cleaned, rows, collect_chunk_refs(rows))
+            if not statement:
+                raise ValueError(NO_STATEMENT)
+            rows = run_statement(spark, statement, views)
+            first = page(rows, config.query_page_rows)
+            return Answer(statement, rows, chunk_references(first), page_text(rows, config))
+        except Exception as exc:  # noqa: BLE001 - what analysis, guard or execution say is fed back
+            failures.append({"statement": statement, "error": str(exc)})
     return None
-
-

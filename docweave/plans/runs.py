@@ -18,22 +18,27 @@ def after_retrieve(route: Column, mode: Column) -> Column:
     return F.when(route.isin(*TRAVERSING_ROUTES) & (mode == "hybrid"), "traverse").otherwise("sufficiency")
 
 
+def is_capped(iterations: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """The loop ends here whatever the judge would say."""
+    return iterations >= config.max_iterations
+
+
 def is_sufficient(reply: Column, iterations: Column, config: EngineConfig = EngineConfig()) -> Column:
-    """The judge's word, or the iteration cap."""
-    return (iterations >= config.max_iterations) | (tx.first_token(reply, "insufficient") == "sufficient")
+    """The judge's word; a capped loop has none."""
+    return ~is_capped(iterations, config) & (tx.first_token(reply, "insufficient") == "sufficient")
 
 
 def judge_note(reply: Column, iterations: Column, config: EngineConfig = EngineConfig()) -> Column:
     capped = F.lit(f"hard cap of {config.max_iterations} iterations reached")
     return (
-        F.when(iterations >= config.max_iterations, capped)
+        F.when(is_capped(iterations, config), capped)
         .when(is_sufficient(reply, iterations, config), "")
-        .otherwise(F.substring(tx.strip(F.coalesce(reply, F.lit(""))), 1, 300))
+        .otherwise(tx.strip(F.coalesce(reply, F.lit(""))))
     )
 
 
-def after_sufficiency(sufficient: Column) -> Column:
-    return F.when(sufficient, "synthesize").otherwise("retrieve")
+def after_sufficiency(sufficient: Column, capped: Column) -> Column:
+    return F.when(sufficient | capped, "synthesize").otherwise("retrieve")
 
 
 def retrieve_details(found: DataFrame, context: DataFrame, run: Sequence[str]) -> DataFrame:

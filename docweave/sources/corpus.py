@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -40,12 +41,23 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
 
 
+def _below(path: Column, root: str) -> Column:
+    """What follows the root; readers may put a scheme and authority before it, so the first occurrence counts."""
+    base = re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    bare = F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "")
+    return (
+        F.when(bare.startswith(base), F.substr(bare, F.lit(len(base) + 1)))
+        .when(F.locate(base, bare) > 0, F.substr(bare, F.locate(base, bare) + len(base)))
+        .otherwise(bare)
+    )
+
+
 def walk(files: DataFrame, root: str) -> DataFrame:
     """Ingestible files of a listing (column ``path``), with class, suffix and reading order.
 
     The class is the directory right below the root, however deep the file lies.
     """
-    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
+    rel = _below(F.col("path"), root)
     parts = F.split("rel", "/")
     listed = files.withColumn("rel", rel).withColumn("parts", parts)
     listed = listed.withColumns(

@@ -27,13 +27,12 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """All trace events with the run they belong to, taken from the file name."""
-    run = F.regexp_extract(F.input_file_name(), r"_([^_/]+)\.jsonl\z", 1)
-    return spark.read.schema(TRACE).json(path).withColumn("run_id", run)
+    """All trace events; every one names its run."""
+    return spark.read.schema(TRACE).json(path).withColumn("run_id", F.col("trace_id"))
 
 
 def trace_finals(traces: DataFrame) -> DataFrame:
-    """The final event of each run (one per run file)."""
+    """The final event of each run (one per run)."""
     return (
         traces.where(F.col("event") == "final")
         .groupBy("run_id")
@@ -44,5 +43,5 @@ def trace_finals(traces: DataFrame) -> DataFrame:
 
 def trace_final(traces: DataFrame, trace_id: str) -> dict:
     """The final event of one run, ``{}`` when there is none."""
-    rows = traces.where((F.col("run_id") == trace_id) & (F.col("event") == "final")).limit(1).collect()
+    rows = trace_finals(traces.where(F.col("run_id") == trace_id)).collect()
     return rows[0].asDict(recursive=True) if rows else {}

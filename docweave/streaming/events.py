@@ -8,9 +8,6 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One answer is capped at this many tokens, so an answer is one part.
-PART_TOKENS = 4096
-
 
 def encode(event: dict) -> str:
     return f"data: {json.dumps(event, ensure_ascii=False, default=str)}\n\n"
@@ -43,13 +40,10 @@ def event_payload(line: Column) -> Column:
 def answers(tokens: DataFrame, stream: Sequence[str], position: str, text: str = "text") -> DataFrame:
     """A10: each stream's tokens joined in order, with token and character counts.
 
-    Streams are delivered in parts of PART_TOKENS positions. An answer never
-    exceeds one part; a stream that does keeps all its text in further parts,
-    and no task ever holds more than one.
+    A stream is one answer, however many tokens it has.
     """
-    part = F.floor(F.col(position) / PART_TOKENS).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col(text).alias("token"))))
-    return tokens.groupBy(*stream, part.alias("part")).agg(
+    return tokens.groupBy(*stream).agg(
         F.array_join(F.transform(ordered, lambda t: t["token"]), "").alias("answer"),
         F.count("*").alias("tokens"),
         F.sum(F.length(text)).alias("chars"),

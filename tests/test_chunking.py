@@ -6,15 +6,65 @@ from docweave.config import EngineConfig
 from docweave.operators import chunking as ck
 from docweave.operators.sections import extract_section, lookup_sections
 
-GUIDE = "# Platform\n\nopening words\n\n## Overview\n\nwhat it is\n\n### Parts\n\nthe parts\n\n## Limits\n\nwhat it is not\n"
-STANDARD = (
-    "# Standard 999\n\nPurpose of it.\n\n## Part A\n\n### Clause 27\n\nManage the risk.\n\n#### Clause 27.1\n\nA detail.\n\n"
-    "## Part B\n\n### Clause 12\n\nReport it.\n\n## Clause 99\n\nNo clause.\n\n### clause 7\n\nlower case\n"
-)
-SOURCE = (
-    '"""About."""\n\nimport os\n\nLIMIT = 1\n\ndef alpha(x):\n    """Doc."""\n    return x + 1\n\n'
-    "class Beta:\n    def run(self):\n        return 2\n\n@wrap\ndef gamma(y):\n    return y\n"
-)
+GUIDE = """# Ferry handbook
+
+Read this first.
+
+## Boarding
+
+Queue at gate two.
+
+### Vehicles
+
+Engines off.
+
+### Bicycles
+
+Walk them on.
+
+## Safety
+
+Vests are under the seats.
+"""
+CODE_OF_PRACTICE = """Harbour code, second edition.
+
+## Chapter One
+
+### Clause 4
+
+Lamps are lit at dusk.
+
+### Clause 5
+
+Bells are rung in fog.
+
+#### Clause 5.1
+
+Twice a minute.
+
+## Clause 31
+
+### clause 32
+
+New rule.
+"""
+MODULE = """import math
+
+class Buoy:
+    depth = 3
+
+
+def drift(hours):
+    return hours * math.pi
+
+
+DEFAULT = drift(2)
+
+
+@cached
+async def tide(day):
+    return day
+"""
 
 
 def chunk(spark, doc_type, text, path="data/x.md", size=900, overlap=150):
@@ -31,9 +81,14 @@ def value(spark, column):
 
 def test_heading_paths_leave_out_the_title(spark):
     rows = chunk(spark, "architecture", GUIDE)
-    assert [r["section"] for r in rows] == ["", "Overview", "Overview > Parts", "Limits"]
-    assert [r["text"] for r in rows] == ["opening words", "what it is", "the parts", "what it is not"]
-    assert [r["id"] for r in rows] == [hashlib.sha256(f"d:{i}".encode()).hexdigest() for i in range(4)]
+    assert [(r["section"], r["text"]) for r in rows] == [
+        ("", "Read this first."),
+        ("Boarding", "Queue at gate two."),
+        ("Boarding > Vehicles", "Engines off."),
+        ("Boarding > Bicycles", "Walk them on."),
+        ("Safety", "Vests are under the seats."),
+    ]
+    assert rows[4]["id"] == hashlib.sha256(b"d:4").hexdigest()
 
 
 def test_bare_heading_and_bare_title(spark):
@@ -44,6 +99,13 @@ def test_bare_heading_and_bare_title(spark):
     assert chunk(spark, "architecture", " \n\n ") == []
 
 
+def test_a_text_without_pieces_is_kept_whole(spark):
+    title = "# " + "".join(f"word{i} " for i in range(400)).strip()
+    rows = chunk(spark, "architecture", title, overlap=0)
+    assert len(rows) == -(-len(title) // 900) > 2
+    assert "".join("".join(r["text"].split()) for r in rows) == "".join(title.split())
+
+
 def test_fences_hide_headings(spark):
     for fence in ("```", "~~~"):
         rows = chunk(spark, "architecture", f"## Guide\n\n{fence}\n# not a heading\n{fence}\n\nmore\n")
@@ -77,11 +139,15 @@ def test_hard_split(spark):
 
 
 def test_clauses(spark):
-    rows = chunk(spark, "regulatory", STANDARD)
-    assert [r["clause"] for r in rows] == ["", "27", "12", "7"]
-    assert [r["section"] for r in rows] == ["", "Part A > Clause 27", "Part B > Clause 12", "Clause 99 > Clause 7"]
-    assert "#### Clause 27.1" in rows[0]["text"] and "A detail." in rows[0]["text"]
-    assert rows[1]["text"] == "### Clause 27\n\nManage the risk."
+    rows = chunk(spark, "regulatory", CODE_OF_PRACTICE)
+    assert [(r["clause"], r["section"]) for r in rows] == [
+        ("", ""),
+        ("4", "Chapter One > Clause 4"),
+        ("5", "Chapter One > Clause 5"),
+        ("32", "Clause 31 > Clause 32"),
+    ]
+    assert "Twice a minute." in rows[0]["text"]
+    assert rows[2]["text"] == "### Clause 5\n\nBells are rung in fog."
     rows = chunk(spark, "security", "## Part C\n\n### Clause 5\n\n## Part D\n")
     assert rows[1]["text"] == "### Clause 5" and rows[1]["section"] == "Part C > Clause 5"
 
@@ -93,13 +159,19 @@ def test_clause_heading_in_a_fence_and_double_spacing(spark):
 
 
 def test_code_symbols(spark):
-    rows = chunk(spark, "code", SOURCE, "pkg/mod.py")
-    assert [r["section"] for r in rows] == [f"pkg/mod.py#{s}" for s in ("module", "alpha", "Beta", "gamma")]
+    rows = chunk(spark, "code", MODULE, "port/sea.py")
     assert [r["code_ref"] for r in rows] == [
-        "pkg/mod.py#module", "pkg/mod.py#alpha:7-9", "pkg/mod.py#Beta:11-13", "pkg/mod.py#gamma:15-17"
+        "port/sea.py#module", "port/sea.py#Buoy:3-4", "port/sea.py#drift:7-8", "port/sea.py#module", "port/sea.py#tide:14-16"
     ]
-    assert rows[0]["text"] == '"""About."""\nimport os\nLIMIT = 1'
-    assert rows[3]["text"].startswith("@wrap")
+    assert [r["text"] for r in rows][3:] == ["DEFAULT = drift(2)", "@cached\nasync def tide(day):\n    return day"]
+
+
+def test_carriage_returns_and_deep_nesting(spark):
+    rows = chunk(spark, "code", "a = 1\rdef f():\r    return a\r\ndef g():\r\n    pass\r", "m.py")
+    assert [r["section"] for r in rows] == ["m.py#module", "m.py#f", "m.py#g"]
+    deep = "x = " + "(" * 5000 + ")" * 5000 + "\ndef f():\n    pass\n"
+    rows = chunk(spark, "code", deep, "m.py", size=20000)
+    assert [r["section"] for r in rows] == ["m.py#module", "m.py#f"]
 
 
 def test_code_without_symbols_and_broken_code(spark):
@@ -125,17 +197,17 @@ def test_sections(spark):
     def section(path):
         return value(spark, extract_section(F.lit(GUIDE), F.lit(path)))
 
-    assert section("Overview > Parts") == "### Parts\n\nthe parts"
-    assert section("Overview").startswith("## Overview") and "the parts" in section("Overview")
-    assert section("Platform > Limits") == "## Limits\n\nwhat it is not"
+    assert section("Boarding > Bicycles") == "### Bicycles\n\nWalk them on."
+    assert section("Boarding").startswith("## Boarding") and "Engines off." in section("Boarding")
+    assert section("Ferry handbook > Safety") == "## Safety\n\nVests are under the seats."
     assert section("Nothing") is None and section(" > ") is None
 
 
 def test_section_requests(spark):
     docs = spark.createDataFrame([("data/g.md", GUIDE)], "source_path string, text string")
     asked = spark.createDataFrame(
-        [("data/g.md", "Limits"), ("data/g.md", None), ("data/none.md", "Limits")], "source_path string, section string"
+        [("data/g.md", "Safety"), ("data/g.md", None), ("data/none.md", "Safety")], "source_path string, section string"
     )
     found = {(r["source_path"], r["section"]): r["content"] for r in lookup_sections(asked, docs).collect()}
-    assert found["data/g.md", "Limits"].startswith("## Limits")
-    assert found["data/g.md", None] == GUIDE and found["data/none.md", "Limits"] is None
+    assert found["data/g.md", "Safety"].startswith("## Safety")
+    assert found["data/g.md", None] == GUIDE and found["data/none.md", "Safety"] is None

@@ -26,8 +26,9 @@ def test_schema_triples():
     assert len(SCHEMA.extractable_triples()) == 19
     assert ("System", "IMPLEMENTS", "Obligation") in SCHEMA.declared_triples()
     assert not any((s, t) == ("System", "Obligation") for _, s, _, t in SCHEMA.extractable_triples())
-    text = SCHEMA.render()
-    assert "NODE LABELS:" in text and "- (: System)-[:DEPENDS_ON]->(: System)" in text and "PROVENANCE:" in text
+    described = SCHEMA.describe()
+    assert described["links"]["DEPENDS_ON"]["between"] == ["System to System"]
+    assert set(described["labels"]) == set(SCHEMA.labels) and described["on_every_link"]
 
 
 def test_entities(spark):
@@ -159,5 +160,16 @@ def test_prompt_is_filled_per_row(spark):
         "doc_type string, title string, source_path string, section string, clause string, text string",
     )
     prompt = row.select(ex.extraction_prompt(SCHEMA, EngineConfig()).alias("p")).first()["p"]
-    assert "Document title: T {x}" in prompt and "Labels you may use: Control, Risk, Obligation, CpsClause" in prompt
-    assert "w" * 4000 in prompt and "w" * 4001 not in prompt and '{"entities": [{"label"' in prompt
+    sent = json.loads(prompt)
+    assert sent["piece"] == {"title": "T {x}", "source_path": "data/p.md", "section": "S", "clause": "", "text": "w" * 5000}
+    assert list(sent["class"]["labels"]) == ["Control", "Risk", "Obligation", "CpsClause"]
+    assert set(sent["instructions"]["reply"]) == {"entities", "relations"}
+
+
+def test_accepted_replies_are_strict_json(spark):
+    raw = 'So: {"entities": [{"label": "Control", "name": "a", "name": "MFA", "n": NaN}], "entities": [{"label": "Control", "name": "b", "name": "MFA"}]}'
+    payload, error = ex.call_model(ScriptedModel([raw]), "p", EngineConfig())
+    assert error == "" and json.loads(payload) == {"entities": [{"label": "Control", "name": "MFA"}]}
+    payload, _ = ex.call_model(ScriptedModel(['{"entities": [{"label": "Control", "name": "x", "standard": NaN}]}']), "p", EngineConfig())
+    df = spark.createDataFrame([("c", "security", payload)], "chunk_id string, doc_type string, payload string")
+    assert [r["key"] for r in ex.merge_mentions(ex.entity_verdicts(df, SCHEMA, "chunk_id"), SCHEMA, "chunk_id").collect()] == ["x"]

@@ -1,90 +1,86 @@
 import pytest
 
 from docweave.plans import guard
+from docweave.plans.patterns import Graph
 
-READS = [
-    "MATCH (n:Chunk) RETURN n LIMIT 5",
-    "MATCH (s:Settings) WHERE s.updated_at > 10 RETURN s",
-    "MATCH (n) WHERE n.note = 'please CALL back' RETURN n",
-    "MATCH (n) WHERE n.status = 'SETTLED' RETURN n.offset",
-]
-WRITES = ["CREATE (n)", "merge (n)", "MATCH (n) DeLeTe n", "MATCH (n) SET n.x = 1", "DROP INDEX i", "MATCH (n) REMOVE n.x",
-          "CALL db.x()", "MATCH (n) FOREACH (x IN [1] | CREATE (m))", 'MATCH (n) WHERE n.a = "merge me" MERGE (m)', "LOAD x", "MATCH (n) DETACH n"]
-URLS = ["LOAD CSV FROM 'https://x.example/a' AS r RETURN r", 'MATCH (n) WHERE n.u = "http://x" RETURN n', "RETURN 'HTTPS://X'"]
-EMPTY = ["", "  ", "```\n```", ";"]
+VIEWS = ("nodes", "edges")
 
 
-@pytest.mark.parametrize("statement", READS)
-def test_reads_pass_unchanged(statement):
-    assert guard.clean_statement(statement) == statement
-
-
-@pytest.mark.parametrize("statements, message", [(WRITES, guard.WRITES), (URLS, guard.HAS_URL), (EMPTY, guard.EMPTY)])
-def test_rejections(statements, message):
-    for statement in statements:
-        with pytest.raises(ValueError, match=message.split(";")[0]):
-            guard.clean_statement(statement)
-
-
-def test_column_form_agrees(spark):
-    rows = [(s, "ok") for s in READS] + [(s, "write_keyword") for s in WRITES] + [(s, "url") for s in URLS] + [(s, "empty") for s in EMPTY]
-    df = spark.createDataFrame(rows, "statement string, verdict string")
-    assert df.where(guard.verdict(df["statement"]) != df["verdict"]).collect() == []
-
-
-def test_fences_and_semicolons():
-    assert guard.clean_statement("```cypher\nMATCH (n) RETURN n\n```") == "MATCH (n) RETURN n"
-    assert guard.clean_statement("MATCH (n) RETURN n;;") == "MATCH (n) RETURN n"
+@pytest.fixture(scope="module", autouse=True)
+def views(spark):
+    nodes = spark.createDataFrame([("Ship", "a", "A"), ("Ship", "b", "B"), ("Port", "p", "P")], "label string, key string, name string")
+    edges = spark.createDataFrame(
+        [("CALLS_AT", "Ship", "a", "Port", "p", "c1", "d1")],
+        "rel_type string, source_label string, source_key string, target_label string, target_key string, source_chunk string, source_document string",
+    )
+    Graph(nodes, edges).register_views()
 
 
 @pytest.mark.parametrize(
-    "given, repaired",
+    "statement, count",
     [
-        ("RETURN n.x AS a, n.y AS a, n.z AS a, n.w AS a_2", "RETURN n.x AS a, n.y AS a_2, n.z AS a_3, n.w AS a_2_2"),
-        ("RETURN n.a AS x,\n  n.b AS x\nORDER BY x LIMIT 5", "RETURN n.a AS x,\n  n.b AS x_2\nORDER BY x LIMIT 5"),
-        ("MATCH (a) RETURN a.x AS k UNION MATCH (b) RETURN b.y AS k", None),
-        ("RETURN collect(n.a, n.b) AS t, 'AS t, x AS t' AS note, n LIMIT 5", None),
-        ("RETURN n.limit AS a, n.skip AS a", "RETURN n.limit AS a, n.skip AS a_2"),
-        ("MATCH (n) WHERE n.x = 1", None),
+        ("SELECT name FROM nodes WHERE label = 'Ship'", 2),
+        ("SELECT n.name FROM nodes n JOIN edges e ON n.key = e.source_key", 1),
+        ("WITH ports AS (SELECT key FROM nodes WHERE label = 'Port') SELECT * FROM ports JOIN edges ON target_key = ports.key", 1),
+        ("SELECT name FROM nodes WHERE key IN (SELECT source_key FROM edges)", 1),
+        ("SELECT label, count(*) AS n FROM nodes GROUP BY label ORDER BY n", 2),
+        ("SELECT name FROM nodes WHERE name <> 'please DELETE; DROP'", 3),
+        ("SELECT key FROM nodes UNION ALL SELECT source_key FROM edges", 4),
     ],
 )
-def test_alias_repair(given, repaired):
-    assert guard.unique_aliases(given) == (repaired or given)
-
-
-def test_literal_mask_keeps_positions():
-    text = "a 'b\\'c' \"d\" 'open"
-    assert guard.blank_literals(text) == "a " + " " * 6 + " " + " " * 3 + " " + " " * 5
+def test_reads_of_the_views_run(spark, statement, count):
+    assert guard.checked(spark, statement, VIEWS).count() == count
 
 
 @pytest.mark.parametrize(
     "statement",
     [
-        "SELECT * FROM nodes n JOIN edges e ON n.key = e.source_key",
-        "WITH a AS (SELECT key FROM nodes) SELECT a.key FROM a, edges x WHERE x.source_key = a.key",
-        "SELECT * FROM (SELECT * FROM nodes) z WHERE z.key IN (SELECT source_key FROM edges)",
-        "SELECT key FROM nodes JOIN edges USING (key)",
+        "SELECT * FROM nodes a, nodes b",
+        "SELECT * FROM nodes a CROSS JOIN edges",
+        "SELECT * FROM nodes WHERE key IN (SELECT key FROM elsewhere)",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT * FROM range(3)",
+        "SELECT reflect('java.util.UUID', 'randomUUID')",
+        "SELECT key FROM nodes; SELECT key FROM edges",
+        "INSERT INTO nodes SELECT * FROM nodes",
+        "WITH n AS (SELECT 1 AS k) INSERT INTO nodes SELECT k, k, k FROM n",
+        "CREATE TEMPORARY VIEW x AS SELECT 1",
+        "DROP VIEW nodes",
+        "SHOW TABLES",
+        "SET spark.sql.ansi.enabled = false",
+        "SELECT 'http://a.example' FROM nodes",
+        "SELECT '\n== Optimized Logical Plan ==\nProject' FROM nodes a, nodes b",
+        "SELECT nothing FROM nodes",
     ],
 )
-def test_sql_over_the_views(statement):
-    assert guard.clean_sql(statement, {"nodes", "edges"}) == statement
+def test_everything_else_is_refused(spark, statement):
+    with pytest.raises(Exception):
+        guard.checked(spark, statement, VIEWS)
+    assert spark.table("nodes").count() == 3
+
+
+def test_statement_of_a_reply():
+    assert guard.bare("Here:\n```sql\nSELECT 1;\n```\nthat is it") == "SELECT 1"
+    assert guard.bare("  SELECT 1 ; ; ") == "SELECT 1"
+    assert guard.bare("``````") == guard.bare(";;") == guard.bare("") == ""
 
 
 @pytest.mark.parametrize(
-    "statement",
+    "statement, verdict",
     [
-        "SELECT * FROM nodes, json.secret y",
-        "SELECT * FROM parquet.abc",
-        "SELECT * FROM parquet.`/etc`",
-        "SELECT * FROM range(5)",
-        "SELECT * FROM other",
-        "SELECT 1; SELECT 2",
-        "SHOW TABLES",
-        "WITH a AS (SELECT 1) INSERT INTO nodes SELECT * FROM a",
-        "SELECT reflect('java.lang.System', 'exit', 0)",
-        "SELECT TRANSFORM(key) USING 'sh' FROM nodes",
+        ("SELECT dropped, settled FROM nodes", "ok"),
+        ("SELECT 'please merge' AS note", "ok"),
+        ("update; drop table t", "write_keyword"),
+        ("Foreach x", "write_keyword"),
+        ('SELECT "Https://a"', "url"),
+        ("```\n;\n```", "empty"),
     ],
 )
-def test_sql_beyond_the_views(statement):
-    with pytest.raises(ValueError):
-        guard.clean_sql(statement, {"nodes", "edges"})
+def test_verdict_column(spark, statement, verdict):
+    df = spark.createDataFrame([(statement,)], "s string")
+    assert df.select(guard.verdict(df["s"]).alias("v")).first()["v"] == verdict
+
+
+def test_column_names():
+    assert guard.unique_columns(["a", "a", "b", "a"]) == ["a", "a_2", "b", "a_3"]
+    assert guard.unique_columns(["a", "a_2", "a"]) == ["a", "a_2", "a_3"]

@@ -120,18 +120,10 @@ def test_citations(spark):
     assert [(r["position"], r["doc_id"], r["title"], r["section"], r["clause"]) for r in rows] == [(2, "d2", "", "T", "7"), (4, "d1", "One", "S", "")]
 
 
-def test_embedding_batches_and_width(spark):
-    class Counting(em.HashingEmbedder):
-        calls = []
-
-        def embed(self, texts):
-            self.calls.append(len(texts))
-            return super().embed(texts)
-
-    counting = Counting(8)
-    assert len(em.embed_batches(counting, ["t"] * 130, 64)) == 130 and counting.calls == [64, 64, 2]
-    with pytest.raises(ValueError, match="does not match"):
-        em.check_dimension(counting, 9)
+def test_embedding_width(spark):
+    em.check_dimension(em.HashingEmbedder(8), 8)
+    with pytest.raises(ValueError, match="8 numbers"):
+        em.check_dimension(em.HashingEmbedder(8), 9)
     with pytest.raises(ValueError):
         EngineConfig(embedding_dim=5000)
     texts = spark.createDataFrame([("a b",), ("",)], "text string")

@@ -1,6 +1,3 @@
-import logging
-import threading
-import time
 from types import SimpleNamespace
 
 import pytest
@@ -8,10 +5,10 @@ from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
 from docweave.functions import text as tx
-from docweave.plans import watchdog
-from docweave.plans.tracing import RunTrace
+from docweave.plans.tracing import RunLog
 from docweave.session import shared_folder
 from docweave.sources import corpus
+from docweave.sources.jsonl import read_traces, trace_finals
 from docweave.streaming.events import answers
 
 
@@ -105,11 +102,25 @@ def test_text_functions(spark):
     assert value(spark, tx.strip_fences(F.lit("so:\n```cypher\nX\n```"))) == "X"
 
 
-def test_long_streams_come_in_parts(spark):
+def test_a_long_stream_is_one_answer(spark):
     rows = spark.range(5000).select(F.lit("s").alias("run"), "id", (F.col("id") % 10).cast("string").alias("text"))
-    parts = {r["part"]: r for r in answers(rows, ["run"], "id").collect()}
-    assert "".join(parts[p]["answer"] for p in (0, 1)) == "".join(str(i % 10) for i in range(5000))
-    assert parts[0]["tokens"] == 4096 and parts[1]["chars"] == 904
+    (row,) = answers(rows, ["run"], "id").collect()
+    assert row["answer"] == "".join(str(i % 10) for i in range(5000)) and row["tokens"] == row["chars"] == 5000
+
+
+def test_short_forms_need_a_limit(spark):
+    long = "word " * 200
+    whole, short = tx.summarize(F.lit(long)), tx.summarize(F.lit(long), 10)
+    assert value(spark, whole) == long and value(spark, short) == "word word …"
+    assert value(spark, tx.trim_message(F.lit("x" * 401), 400)) == "x" * 400 + " [truncated]"
+    assert len(value(spark, tx.purpose_label(F.lit(long)))) == 999 and len(value(spark, tx.route_rationale(F.lit(long)))) == 994
+
+
+def test_the_root_may_repeat_below_itself(spark):
+    files = spark.createDataFrame([("file:/data/security/data/a.md",), ("/data/code/b.py",)], "path string")
+    assert {(r["source_path"], r["doc_type"]) for r in corpus.walk(files, "/data").collect()} == {
+        ("data/security/data/a.md", "security"), ("data/code/b.py", "code")
+    }
 
 
 def test_settings_from_the_environment():
@@ -117,37 +128,14 @@ def test_settings_from_the_environment():
     assert (config.chunk_size, config.chunk_overlap, config.ingest_concurrency) == (512, 150, 1)
 
 
-def test_trace_failure_is_silent(tmp_path):
-    blocked = tmp_path / "file"
-    blocked.write_text("")
-    trace = RunTrace(str(blocked / "sub"))
-    assert trace.start("q", "hybrid") == trace.trace_id and trace.path is None
-    trace.step("route", {})
-    trace.final([], 1)
-
-
-def test_broken_log_stream_and_watchdog():
-    class Broken:
-        def write(self, _):
-            raise BrokenPipeError
-
-        def flush(self):
-            pass
-
-    handler = watchdog.DroppingHandler(Broken())
-    handler.emit(logging.makeLogRecord({"msg": "x"}))
-    assert handler.dropped == 1
-    codes, activity = [], watchdog.Activity()
-    thread = threading.Thread(target=watchdog.watch, args=(activity, 0.1, 0.01, None, codes.append), daemon=True)
-    thread.start()
-    thread.join(5)
-    assert codes == [75]
-    busy, ticks = watchdog.Activity(), iter(range(100000))
-    threading.Thread(
-        target=watchdog.watch, args=(busy, 0.2, 0.01, lambda: (next(ticks),), codes.append), daemon=True
-    ).start()
-    time.sleep(0.6)
-    assert codes == [75]
+def test_runs_are_appended_to_one_table(spark, tmp_path):
+    for question in ("one", "two"):
+        log = RunLog(spark, str(tmp_path / "traces"), question, "hybrid")
+        log.step("route", {"route": "lookup"})
+        log.close([], 1)
+    traces = read_traces(spark, str(tmp_path / "traces"))
+    assert traces.count() == 6 and trace_finals(traces).count() == 2
+    RunLog(spark, "", "unkept", "vector").close([], 0)
 
 
 def test_shared_folder_follows_the_session(tmp_path):
