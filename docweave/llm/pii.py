@@ -4,11 +4,14 @@ Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. An
 texts hold is protected as a value: the corpus shows which words occur beside it, and a word t discloses the
 entity e as far as its pointwise mutual information reaches e's information content,
 ``log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e))``. Words above the threshold are spans too, in the documents that
-hold the entity. Near copies would make all their words disclosures, so texts count once for each least shingle.
+hold the entity. Near copies would make all their words disclosures, so a pair needs several texts that differ
+in their least shingle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +117,10 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words_of(masked), lambda w: w.rlike(r"^\p{L}{3,}$")))
 
 
+def _least_shingle(text: Column) -> Column:
+    return F.coalesce(F.array_min(shingle_hashes(words_of(text), 5)), F.xxhash64(text))
+
+
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, sent to all tasks if it is counted small."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -122,30 +129,32 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def disclosing_terms(rows: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term, disclosure) of all terms whose disclosure reaches ``threshold``.
 
-    ``rows`` are (text_key, text), a digest and the text; ``found`` has the entity spans of those with any. An entity or a pair seen in
-    fewer than ``least_texts`` unlike texts gives no estimate.
+    ``rows`` are (text_key, text), a digest and the text; ``found`` has the entity spans of those with any. All
+    rows count for the frequencies; an entity or a pair seen in fewer than ``least_texts`` unlike texts gives no
+    estimate.
     """
+    none = rows.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
     hold = found.select("text_key", F.explode(F.array_distinct(F.transform("found", _entity))).alias("entity"))
     hold = written(hold.distinct(), "holders")
     frequent = hold.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("entity")
     pairs = written(hold.join(_small(written(frequent, "frequent")), "entity"), "shared")
     keys = written(pairs.select("text_key").distinct(), "shared-keys")
-    # Each unlike text once: texts with one least shingle count as one.
-    least = F.coalesce(F.array_min(shingle_hashes(words_of(F.col("text")), 5)), F.xxhash64("text"))
-    texts = rows.join(_small(keys), "text_key", "left_semi").select("text_key", least.alias("unlike"), "text").dropDuplicates(["text_key"])
-    texts = written(texts, "shared-texts", "zstd")
-    unlike = written(pairs.join(texts.select("text_key", "unlike"), "text_key").groupBy("entity", "unlike").agg(F.min("text_key").alias("text_key")), "unlike")
-    words = texts.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-    joint = unlike.join(words, "text_key").groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= least_texts)
-    joint = written(joint, "joint")
-    of_entity = unlike.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # The texts of these entities: how often each occurs, and the least shingle that near copies have in common.
+    holding = written(rows.join(_small(keys), "text_key", "left_semi"), "holding", "zstd")
+    weights = written(holding.groupBy("text_key").agg(F.count("*").alias("copies")), "weights")
+    texts = holding.dropDuplicates(["text_key"]).select("text_key", _least_shingle(F.col("text")).alias("unlike"), _terms(F.col("text")).alias("terms"))
+    texts = written(texts, "shared-texts")
+    of_entity = pairs.join(weights, "text_key").groupBy("entity").agg(F.sum("copies").alias("with_entity"))
+    counted = texts.join(weights, "text_key").select("text_key", "unlike", "copies", F.explode("terms").alias("term"))
+    joint = pairs.join(counted, "text_key").groupBy("entity", "term").agg(F.sum("copies").alias("joint"), F.count_distinct("unlike").alias("support"))
+    joint = written(joint.filter(F.col("support") >= least_texts), "joint")
+    if joint.isEmpty():
+        return none
     candidates = written(joint.select("term").distinct(), "candidates")
-    # The frequencies of candidates and the number of texts come from the whole corpus.
-    seen = rows.select(least.alias("unlike"), F.explode(_terms(F.col("text"))).alias("term")).join(_small(candidates), "term", "left_semi")
-    of_term = seen.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = rows.select("text_key").distinct().count()
+    words = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    of_term = words.join(_small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
     rated = joint.join(written(of_entity, "of-entity"), "entity").join(written(of_term, "of-term"), "term")
-    n = F.lit(float(max(total, 2)))
+    n = F.lit(float(max(rows.count(), 2)))
     information = F.log2(n * F.col("joint") / (F.col("with_entity") * F.col("with_term")))
     rated = rated.withColumn("disclosure", information / F.greatest(F.log2(n / F.col("with_entity")), F.lit(1e-9)))
     return written(rated.filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "disclosing")
@@ -183,7 +192,9 @@ def private_spans(docs: DataFrame, text_column: str = "text", least_texts: int =
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.md5(text).alias("text_key"), text.alias("text"))
-    found = written(rows.withColumn("found", entity_spans(F.col("text"))).filter(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]), "entities")
+    likely = rows.filter(reduce(Column.__or__, [_may_hold(kind, F.col("text")) for kind in KINDS]))
+    spans = likely.select("text_key", entity_spans(F.col("text")).alias("found")).filter(F.size("found") > 0)
+    found = written(spans.dropDuplicates(["text_key"]), "entities")
     told = term_spans(rows, found, disclosing_terms(rows, found, least_texts, threshold))
     spans = found.join(told, "text_key", "left")
     spans = _small(written(spans.toDF("pii_key", "pii_base", "pii_terms"), "spans"))
