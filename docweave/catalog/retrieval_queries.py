@@ -159,8 +159,7 @@ def golden_bm25(spark, sf_dir):
     """Every benchmark item as a question, answered in one pass over the documents."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     texts = _texts(spark, sf_dir)
-    found = br.answer_all(questions, lambda rows: br.bm25_top_k(texts, [tuple(r) for r in rows], K))
-    return _rounded(found, "score")
+    return _rounded(br.bm25_top_k(texts, questions, K), "score")
 
 
 @query(
@@ -181,12 +180,11 @@ def golden_hybrid(spark, sf_dir):
     """E3 in hybrid mode for the whole question set; an item's vector is the one with its number."""
     questions = (
         table(spark, sf_dir, "benchmark")
-        .join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id"))
+        .join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id"), "left")
         .select(F.col("item_id").alias("query_id"), "text", "embedding")
     )
     chunks = _chunks(spark, sf_dir)
-    found = br.answer_all(questions, lambda rows: br.hybrid_top_k(chunks, [tuple(r) for r in rows], K, RRF_K))
-    return _rounded(found, "score", "rrf_score")
+    return _rounded(br.hybrid_top_k(chunks, questions, K, RRF_K), "score", "rrf_score")
 
 
 @query(

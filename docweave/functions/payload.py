@@ -42,26 +42,22 @@ def items(payload: Column, name: str) -> Column:
     )
 
 
-def fields(item: Column) -> Column:
-    """The scalar fields of an object as text by name; NULL for an item that is no object.
+def scalar(item: Column, name: str) -> Column:
+    """The field ``name`` of an object as text; NULL where it is missing, null, a list or an object.
 
-    Null, list and object values become NULL. The type is looked up only for
-    texts that could come from another type.
+    A plain projection. The type is looked up only for texts that could come from another type.
     """
+    text = F.try_variant_get(item, f"$.{name}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+    nested = text.startswith("{") & kind.startswith("OBJECT") | text.startswith("[") & kind.startswith("ARRAY")
+    return F.when(nested, None).when(text.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(text)).otherwise(text)
 
-    def text(t: Column, value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        nested = t.startswith("{") & kind.startswith("OBJECT") | t.startswith("[") & kind.startswith("ARRAY")
-        return F.when(nested, None).when(t.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(t)).otherwise(t)
 
-    return F.transform_values(
-        F.try_variant_get(item, "$", "map<string,variant>"),
-        lambda _, v: tx.let(F.try_variant_get(v, "$", "string"), lambda t: text(t, v)),
-    )
+def is_object(item: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
 
 
-def first_truthy(values: Column, *names: str) -> Column:
-    """The first of the named fields that holds a non-empty, non-zero scalar, "" when none does."""
-    named = F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(values, n))
-    found = F.filter(named, lambda v: v.isNotNull() & ~v.isin("", "0", "0.0", "False"))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+def first_truthy(*fields: Column) -> Column:
+    """The first of the fields that holds a non-empty, non-zero scalar, "" when none does."""
+    told = [F.when(~f.isin("", "0", "0.0", "False"), f) for f in fields]
+    return F.coalesce(*told, F.lit(""))

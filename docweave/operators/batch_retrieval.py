@@ -13,20 +13,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vector as vec
 from docweave.operators import retrieval as rt
-from docweave.session import shared_folder
+from docweave.session import shared_folder, stored
 
 # The driver holds at most about this many questions at a time.
 QUESTIONS_AT_ONCE = 4096
 # A question slice is shipped to every task; larger sets take one scan per slice.
 SLICE_BYTES = 64 << 20
-ROWS_AT_ONCE = 512
 SCORE_DIGITS = 9
 
 
@@ -113,66 +111,24 @@ def dense_top_k(chunks: DataFrame, questions: Sequence[tuple[int, Sequence[float
     return _top(reduce(DataFrame.unionByName, map(scan, _slices(questions, 8 * width))), k)
 
 
-def _term_counts(toks: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks x terms) counts of the vocabulary's terms, and the chunk lengths."""
-    lengths = np.asarray(toks.value_lengths().fill_null(0))
-    codes = np.asarray(pc.index_in(toks.flatten(), value_set=vocabulary).fill_null(-1))
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    width = len(vocabulary)
-    flat = np.bincount((rows * width + codes)[codes >= 0], minlength=len(lengths) * width)
-    return flat.reshape(len(lengths), width), lengths
+def bm25_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """R2 for questions (query_id, text): query_id, id, score, rank, as one join of question terms and postings.
 
-
-def bm25_top_k(chunks: DataFrame, questions: Sequence[tuple[int, str]], k: int) -> DataFrame:
-    """R2 for (query_id, text) questions: query_id, id, score, rank. Two scans per question slice."""
-    kind, id_type = _arrow_type(chunks)
-    schema = pa.schema([("query_id", pa.int64()), ("id", id_type), ("score", pa.float64())])
-    if not questions:
-        return _nothing(chunks)
-    tokenized = chunks.select("id", tx.tokens(F.col("text")).alias("toks"))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield batch.slice(start, ROWS_AT_ONCE)
-
-    def scan(part: Sequence[tuple[int, str]]) -> DataFrame:
-        terms = {q: rt.query_terms(text) for q, text in part}
-        names = list(terms)
-        words = sorted(set().union(*terms.values()))
-        weights = np.array([[terms[q][w] for q in names] for w in words], dtype=np.float64).reshape(-1, len(names))
-
-        def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary = pa.array(words, pa.string())
-            df, n, total = np.zeros(len(words), dtype=np.int64), 0, 0
-            for batch in pieces(batches):
-                counts, lengths = _term_counts(batch.column("toks"), vocabulary)
-                df += (counts > 0).sum(axis=0)
-                n, total = n + len(lengths), total + int(lengths.sum())
-            # The two corpus totals travel as pseudo terms -1 and -2.
-            codes = np.concatenate([np.arange(len(words)), [-1, -2]])
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.concatenate([df, [n, total]]))], ["term", "n"])
-
-        partial = tokenized.select("toks").mapInArrow(document_frequencies, "term long, n long")
-        found = {r["term"]: r["n"] for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        n_docs, mean = found.get(-1, 0), found.get(-2, 0) / max(1, found.get(-1, 0)) or 1.0
-        idf = np.array([rt.idf(n_docs, found.get(i, 0)) for i in range(len(words))])
-        weighted = weights * idf[:, None]
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary = pa.array(words, pa.string())
-            kept = _Best(len(names), k)
-            for batch in pieces(batches):
-                counts, lengths = _term_counts(batch.column("toks"), vocabulary)
-                norm = rt.BM25_K1 * (1 - rt.BM25_B + rt.BM25_B * lengths / mean)
-                scores = np.round((counts / (counts + norm[:, None])) @ weighted, SCORE_DIGITS)
-                matched = (counts > 0).astype(np.float64) @ (weights > 0) > 0
-                kept.add(_object_ids(batch.column("id")), np.where(matched, scores, np.nan))
-            yield from kept.batches(names, schema)
-
-        return tokenized.mapInArrow(best, f"query_id long, id {kind}, score double")
-
-    return _top(reduce(DataFrame.unionByName, map(scan, _slices(questions, 4096))), k)
+    The postings of all question terms are kept in a table, from which document frequencies and scores are
+    summed; a frequent term is a skewed probe side only, which adaptive execution splits.
+    """
+    terms = questions.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    terms = stored(terms.groupBy("query_id", "term").agg(F.count("*").alias("weight")), "question-terms")
+    lengths = F.coalesce(F.sum(F.size(tx.tokens(F.col("text")))), F.lit(0))
+    n_docs, n_words = chunks.agg(F.count("*"), lengths).first()
+    mean = n_words / max(1, n_docs) or 1.0
+    found = stored(rt.postings(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "question-postings")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = stored(terms.join(df, "term").select("query_id", "term", (F.col("weight") * idf).alias("weight")), "question-weights")
+    matched = found.join(weighted, "term").groupBy("query_id", "id")
+    scored = matched.agg(F.sum(F.col("weight") * rt.bm25_weight(F.col("tf"), F.col("length"), mean)).alias("score"))
+    return _top(scored.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
 def answer_all(questions: DataFrame, answer: Callable[[list[Row]], DataFrame], path: str | None = None) -> DataFrame:
@@ -193,13 +149,12 @@ def answer_all(questions: DataFrame, answer: Callable[[list[Row]], DataFrame], p
     return spark.read.parquet(path)
 
 
-def hybrid_top_k(
-    chunks: DataFrame,
-    questions: Sequence[tuple[int, str, Sequence[float]]],
-    k: int,
-    rrf_k: int = 60,
-) -> DataFrame:
-    """R4 hybrid for (query_id, text, vector) questions: query_id, id, score, rrf_score, rank."""
-    dense = dense_top_k(chunks, [(q, v) for q, _, v in questions], k)
-    sparse = bm25_top_k(chunks, [(q, t) for q, t, _ in questions], k)
+def hybrid_top_k(chunks: DataFrame, questions: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """R4 hybrid for questions (query_id, text, embedding): query_id, id, score, rrf_score, rank.
+
+    A question without a vector is answered by its words alone.
+    """
+    asked = questions.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    dense = answer_all(asked, lambda rows: dense_top_k(chunks, [tuple(r) for r in rows], k))
+    sparse = bm25_top_k(chunks, questions, k)
     return rt.reciprocal_rank_fusion(dense, sparse, k=rrf_k, by=("query_id",)).where(F.col("rank") <= k)

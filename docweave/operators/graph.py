@@ -75,24 +75,29 @@ def last_assertions(relations: DataFrame) -> DataFrame:
     )
 
 
-def resolve_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges whose endpoints both existed when the edge was written.
+def judged_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every stated edge, ``is_written`` where both endpoints existed when it was stated.
 
     Visibility only grows with the write order, so the last statement of an
     edge decides for all of them and the joins see one row per edge. Entities
     are unique per key: a hot endpoint is a skewed probe side only, which
     adaptive execution splits.
     """
-    found = assertions.join(_endpoint(entities, "source"), ["source_label", "source_key"]).join(
-        _endpoint(entities, "target"), ["target_label", "target_key"]
+    found = assertions.join(_endpoint(entities, "source"), ["source_label", "source_key"], "left").join(
+        _endpoint(entities, "target"), ["target_label", "target_key"], "left"
     )
     seen = (F.col("source_seen") <= F.col("written")) & (F.col("target_seen") <= F.col("written"))
-    return found.where(seen).select(*EDGE, *PROVENANCE)
+    return found.select(*assertions.columns, F.coalesce(seen, F.lit(False)).alias("is_written"))
+
+
+def resolve_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges whose endpoints both existed when the edge was written."""
+    return judged_edges(assertions, entities).where("is_written").select(*EDGE, *PROVENANCE)
 
 
 def skipped_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges that were stated but not written, for want of an endpoint."""
-    return assertions.join(resolve_edges(assertions, entities).select(*EDGE), list(EDGE), "left_anti")
+    return judged_edges(assertions, entities).where("NOT is_written").drop("is_written")
 
 
 def upsert_edges(

@@ -98,16 +98,15 @@ def score_citations(expected: DataFrame, citations: DataFrame, by: Sequence[str]
     cited = citations.groupBy(
         *by, F.col("title").alias("cited_title"), F.col("clause").alias("cited_clause")
     ).agg(F.min(F.struct("position", "section")).alias("cited"))
-    fulfils = F.lower(F.coalesce("cited_title", F.lit(""))).contains(F.lower("doc_title_contains")) & (
-        F.col("clause").isNull() | (F.coalesce("cited_clause", F.lit("")) == F.col("clause"))
-    )
+    titled = F.lower(F.coalesce("cited_title", F.lit(""))).contains(F.lower("doc_title_contains"))
     keys = (*by, "expectation")
-    first = (
-        expected.join(cited, list(by))
-        .where(fulfils)
-        .groupBy(*keys)
-        .agg(F.min("cited").alias("cited"), F.lit(True).alias("hit"))
-    )
+    # An expectation with a clause meets that clause's places alone, one without meets each title once.
+    on_clause = cited.withColumn("clause", F.coalesce("cited_clause", F.lit(""))).drop("cited_clause")
+    titles = cited.groupBy(*by, "cited_title").agg(F.min("cited").alias("cited"))
+    with_clause = expected.where(F.col("clause").isNotNull()).join(on_clause, [*by, "clause"]).where(titled)
+    without = expected.where(F.col("clause").isNull()).join(titles, list(by)).where(titled)
+    met = with_clause.select(*keys, "cited").unionByName(without.select(*keys, "cited"))
+    first = met.groupBy(*keys).agg(F.min("cited").alias("cited"), F.lit(True).alias("hit"))
     return expected.join(first, list(keys), "left").select(
         *expected.columns,
         F.coalesce("hit", F.lit(False)).alias("hit"),

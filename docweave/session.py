@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +38,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared work folder; a temporary one only where none is set (local runs)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="docweave-")
+    """The cluster's shared work folder; where none is set, the warehouse, which all executors share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

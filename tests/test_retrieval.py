@@ -47,7 +47,8 @@ def test_bm25_against_the_formula(chunks):
     got = rt.bm25_top_k(chunks.where("text is not null"), "Alpha beta?", 8).orderBy("rank").collect()
     assert {r["id"] for r in got} == {i for i, s in scores.items() if s > 0}
     single = {r["id"]: r["score"] for r in got}
-    batch = br.bm25_top_k(chunks.where("text is not null"), [(1, "Alpha beta?"), (2, "nothing")], 8).collect()
+    questions = chunks.sparkSession.createDataFrame([(1, "Alpha beta?"), (2, "nothing"), (3, None)], "query_id long, text string")
+    batch = br.bm25_top_k(chunks.where("text is not null"), questions, 8).collect()
     assert {r["id"]: round(r["score"], 6) for r in batch} == {i: round(s, 6) for i, s in single.items()}
     assert rt.bm25_top_k(chunks, " ?! ", 8).collect() == []
 
@@ -72,11 +73,11 @@ def test_batch_dense_agrees(chunks):
 
 
 def test_question_slices_give_the_same(chunks, monkeypatch):
-    questions = [(i, t) for i, t in enumerate(["alpha", "beta", "gamma delta"])]
-    texts = chunks.where("text is not null")
-    whole = sorted(map(tuple, br.bm25_top_k(texts, questions, 3).collect()))
-    monkeypatch.setattr(br, "SLICE_BYTES", 4096)
-    assert sorted(map(tuple, br.bm25_top_k(texts, questions, 3).collect())) == whole
+    embedder = em.HashingEmbedder(16)
+    questions = [(i, embedder.embed_query(t)) for i, t in enumerate(["alpha", "beta", "gamma delta"])]
+    whole = sorted(map(tuple, br.dense_top_k(chunks, questions, 3).collect()))
+    monkeypatch.setattr(br, "SLICE_BYTES", 128)
+    assert sorted(map(tuple, br.dense_top_k(chunks, questions, 3).collect())) == whole
 
 
 def test_fusion_order_and_scores(spark):
@@ -132,9 +133,10 @@ def test_embedding_width(spark):
 
 
 def test_large_question_sets_are_answered_in_parts(spark, chunks, monkeypatch, tmp_path):
-    questions = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha", "beta", "gamma", "delta", "nothing"])], "query_id long, text string")
-    texts = chunks.where("text is not null")
-    answer = lambda rows: br.bm25_top_k(texts, [tuple(r) for r in rows], 3)
+    embedder = em.HashingEmbedder(16)
+    rows = [(i, embedder.embed_query(t)) for i, t in enumerate(["alpha", "beta", "gamma", "delta"])]
+    questions = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    answer = lambda rows: br.dense_top_k(chunks, [tuple(r) for r in rows], 3)
     whole = sorted(map(tuple, br.answer_all(questions, answer).collect()))
     monkeypatch.setattr(br, "QUESTIONS_AT_ONCE", 2)
     parts = br.answer_all(questions, answer, str(tmp_path / "answers"))

@@ -139,11 +139,8 @@ def test_runs_are_appended_to_one_table(spark, tmp_path):
 
 
 def test_shared_folder_follows_the_session(tmp_path):
-    def session(master, **settings):
-        conf = SimpleNamespace(get=lambda name, default: settings.get(name.replace(".", "_"), default))
-        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
-
-    assert shared_folder(session("yarn", spark_checkpoint_dir=str(tmp_path))) == str(tmp_path)
-    assert "docweave-" in shared_folder(session("local[2]"))
-    with pytest.raises(RuntimeError):
-        shared_folder(session("yarn"))
+    def session(**settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: settings.get(name.replace(".", "_"), default)))
+
+    assert shared_folder(session(spark_checkpoint_dir=str(tmp_path), spark_sql_warehouse_dir="w")) == str(tmp_path)
+    assert shared_folder(session(spark_sql_warehouse_dir="w")) == "w"
