@@ -40,6 +40,7 @@ class EngineConfig:
     query_row_chars: int | None = None
     query_error_chars: int = 400
     extract_attempts: int = 3
+    extract_slice_rows: int = 200
     extract_max_tokens: int = 8192
     answer_max_tokens: int = 4096
     query_max_tokens: int = 8192

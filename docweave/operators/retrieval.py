@@ -218,7 +218,12 @@ def pin(top: DataFrame) -> DataFrame:
 
 
 def fetch_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
-    """result rows with text and location, NULLs as empty strings. ``top`` holds at most k rows."""
+    """result rows with text and location, NULLs as empty strings. ``top`` holds at most k rows.
+
+    Their ids are named in the scan, so that row groups without any of them are skipped.
+    """
+    top = pin(top)
+    chunks = chunks.where(F.col("id").isin(*[r["id"] for r in top.select("id").collect()]))
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", *RESULT_COLUMNS)]
     return chunks.join(F.broadcast(top), "id").select(
         "id",
