@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from docweave.catalog.corpora import table
 from docweave.catalog.registry import hard_split_sql, query
-from docweave.config import EngineConfig
 from docweave.operators import batch_retrieval as br
 from docweave.operators import chunking as ck
 from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
-from docweave.operators.embedding import HashingEmbedder, embed_chunks
+from docweave.operators.embedding import HashingEmbedder, hashed_totals
 from docweave.session import shared_folder
 
 # The question every single-question query asks, and its vector in the tables' width.
@@ -297,11 +296,16 @@ def cited_retrieval(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
+        codes AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS code FROM words),
+        sums AS (SELECT doc_id, code % {WIDTH} AS bucket, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS total FROM codes GROUP BY ALL),
+        filled AS (SELECT d.doc_id, b.bucket, CAST(coalesce(total, 0) AS BIGINT) AS total
+                   FROM documents d CROSS JOIN (SELECT range AS bucket FROM range({WIDTH})) b LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.bucket = b.bucket)
+        SELECT doc_id, count(*) AS width, sha256(string_agg(CAST(total AS VARCHAR), ',' ORDER BY bucket)) AS digest FROM filled GROUP BY doc_id"""
+)
 def embedded_documents(spark, sf_dir):
-    """L1: the offline embedder over all documents; width and norm per document."""
-    config = EngineConfig(embedding_dim=WIDTH)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = embed_chunks(docs, lambda: HashingEmbedder(WIDTH), config)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return vectors.select("doc_id", F.size("embedding").cast("long").alias("width"), F.round(norm, 4).alias("norm"))
+    """L1: the offline embedder over all documents, its signed word counts as a digest."""
+    totals = hashed_totals(table(spark, sf_dir, "documents").select("doc_id", "text"), WIDTH)
+    joined = F.array_join(F.transform("totals", lambda t: t.cast("string")), ",")
+    return totals.select("doc_id", F.size("totals").cast("long").alias("width"), F.sha2(joined, 256).alias("digest"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.config import EngineConfig
+from docweave.functions import text as tx
 
 
 class Embedder(Protocol):
@@ -31,8 +32,8 @@ class HashingEmbedder:
     def embed_query(self, text: str) -> list[float]:
         vector = np.zeros(self.dim)
         for word in re.findall(r"\w+", text.lower()):
-            code = zlib.crc32(word.encode("utf-8"))
-            vector[code % self.dim] += 1.0 if code & 0x80000000 else -1.0
+            code = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+            vector[code % self.dim] += 1.0 if code >= 1 << 31 else -1.0
         norm = float(np.sqrt(vector @ vector))
         return [float(x) for x in (vector / norm if norm else vector).astype(np.float32)]
 
@@ -40,6 +41,29 @@ class HashingEmbedder:
         return [self.embed_query(t) for t in texts]
 
 
+def hashed_totals(texts: DataFrame, dim: int, id_column: str = "doc_id") -> DataFrame:
+    """(id_column, totals): the offline embedder's signed word counts per bucket, before scaling to length one.
+
+    Word counts are summed per bucket in the map tasks; a row of ``texts`` is one text.
+    """
+    word = texts.select(id_column, F.explode(tx.tokens(F.col("text"))).alias("word"))
+    code = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    signed = word.select(id_column, (code % dim).alias("bucket"), F.when(code >= 1 << 31, 1).otherwise(-1).alias("sign"))
+    sums = signed.groupBy(id_column, "bucket").agg(F.sum("sign").alias("total"))
+    held = sums.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "total"))).alias("held"))  # dim entries at most
+    joined = texts.select(id_column).join(held, id_column, "left")
+    buckets = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    return joined.select(id_column, F.transform(buckets, lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0).cast("long"))).alias("totals"))
+
+
+def hashed_vectors(texts: DataFrame, dim: int, id_column: str = "doc_id") -> DataFrame:
+    """(id_column, embedding): HashingEmbedder's vectors by built-in functions."""
+    totals = hashed_totals(texts, dim, id_column)
+    squares = F.aggregate("totals", F.lit(0.0), lambda a, t: a + t.cast("double") * t.cast("double"))
+    length = F.when(squares > 0, F.sqrt(squares)).otherwise(F.lit(1.0))
+    return totals.withColumn("length", length).select(id_column, F.transform("totals", lambda t: (t / F.col("length")).cast("float")).alias("embedding"))
+
+
 class OnnxEmbedder:
     """CPU ONNX embedder, available where the optional fastembed package is installed."""
 

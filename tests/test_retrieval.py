@@ -121,6 +121,12 @@ def test_citations(spark):
     assert [(r["position"], r["doc_id"], r["title"], r["section"], r["clause"]) for r in rows] == [(2, "d2", "", "T", "7"), (4, "d1", "One", "S", "")]
 
 
+def test_hashed_vectors_agree(spark):
+    texts = spark.createDataFrame([(1, "Alpha beta alpha"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["embedding"] for r in em.hashed_vectors(texts, 8).collect()}
+    assert rows[1] == pytest.approx(em.HashingEmbedder(8).embed_query("Alpha beta alpha"), abs=1e-6) and rows[2] == rows[3] == [0.0] * 8
+
+
 def test_embedding_width(spark):
     em.check_dimension(em.HashingEmbedder(8), 8)
     with pytest.raises(ValueError, match="8 numbers"):
