@@ -160,7 +160,7 @@ class ToxicityModel:
         if found is None:
             best = ("", 0.0)
             # Outer signs are punctuation as a rule; inner ones may stand for letters.
-            for part in {p for p in (token, token.strip("!|+(*#.,;:?\"')")) if p}:
+            for part in dict.fromkeys((token.strip("!|+(*#.,;:?\"')"), token)):
                 for word in _WORD.findall(part):
                     clean = decode(word, self.characters) if _CHOICE.search(word) and re.search(r"[^\W\d_]", word) else word
                     weight = max((self.weights.get(f, 0.0) for f in features(clean)), default=0.0)
