@@ -136,7 +136,7 @@ def keyword_model():
 
     class KeywordModel:
         def chat(self, messages, temperature=0.0, max_tokens=0):
-            text = messages[0].split("---")[1]
+            text = json.loads(messages[0])["piece"]["text"]
             if "broken" in text:
                 return Reply("no json")
             names = [w for w in text.split() if w.startswith("Sys")]
