@@ -29,6 +29,8 @@ from docweave.llm.near_dedup import shingles
 # Labelled rows that the weights are fitted on, at most; a hash of the text picks them where there are more.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
+# Up to so many labels (12 bytes each) go to all tasks; beyond it texts and labels are shuffled by id.
+BROADCAST_LABELS = 1_000_000
 STEM_LENGTHS = (4, 5, 6)
 LEAST_TEXTS = 5
 LEAST_WEIGHT = 3.0
@@ -187,7 +189,9 @@ def fit(
         F.col("y").isNotNull() & ~held_out(F.col("id"))
     )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
-    labelled = written(texts.join(marks.groupBy("id").agg(F.max("y").alias("y")), "id").select("text", "y"), "labelled", "zstd")
+    marks = written(marks.groupBy("id").agg(F.max("y").alias("y")), "marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    labelled = written(texts.join(marks, "id").select("text", "y"), "labelled", "zstd")
     share = min(1.0, training_rows / max(1, labelled.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     shared = docs.sparkSession.sparkContext.broadcast(model)
