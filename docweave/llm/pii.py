@@ -6,6 +6,10 @@ entity e as far as its pointwise mutual information reaches e's information cont
 ``log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e))``. Words above the threshold are spans too, in the documents that
 hold the entity. Near copies would make all their words disclosures, so a pair needs several texts that differ
 in their least shingle.
+
+Any entity, also one of a single text, is held against the words near it: the chance of the entity given such a word
+is counted over all documents and smoothed by ``PRIOR`` observations of what the word tells of the entity's kind, so
+that ``log2(P(e|t) N / n(e)) / log2(N / n(e))`` needs no least number of texts.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ TERM = "term"
 LEAST_TEXTS = 3
 THRESHOLD = 0.8
 REMOVE_FROM = 0.95
+# Characters before and after an entity whose words are near it, and the weight of what a word tells of the kind.
+NEAR_CHARS = 100
+PRIOR = 1.0
 BROADCAST_ROWS = 100_000
+BROADCAST_TERMS = 1_000_000
 
 # The patterns of the kinds, with possessive repeats so that no text can make them backtrack. An
 # e-mail address starts where its run of characters does, or where the match before it ended.
@@ -109,12 +117,36 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _terms(text: Column) -> Column:
-    """Distinct words of three letters or more outside all entities."""
-    masked = text
-    for kind in KINDS:
-        masked = F.regexp_replace(masked, PATTERNS[kind], " ")
-    return F.array_distinct(F.filter(words_of(masked), lambda w: w.rlike(r"^\p{L}{3,}$")))
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of all spans; what follows them keeps its place."""
+
+    def blank(t: Column, ordered: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(s: Column, p: Column) -> Column:
+            start = F.greatest(p["start"], s["at"])
+            between = F.substring(t, s["at"] + 1, start - s["at"])
+            return F.struct(F.greatest(p["end"], s["at"]).alias("at"), F.concat(s["out"], between, F.repeat(F.lit(" "), p["end"] - start)).alias("out"))
+
+        return F.aggregate(ordered, first, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+
+    return blank(text, F.array_sort(spans, lambda a, b: a["start"] - b["start"]))
+
+
+def _terms(masked: Column) -> Column:
+    """Distinct words outside all entities."""
+    return F.array_distinct(words_of(masked))
+
+
+def _near_terms(masked: Column, span: Column, chars: int) -> Column:
+    """Distinct whole words among ``chars`` characters on either side of the span."""
+    start = F.greatest(span["start"] - chars - 1, F.lit(0))
+    before = F.substring(masked, start + 1, span["start"] - start)
+    before = F.when(start > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]++", "")).otherwise(before)
+    # A word that the last character belongs to goes on behind it, unless the text ends there.
+    after = F.substring(masked, span["end"] + 1, F.lit(chars + 1))
+    after = F.when(F.length(after) > chars, F.regexp_replace(after, r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$", "")).otherwise(after)
+    return F.array_distinct(words_of(F.concat(before, F.lit(" "), after)))
 
 
 def _least_shingle(text: Column) -> Column:
@@ -126,38 +158,69 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def disclosing_terms(rows: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+def _of_terms(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(term, with_term): how many rows hold each of the candidates."""
+    words = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    if candidates.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(candidates), "term", "left_semi")
+        return words.groupBy("term").agg(F.count("*").alias("with_term"))
+    return words.groupBy("term").agg(F.count("*").alias("with_term")).join(candidates, "term", "left_semi")
+
+
+def disclosing_terms(
+    rows: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS, threshold: float = THRESHOLD, chars: int = NEAR_CHARS, prior: float = PRIOR
+) -> DataFrame:
     """(entity, term, disclosure) of all terms whose disclosure reaches ``threshold``.
 
     ``rows`` are (text_key, text), a digest and the text; ``found`` has the entity spans of those with any. All
-    rows count for the frequencies; an entity or a pair seen in fewer than ``least_texts`` unlike texts gives no
-    estimate.
+    rows count for the frequencies. Words anywhere in the texts of an entity are rated by plain counts if
+    ``least_texts`` unlike texts hold both; words within ``chars`` characters of an entity always are, by smoothed
+    counts. The higher value counts.
     """
-    none = rows.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
-    hold = found.select("text_key", F.explode(F.array_distinct(F.transform("found", _entity))).alias("entity"))
-    hold = written(hold.distinct(), "holders")
+    entity = F.transform("found", _entity)
+    hold = written(found.select("text_key", F.explode(F.array_distinct(entity)).alias("entity")).distinct(), "holders")
+    # The texts with entities: how often each occurs, and what is near its entities.
+    keys = written(found.select("text_key").distinct(), "holding-keys")
+    holding = written(rows.join(_small(keys), "text_key", "left_semi"), "holding", "zstd")
+    weights = _small(written(holding.groupBy("text_key").agg(F.count("*").alias("copies")), "weights"))
+    single = holding.dropDuplicates(["text_key"]).join(_small(found), "text_key")
+    single = written(single.select("text_key", "text", "found", _masked(F.col("text"), F.col("found")).alias("masked")), "holding-texts", "zstd")
+    spans = single.select("text_key", "masked", F.explode("found").alias("s"))
+    near = spans.select("text_key", _entity(F.col("s")).alias("entity"), F.col("s.kind").alias("kind"), F.explode(_near_terms(F.col("masked"), F.col("s"), chars)).alias("term"))
+    near = written(near.distinct().join(weights, "text_key"), "near")
+
+    # Words anywhere in the texts of entities that several texts hold, with the least shingle that near copies share.
     frequent = hold.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("entity")
     pairs = written(hold.join(_small(written(frequent, "frequent")), "entity"), "shared")
-    keys = written(pairs.select("text_key").distinct(), "shared-keys")
-    # The texts of these entities: how often each occurs, and the least shingle that near copies have in common.
-    holding = written(rows.join(_small(keys), "text_key", "left_semi"), "holding", "zstd")
-    weights = written(holding.groupBy("text_key").agg(F.count("*").alias("copies")), "weights")
-    texts = holding.dropDuplicates(["text_key"]).select("text_key", _least_shingle(F.col("text")).alias("unlike"), _terms(F.col("text")).alias("terms"))
+    shared = single.join(_small(written(pairs.select("text_key").distinct(), "shared-keys")), "text_key", "left_semi")
+    texts = shared.select("text_key", _least_shingle(F.col("text")).alias("unlike"), _terms(F.col("masked")).alias("terms"))
     texts = written(texts, "shared-texts")
-    of_entity = pairs.join(weights, "text_key").groupBy("entity").agg(F.sum("copies").alias("with_entity"))
     counted = texts.join(weights, "text_key").select("text_key", "unlike", "copies", F.explode("terms").alias("term"))
     joint = pairs.join(counted, "text_key").groupBy("entity", "term").agg(F.sum("copies").alias("joint"), F.count_distinct("unlike").alias("support"))
-    joint = written(joint.filter(F.col("support") >= least_texts), "joint")
-    if joint.isEmpty():
-        return none
-    candidates = written(joint.select("term").distinct(), "candidates")
-    words = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    of_term = words.join(_small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    rated = joint.join(written(of_entity, "of-entity"), "entity").join(written(of_term, "of-term"), "term")
+    joint = written(joint.filter(F.col("support") >= least_texts).select("entity", "term", "joint"), "joint")
+
+    candidates = written(joint.select("term").union(near.select("term")).distinct(), "candidates")
+    of_term = written(_of_terms(rows, candidates), "of-term")
+    of_term = F.broadcast(of_term) if of_term.count() <= BROADCAST_TERMS else of_term
+    of_entity = _small(written(hold.join(weights, "text_key").groupBy("entity").agg(F.sum("copies").alias("with_entity")), "of-entity"))
+    kinds = hold.select("text_key", F.split_part("entity", F.lit(":"), F.lit(1)).alias("kind")).distinct()
+    of_kind = F.broadcast(written(kinds.join(weights, "text_key").groupBy("kind").agg(F.sum("copies").alias("with_kind")), "of-kind"))
     n = F.lit(float(max(rows.count(), 2)))
-    information = F.log2(n * F.col("joint") / (F.col("with_entity") * F.col("with_term")))
-    rated = rated.withColumn("disclosure", information / F.greatest(F.log2(n / F.col("with_entity")), F.lit(1e-9)))
-    return written(rated.filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "disclosing")
+    own = F.greatest(F.log2(n / F.col("with_entity")), F.lit(1e-9))
+
+    plain = joint.join(of_entity, "entity").join(of_term, "term")
+    plain = plain.select("entity", "term", (F.log2(n * F.col("joint") / (F.col("with_entity") * F.col("with_term"))) / own).alias("disclosure"))
+    beside = near.groupBy("entity", "kind", "term").agg(F.sum("copies").alias("joint"))
+    kind_terms = near.select("text_key", "kind", "term", "copies").distinct().groupBy("kind", "term").agg(F.sum("copies").alias("kind_joint"))
+    told = kind_terms.join(of_kind, "kind").join(of_term, "term")
+    of_kind_given = (F.col("kind_joint") + prior * F.col("with_kind") / n) / (F.col("with_term") + prior)
+    told = written(told.select("kind", "term", "with_kind", "with_term", of_kind_given.alias("kind_given")), "kind-terms")
+    told = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
+    smoothed = beside.join(told, ["kind", "term"]).join(of_entity, "entity")
+    given = (F.col("joint") + prior * F.col("kind_given") * F.col("with_entity") / F.col("with_kind")) / (F.col("with_term") + prior)
+    smoothed = smoothed.select("entity", "term", (F.log2(given * n / F.col("with_entity")) / own).alias("disclosure"))
+    rated = plain.union(smoothed).filter(F.col("disclosure") >= threshold)
+    return written(rated.groupBy("entity", "term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
 
 
 def term_spans(rows: DataFrame, found: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:

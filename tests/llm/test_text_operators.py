@@ -224,3 +224,20 @@ def test_disclosing_terms_and_clean_text(spark):
     # Away from the entity a term gives nothing away.
     assert clean[201]["c"] == "Zanzibar alone" and clean[None]["c"] == "[PHONE]" and clean[200]["c"] is None and clean[0]["c"] == rows[0][1]
     assert pii.private_spans(docs.limit(0)).count() == 0
+
+
+def test_terms_beside_an_entity_of_one_text(spark):
+    draw = random.Random(12)
+    noise = ["".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(3)) for _ in range(100)]
+    plain = lambda n: [draw.choice(noise) for _ in range(n)]
+    far = " ".join([*plain(60), "Quux"])
+    rows = [(i, " ".join(plain(60))) for i in range(120)]
+    rows += [(200, f"{far} {' '.join(plain(40))} contact Wu of Zanzibar, acct4711 or 90210, at one@example.org {' '.join(plain(40))}")]
+    rows += [(201 + i, f"contact {' '.join(plain(30))} user{i}@example.org") for i in range(20)]
+    found = pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r["doc_id"]: {r["text"][s["start"] : s["end"]] for s in r["pii_terms"]} for r in found.collect()}
+    assert {"Wu", "Zanzibar", "acct4711", "90210"} <= spans[200]
+    # Neither far words nor those of many texts give the entity away.
+    assert not {"Quux", "contact"} & spans[200] and not any(spans[i] for i in range(120))
+    (clean,) = found.filter("doc_id = 200").select(pii.sanitised(F.col("text"), F.concat("pii_base", "pii_terms"))).first()
+    assert "acct4711" not in clean and "90210" not in clean and "[EMAIL]" in clean
