@@ -1,11 +1,10 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact check.
-
-A window that reaches the similarity shares shingles with its item, most of them at one alignment; so the
-windows of a document are those that put a shared shingle where the item has it, if enough shared shingles agree
-on the place. Windows are as long as the item (the whole document where that is shorter). Window and items get a
-64-bit SimHash over their words. Fingerprints are cut into one block more than the radius: two that differ in at
-most ``radius`` bits agree in a block, so a join on equal blocks finds every pair within the radius, and no
-other filter stands before the exact weighted shingle similarity of window and item.
+"""Benchmark passages in documents: exact similarity of every item-sized window that can reach it, with SimHash distance.
+
+A window that reaches the similarity has a least number of shingles in common with its item, wherever they stand in
+either. So for each document and item the places of shared shingles are listed, and every window that holds that many
+is compared, exactly, by the weighted shingles. Windows are as long as the item (the whole document where that is
+shorter). The best window and its item get a 64-bit SimHash over their words; its distance is reported and settles
+ties, but decides nothing else, as no radius is sure to hold all windows at the similarity.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from docweave.llm.common import let, table, written
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 16
 BITS = 64
 # Up to so many shingles of all items (16 bytes each) go to all tasks; beyond it both sides are shuffled by shingle.
 BROADCAST_SHINGLES = 500_000
@@ -80,7 +78,6 @@ def contamination(
     item_text_column: str = "text",
     words: int = WORDS,
     similarity: float = SIMILARITY,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): the best window of each document for each item.
 
@@ -89,27 +86,49 @@ def contamination(
     items are reported under the smallest id. Other columns are not looked at.
     """
     items = written(benchmark_items(benchmark, item_id_column, item_text_column, words), "items")
-    # A pair at the similarity leaves at most a quarter of the item's shingles unmatched; every shift of the
-    # alignment costs four of them, so one alignment holds its part of the rest.
-    matched = F.ceil(similarity * (F.col("n_words") - words + 1))
-    shifts = F.floor((F.col("n_words") - words + 1) * (1 / similarity - 1) / (words - 1)) + 1
-    seeds = items.select(
-        "item_id", "n_words", F.ceil(matched / shifts).alias("least"), F.posexplode(shingle_hashes(F.col("words"), words)).alias("offset", "shingle")
-    )
-    seeds = written(seeds, "seeds")
+    size = F.col("n_words") - words + 1
+    seeds = items.select("item_id", "n_words", F.explode(shingle_hashes(F.col("words"), words)).alias("shingle"))
+    seeds = written(seeds.groupBy("item_id", "n_words", "shingle").agg(F.count("*").cast("int").alias("m")), "seeds")
     shared = seeds.select("shingle").distinct()
     if seeds.count() <= BROADCAST_SHINGLES:
         shared, seeds = F.broadcast(shared), F.broadcast(seeds)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    placed = rows.select("doc_id", "text_key", F.posexplode(shingle_hashes(words_of(F.col("text")), words)).alias("position", "shingle"))
+    all_runs = rows.select("doc_id", "text_key", shingle_hashes(words_of(F.col("text")), words).alias("runs"))
+    placed = all_runs.select("doc_id", "text_key", F.size("runs").alias("total"), F.posexplode("runs").alias("position", "shingle"))
     hits = written(placed.join(shared, "shingle", "left_semi"), "hits")
-    aligned = hits.join(seeds, "shingle").groupBy("doc_id", "text_key", "item_id", "n_words", "least", (F.col("position") - F.col("offset")).alias("at"))
-    spots = aligned.agg(F.count("*").alias("n")).filter("n >= least").select("doc_id", "text_key", F.greatest("at", F.lit(0)).alias("at"), "n_words")
-    spots = written(spots.distinct(), "spots")
-
-    # The few documents with such places are read again for their words.
-    holders = spots.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n_words")).alias("spots"))
+    # Of the places of a shingle that the item has m times, one counts in windows that begin behind the m-th place before it.
+    pair = ["doc_id", "text_key", "total", "item_id", "n_words"]
+    places = hits.join(seeds, "shingle").groupBy(*pair, "shingle", "m").agg(F.sort_array(F.collect_set("position")).alias("at"))
+    behind = lambda p, i: F.struct(p.alias("position"), F.when(i >= F.col("m"), F.get("at", i - F.col("m"))).otherwise(-1).alias("before"))
+    listed = places.select(*pair, F.transform("at", behind).alias("hits")).groupBy(*pair).agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    # So many shingles a window at the similarity has in common with the item.
+    weight = F.least(size, F.col("total"))
+    least = F.ceil(similarity * (weight + size) / (1 + similarity) - 1e-9).cast("int")
+    listed = listed.select("*", size.alias("size"), weight.alias("weight"), least.alias("least")).filter(F.size("hits") >= F.col("least"))
+    listed = written(listed, "places")
+
+    def starting(i: Column) -> Column:
+        """(both, start) of all windows whose first hit is the i-th and that hold at least ``least`` hits."""
+        first, last = F.get("hits", i)["position"], F.get("hits", i + F.col("least") - 1)["position"]
+        low = F.greatest(F.coalesce(F.get("hits", i - 1)["position"] + 1, F.lit(0)), last - F.col("size") + 1, F.lit(0))
+        high = F.least(first, F.greatest(F.col("total") - F.col("size"), F.lit(0)))
+        inside = lambda s: lambda h: (h["position"] < s + F.col("size")) & (h["before"] < s)
+        count = lambda s: F.size(F.filter(F.slice("hits", i + 1, F.col("size")), inside(s)))
+        counts = F.transform(F.sequence(low, high), lambda s: F.struct(count(s).alias("both"), s.alias("start")))
+        return F.when(low <= high, counts).otherwise(F.array().cast("array<struct<both:int,start:int>>"))
+
+    tried = listed.select(*pair, "size", "weight", "least", F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - F.col("least")), starting)).alias("tried"))
+    most = F.array_max(F.transform("tried", lambda w: w["both"]))
+    tried = tried.withColumn("both", most).filter(F.col("both") >= F.col("least"))
+    value = F.col("both") / (F.col("weight") + F.col("size") - F.col("both"))
+    best = F.explode(F.filter("tried", lambda w: w["both"] == F.col("both"))).alias("w")
+    spots = tried.withColumn("similarity", value).filter(F.col("similarity") >= similarity)
+    spots = spots.select("doc_id", "text_key", "item_id", "n_words", "similarity", best).withColumn("start", F.col("w.start")).drop("w")
+    spots = written(spots, "spots")
+
+    # The few documents with such windows are read again for their words.
+    holders = spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "start", "n_words", "similarity")).alias("spots"))
     holders = holders.select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), "spots")
     if spots.count() <= BROADCAST_WINDOWS:
         holders = F.broadcast(holders)
@@ -117,46 +136,18 @@ def contamination(
     texts = found.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), "spots").dropDuplicates(["doc_id", "text_key"])
     cut = let(
         F.struct("words", "spots"),
-        lambda s: F.array_distinct(
-            F.transform(
-                s["spots"],
-                lambda p: let(
-                    F.greatest(F.least(p["at"], F.size(s["words"]) - p["n_words"]), F.lit(0)),
-                    lambda at: F.struct(at.alias("start"), p["n_words"].alias("n_words"), F.slice(s["words"], at + 1, p["n_words"]).alias("words")),
-                ),
-            )
-        ),
+        lambda s: F.transform(s["spots"], lambda p: p.withField("words", F.slice(s["words"], p["start"] + 1, p["n_words"]))),
     )
     windows = texts.select("doc_id", "text_key", F.explode(cut).alias("w")).select("doc_id", "text_key", "w.*")
-    windows = windows.withColumn("fingerprint", simhash(F.col("words")))
-    # A window's name: its document, place and length.
-    name = F.struct("doc_id", "text_key", "start", "n_words").alias("window")
-    windows = written(windows.select(F.to_json(name).alias("window"), "*"), "windows")
-
-    prints = items.select("item_id", F.col("n_words").alias("size"), F.col("words").alias("item_words"), simhash(F.col("words")).alias("item_print"))
-    prints = written(prints, "fingerprints")
-    left = windows.select("window", "n_words", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
-    right = prints.select("item_id", "size", "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("c"))
-    near = left.join(right, (F.col("n_words") == F.col("size")) & (F.col("b") == F.col("c")))
+    windows = windows.select("doc_id", "text_key", "item_id", "start", "similarity", F.size("words").alias("length"), simhash(F.col("words")).alias("fingerprint"))
+    prints = written(items.select("item_id", simhash(F.col("words")).alias("item_print")), "fingerprints")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    near = near.filter(distance <= radius).select("window", "item_id", distance.alias("distance")).distinct()
-    near = written(near, "near")
-
-    # Weighted similarity: the smaller count of every shared shingle over the larger of all.
-    parts = lambda words_column: F.explode(shingle_hashes(words_column, words)).alias("shingle")
-    window_counts = windows.select("window", parts(F.col("words"))).groupBy("window", "shingle").agg(F.count("*").alias("n"))
-    item_counts = prints.select("item_id", "size", parts(F.col("item_words"))).groupBy("item_id", "size", "shingle").agg(F.count("*").alias("m"))
-    met = near.join(written(window_counts, "window-counts"), "window").join(written(item_counts, "item-counts"), ["item_id", "shingle"])
-    overlap = met.groupBy("window", "item_id", "distance", "size").agg(F.sum(F.least("n", "m")).alias("both"))
-    held = windows.select("window", "doc_id", "text_key", "start", (F.size("words") - words + 1).alias("weight"))
-    scored = overlap.join(held, "window")
-    value = F.col("both") / (F.col("weight") + F.col("size") - words + 1 - F.col("both"))
-    passed = scored.withColumn("similarity", value).filter(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("closeness"), (-F.col("start")).alias("first"), "weight")).alias("best")
-    result = passed.groupBy("doc_id", "text_key", "item_id").agg(best)
+    scored = windows.join(prints, "item_id").withColumn("distance", distance)
+    closest = F.min(F.struct("distance", "start", "length")).alias("best")
+    result = scored.groupBy("doc_id", "text_key", "item_id").agg(closest, F.first("similarity").alias("similarity"))
     return result.select(
-        "doc_id", "item_id", (-F.col("best.first")).cast("int").alias("start"), (F.col("best.weight") + words - 1).cast("int").alias("n_words"),
-        (-F.col("best.closeness")).cast("int").alias("distance"), F.col("best.similarity").alias("similarity"), F.col("text_key"),
+        "doc_id", "item_id", F.col("best.start").cast("int").alias("start"), F.col("best.length").cast("int").alias("n_words"),
+        F.col("best.distance").cast("int").alias("distance"), "similarity", "text_key",
     )
 
 

@@ -137,6 +137,27 @@ def test_benchmark_windows_equal_brute_force(spark):
     assert decontamination.contamination(docs_df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_windows_that_start_beside_every_alignment(spark):
+    item = [f"w{i}" for i in range(1, 101)]
+    other = [f"x{i}" for i in range(30)]
+    cycle = (["p", "q", "r", "s", "p", "q", "r", "t"] * 6)[:45]
+    docs = [other[:10] + item[:6] + other[10:13] + item[6:94] + item[97:] + other[13:23], other[:7] + cycle[3:] + cycle[:6] + other[7:], item[40:] + item[:40]]
+    expected = {}
+    for i, d in enumerate(docs):
+        for k, t in enumerate((item, cycle)):
+            values = []
+            for start in range(max(1, len(d) - len(t) + 1)):
+                window, wanted = bag(" ".join(d[start : start + len(t)])), bag(" ".join(t))
+                values.append((sum((window & wanted).values()) / sum((window | wanted).values()), start))
+            if (best := max(values)[0]) >= 0.8:
+                expected[i, k] = (round(best, 9), {s for v, s in values if v == best})
+    docs_df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    items_df = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(cycle))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contamination(docs_df, items_df).collect()}
+    assert found.keys() == expected.keys() and (0, 0) in expected
+    assert all(round(r["similarity"], 9) == expected[k][0] and r["start"] in expected[k][1] for k, r in found.items())
+
+
 def test_close_fingerprints_share_a_block(spark):
     draw = random.Random(2)
     base = draw.getrandbits(63)
