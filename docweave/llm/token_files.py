@@ -44,7 +44,7 @@ _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not
 
 def _has_wide_space(text: str) -> bool:
     """Whether white space may stand next to white space, or a blank at the end."""
-    return "  " in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in _OTHER_SPACE)
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in _OTHER_SPACE)
 
 
 def _byte_letters() -> dict[int, str]:

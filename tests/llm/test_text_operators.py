@@ -42,6 +42,13 @@ def test_word_ids_equal_the_librarys():
     assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
 
 
+def test_runs_of_line_feeds_equal_the_librarys():
+    own = token_files.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"{a}{chr(10) * n}{b}" for n in range(1, 6) for a in ("", "a", "the end.", "two words") for b in ("", "b", "The end,", "b\nc")]
+    expected = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
+
+
 def test_packed_ranks_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], dtype="<u4")
     for n in range(len(ranks) + 1):
