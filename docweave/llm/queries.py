@@ -10,6 +10,7 @@ from docweave.llm.masked_lm import op8_masked_lm
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
 from docweave.llm.pii import op5_pii
+from docweave.llm.ranked_search import OP13_SQL, op13_ranked_search
 from docweave.llm.sharding import op3_sharding
 from docweave.llm.token_files import op10_token_files
 from docweave.llm.toxicity import op4_toxicity
@@ -34,8 +35,9 @@ QUERIES = {
     "op8_masked_lm": op8_masked_lm,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
 # Queries without SQL are tested against brute force, exact round trips or held-out accuracy in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_ranked_search": OP13_SQL}
