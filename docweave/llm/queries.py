@@ -15,6 +15,7 @@ from docweave.llm.sharding import op3_sharding
 from docweave.llm.token_files import op10_token_files
 from docweave.llm.toxicity import op4_toxicity
 from docweave.llm.vector_search import op7_nearest_neighbours
+from docweave.llm.whitening import op12_whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,7 @@ QUERIES = {
     "op8_masked_lm": op8_masked_lm,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op12_whitening": op12_whitening,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
