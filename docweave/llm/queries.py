@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.decontamination import op2_decontamination
 from docweave.llm.language_id import op9_language_id
+from docweave.llm.line_quality import op11_line_quality
 from docweave.llm.masked_lm import op8_masked_lm
 from docweave.llm.near_dedup import op1_near_dedup
 from docweave.llm.piece_codec import op6_sentencepiece
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_masked_lm": op8_masked_lm,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_line_quality": op11_line_quality,
     "op12_whitening": op12_whitening,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
