@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docweave.catalog.corpora import table
 from docweave.catalog.registry import query
 from docweave.operators import graph as gr
-from docweave.plans.evaluation import check_paths
+from docweave.operators.loose_paths import check_paths
 from docweave.plans.patterns import Graph, Match, path_counts
 
 # label, table, key column, name column
@@ -287,32 +287,49 @@ def _loose(e: str, a: str) -> str:
     return f"({e} <> '' AND {a} <> '' AND (contains({a}, {e}) OR contains({e}, {a})))"
 
 
-@query(
-    f"""WITH {NODES_SQL},{EDGES_SQL},
+_LONG_PATHS_SQL = f"""WITH {NODES_SQL},{EDGES_SQL},
         names AS (SELECT DISTINCT {_ALNUM.format('name')} AS name FROM nodes),
         triples AS (SELECT DISTINCT rel_type, {_ALNUM.format('a.name')} AS source, {_ALNUM.format('b.name')} AS target FROM edges
             JOIN nodes a ON a.label = source_label AND a.key = source_key
             JOIN nodes b ON b.label = target_label AND b.key = target_key),
-        wanted AS (SELECT 'hop-' || n_nationkey AS path_id, replace(n_name, '_', ' ') AS s,
-              CASE n_nationkey % 3 WHEN 0 THEN 'in_region' WHEN 1 THEN 'PLACED' ELSE 'OWNS' END AS rel, r_name || '!' AS t
+        supplied AS (SELECT l_partkey, min(l_suppkey) AS suppkey FROM lineitem GROUP BY l_partkey),
+        wanted AS (SELECT 'hop-' || n_nationkey AS path_id, [replace(n_name, '_', ' '),
+              CASE n_nationkey % 3 WHEN 0 THEN 'in_region' WHEN 1 THEN 'PLACED' ELSE 'OWNS' END, r_name || '!'] AS path
             FROM nation JOIN region ON r_regionkey = (n_nationkey * 2) % 5
-          UNION ALL SELECT 'node-' || r_regionkey, 'the ' || r_name || ' market', NULL, NULL FROM region
-          UNION ALL SELECT 'none-' || r_regionkey, 'zz', 'IN_REGION', '' FROM region),
-        norm AS (SELECT *, {_ALNUM.format('s')} AS ns, {_ALNUM.format("coalesce(t, '')")} AS nt FROM wanted),
-        found AS (SELECT w.*, EXISTS (SELECT 1 FROM names WHERE {_loose('w.ns', 'names.name')}) AS s_ok,
-              EXISTS (SELECT 1 FROM names WHERE {_loose('w.nt', 'names.name')}) AS t_ok,
-              (SELECT string_agg(DISTINCT rel_type, ', ' ORDER BY rel_type) FROM triples
-                 WHERE {_loose('w.ns', 'triples.source')} AND {_loose('w.nt', 'triples.target')}) AS types,
-              EXISTS (SELECT 1 FROM triples WHERE rel_type = upper(w.rel) AND {_loose('w.ns', 'triples.source')}
-                 AND {_loose('w.nt', 'triples.target')}) AS typed FROM norm w),
-        judged AS (SELECT *, CASE WHEN rel IS NULL THEN s_ok ELSE typed END AS ok FROM found)
-        SELECT path_id, ok, CASE WHEN ok THEN '' WHEN rel IS NULL THEN 'node missing'
+          UNION ALL SELECT 'node-' || r_regionkey, ['the ' || r_name || ' market'] FROM region
+          UNION ALL SELECT 'none-' || r_regionkey, ['zz', 'IN_REGION', ''] FROM region
+          UNION ALL SELECT 'two-' || c_custkey, [c_name, 'In_Nation', n_name, CASE WHEN c_custkey % 2 = 0 THEN 'IN_REGION' ELSE 'PLACED' END, r_name]
+            FROM customer JOIN nation ON n_nationkey = c_nationkey
+            JOIN region ON r_regionkey = CASE WHEN c_custkey % 3 = 0 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END
+          UNION ALL SELECT 'three-' || p_partkey, ['a ' || p_name, 'SUPPLIED_BY', s_name, 'IN_NATION', n_name, CASE WHEN p_partkey % 4 = 0 THEN 'OWNS' ELSE 'IN_REGION' END, r_name]
+            FROM part JOIN supplied ON l_partkey = p_partkey JOIN supplier ON s_suppkey = suppkey
+            JOIN nation ON n_nationkey = CASE WHEN p_partkey % 5 = 0 THEN (s_nationkey + 1) % 25 ELSE s_nationkey END
+            JOIN region ON r_regionkey = n_regionkey),
+        norm AS (SELECT path_id, len(path) // 2 AS hops, path[2] AS r1, path[4] AS r2, path[6] AS r3, {_ALNUM.format("path[1]")} AS n0,
+            {_ALNUM.format("coalesce(path[3], '')")} AS n1, {_ALNUM.format("coalesce(path[5], '')")} AS n2, {_ALNUM.format("coalesce(path[7], '')")} AS n3 FROM wanted),
+        pairs AS (SELECT n, name FROM (SELECT n0 AS n FROM norm UNION SELECT n1 FROM norm) JOIN names ON {_loose('n', 'name')}),
+        begun AS (SELECT path_id, source, target, rel_type FROM norm JOIN pairs ON n = n0 JOIN triples ON source = name WHERE {_loose('n1', 'target')}),
+        linked AS (SELECT path_id, string_agg(DISTINCT rel_type, ', ' ORDER BY rel_type) AS types FROM begun GROUP BY path_id),
+        f1 AS (SELECT DISTINCT path_id, target AS node FROM begun JOIN norm USING (path_id) WHERE rel_type = upper(r1)),
+        f2 AS (SELECT DISTINCT path_id, target AS node FROM f1 JOIN norm USING (path_id)
+            JOIN triples ON source = node AND rel_type = upper(r2) WHERE {_loose('n2', 'target')}),
+        f3 AS (SELECT DISTINCT path_id FROM f2 JOIN norm USING (path_id)
+            JOIN triples ON source = node AND rel_type = upper(r3) WHERE {_loose('n3', 'target')}),
+        found AS (SELECT *, n0 IN (SELECT n FROM pairs) AS s_ok, n1 IN (SELECT n FROM pairs) AS t_ok,
+            CASE WHEN path_id IN (SELECT path_id FROM f3) THEN 3 WHEN path_id IN (SELECT path_id FROM f2) THEN 2
+                WHEN path_id IN (SELECT path_id FROM f1) THEN 1 ELSE 0 END AS hops_ok
+            FROM norm LEFT JOIN linked USING (path_id)),
+        judged AS (SELECT *, CASE WHEN r1 IS NULL THEN s_ok ELSE hops_ok > 0 END AS ok FROM found)
+        SELECT path_id, ok, CASE WHEN ok THEN '' WHEN r1 IS NULL THEN 'node missing'
            WHEN NOT s_ok AND NOT t_ok THEN 'both nodes missing' WHEN types IS NOT NULL THEN 'connected via ' || types
-           WHEN upper(rel) NOT IN (SELECT rel_type FROM edges) THEN 'type missing'
-           ELSE 'no edge; start=' || s_ok || ' end=' || t_ok END AS near_miss FROM judged"""
-)
+           WHEN upper(r1) NOT IN (SELECT rel_type FROM edges) THEN 'type missing'
+           ELSE 'no edge; start=' || s_ok || ' end=' || t_ok END AS near_miss, CAST(hops AS INTEGER) AS hops, hops_ok,
+           CASE WHEN r1 IS NULL THEN s_ok ELSE hops_ok = hops END AS full_ok FROM judged"""
+
+
+@query(_LONG_PATHS_SQL)
 def path_checks(spark, sf_dir):
-    """Loosely named paths between nations and regions, looked for among all names and edges."""
+    """Loosely named paths of none to three hops, looked for among all names and edges; some break at a later hop."""
     graph = trade_graph(spark, sf_dir)
     listed = gr.graph_inventory(graph.entities, graph.edges)
     nodes = listed.where(F.col("kind") == "node").select(F.col("source").alias("name"))
@@ -332,4 +349,19 @@ def path_checks(spark, sf_dir):
         F.concat(F.lit("none-"), _string("r_regionkey")).alias("path_id"),
         F.array(F.lit("zz"), F.lit("IN_REGION"), F.lit("")).alias("path"),
     )
-    return check_paths(hops.unionByName(single).unionByName(none), nodes, edges)
+    customer, supplier, part = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
+    two = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    moved = F.when(F.col("c_custkey") % 3 == 0, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey"))
+    two = two.join(region, F.col("r_regionkey") == moved).select(
+        F.concat(F.lit("two-"), _string("c_custkey")).alias("path_id"),
+        F.array("c_name", F.lit("In_Nation"), "n_name", F.when(F.col("c_custkey") % 2 == 0, "IN_REGION").otherwise("PLACED"), "r_name").alias("path"),
+    )
+    supplied = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+    three = part.join(supplied, F.col("l_partkey") == F.col("p_partkey")).join(supplier, "s_suppkey")
+    next_door = F.when(F.col("p_partkey") % 5 == 0, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey"))
+    last = F.when(F.col("p_partkey") % 4 == 0, "OWNS").otherwise("IN_REGION")
+    three = three.join(nation, F.col("n_nationkey") == next_door).join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(
+        F.concat(F.lit("three-"), _string("p_partkey")).alias("path_id"),
+        F.array(F.concat(F.lit("a "), "p_name"), F.lit("SUPPLIED_BY"), "s_name", F.lit("IN_NATION"), "n_name", last, "r_name").alias("path"),
+    )
+    return check_paths(reduce(DataFrame.unionByName, [hops, single, none, two, three]), nodes, edges)

@@ -3,91 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions import text as tx
-from docweave.operators.joins import broadcast_if_small
+from docweave.operators.loose_paths import check_paths
 from docweave.plans.agent import Agent
 
-# A slice of expectations is broadcast; larger sets take one pass per slice.
-SLICE_ROWS = 10_000
-
-
-def _in_slices(small: DataFrame, match) -> DataFrame:
-    """``match(slice)`` unioned over slices of ``small``, each counted to fit a broadcast."""
-    slices = -(-small.count() // SLICE_ROWS)
-    if slices <= 1:
-        return match(F.broadcast(small))
-    # Hash slices vary in size; a quarter of the bound on average keeps each below it.
-    code = F.pmod(F.xxhash64(*small.columns), F.lit(4 * slices))
-    parts = [broadcast_if_small(small.where(code == i), SLICE_ROWS) for i in range(4 * slices)]
-    return reduce(DataFrame.unionByName, map(match, parts))
-
-
-def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """path_id, ok, near_miss for expected (path_id, path) against node names and edge triples.
-
-    A one-element path asks for a node. A longer one asks for its first hop:
-    names match loosely, types regardless of case. Graph names are streamed past
-    the broadcast expectations; only matches leave a task.
-    """
-    paths = expected.select(
-        "path_id",
-        F.get("path", F.lit(0)).alias("start"),
-        F.get("path", F.lit(1)).alias("rel"),
-        F.get("path", F.lit(2)).alias("end"),
-    )
-    names = nodes.select(tx.alnum_name(F.col("name")).alias("actual")).distinct()
-    ends = F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("name")), F.struct(F.lit("end").alias("side"), F.col("end").alias("name"))))
-    wanted = paths.select("path_id", ends.alias("e")).select(
-        "path_id", "e.side", tx.alnum_name(F.col("e.name")).alias("wanted")
-    )
-    hits = _in_slices(
-        wanted, lambda s: names.join(s, tx.loosely_matches(F.col("wanted"), F.col("actual"))).select("path_id", "side")
-    )
-    node_found = hits.groupBy("path_id").agg(
-        F.bool_or(F.col("side") == "start").alias("start_ok"), F.bool_or(F.col("side") == "end").alias("end_ok")
-    )
-    triples = edges.select(
-        tx.alnum_name(F.col("source")).alias("source"), "type", tx.alnum_name(F.col("target")).alias("target")
-    ).distinct()
-    hops = paths.where(F.col("rel").isNotNull()).select(
-        "path_id",
-        tx.alnum_name(F.col("start")).alias("want_source"),
-        tx.alnum_name(F.col("end")).alias("want_target"),
-    )
-    both = tx.loosely_matches(F.col("want_source"), F.col("source")) & tx.loosely_matches(
-        F.col("want_target"), F.col("target")
-    )
-    linked = (
-        _in_slices(hops, lambda s: triples.join(s, both).select("path_id", "type"))
-        .groupBy("path_id")
-        .agg(F.array_sort(F.collect_set("type")).alias("types"))
-    )
-    known_types = edges.select(F.upper("type").alias("known_type")).distinct()
-    checked = (
-        paths.join(node_found, "path_id", "left")
-        .join(linked, "path_id", "left")
-        .join(known_types, F.upper("rel") == F.col("known_type"), "left")
-    )
-    start_ok, end_ok = (F.coalesce(F.col(c), F.lit(False)) for c in ("start_ok", "end_ok"))
-    is_node = F.col("rel").isNull()
-    typed = F.coalesce(F.exists("types", lambda t: F.upper(t) == F.upper("rel")), F.lit(False))
-    ok = F.when(is_node, start_ok).otherwise(typed)
-    near_miss = (
-        F.when(ok, "")
-        .when(is_node, "node missing")
-        .when(~start_ok & ~end_ok, "both nodes missing")
-        .when(F.col("types").isNotNull(), F.concat(F.lit("connected via "), F.array_join("types", ", ")))
-        .when(F.col("known_type").isNull(), "type missing")
-        .otherwise(F.concat(F.lit("no edge; start="), start_ok.cast("string"), F.lit(" end="), end_ok.cast("string")))
-    )
-    return checked.select("path_id", ok.alias("ok"), near_miss.alias("near_miss"))
-
-
 def score_citations(expected: DataFrame, citations: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per expectation, whether a citation of the same run fulfils it, and the first one's section.
 
@@ -152,7 +74,7 @@ def run_golden(agent: Agent, golden: DataFrame, modes: Sequence[str] = ("hybrid"
 
 
 def evaluate(runs: DataFrame, golden: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The run table with citation hits and path results. Path checks are the same for every mode."""
+    """The run table with citation hits and path results, by first hops and whole; the same for every mode."""
     expected = (
         golden.select("id", F.posexplode("expected_citations").alias("expectation", "e"))
         .select("id", "expectation", "e.*")
@@ -169,7 +91,7 @@ def evaluate(runs: DataFrame, golden: DataFrame, nodes: DataFrame, edges: DataFr
         check_paths(paths, nodes, edges)
         .join(paths.select("id", "path_id"), "path_id")
         .groupBy("id")
-        .agg(F.count_if("ok").alias("paths_ok"), F.count("*").alias("paths_total"))
+        .agg(F.count_if("ok").alias("paths_ok"), F.count_if("full_ok").alias("paths_full"), F.count("*").alias("paths_total"))
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (
@@ -178,7 +100,7 @@ def evaluate(runs: DataFrame, golden: DataFrame, nodes: DataFrame, edges: DataFr
         .select(
             *runs.columns,
             F.size("citations").alias("n_citations"),
-            *[zero(c) for c in ("hits", "expected", "paths_ok", "paths_total")],
+            *[zero(c) for c in ("hits", "expected", "paths_ok", "paths_full", "paths_total")],
         )
     )
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from docweave.config import EngineConfig
 from docweave.operators import graph as gr
 from docweave.operators.embedding import HashingEmbedder
-from docweave.plans.evaluation import check_paths, citation_hits, score_citations
+from docweave.operators.loose_paths import check_paths, held_names, loose_matches
+from docweave.plans.evaluation import citation_hits, score_citations
 from docweave.plans.graph_schema import GraphSchema
 from docweave.plans.ingest import Ingest
 from docweave.plans.llm import Reply
@@ -92,21 +94,50 @@ def test_path_checks(spark, graph):
         ],
         "path_id string, path array<string>",
     )
-    got = {r["path_id"]: (r["ok"], r["near_miss"]) for r in check_paths(expected, names, edges).collect()}
+    found = check_paths(expected, names, edges)
+    got = {r["path_id"]: (r["ok"], r["near_miss"]) for r in found.collect()}
     assert got["node"] == got["hop"] == got["longer"] == (True, "")
+    whole = {r["path_id"]: (r["hops"], r["hops_ok"], r["full_ok"]) for r in found.collect()}
+    assert whole["longer"] == (2, 1, False) and whole["hop"] == (1, 1, True) and whole["node"] == (0, 0, True) and whole["none"] == (1, 0, False)
     assert got["no node"] == (False, "node missing") and got["other"] == (False, "connected via ADDRESSES")
     assert got["unknown"] == (False, "type missing") and got["none"] == (False, "both nodes missing")
     assert got["far"] == (False, "no edge; start=true end=false")
 
 
-def test_path_checks_in_slices(spark, graph, monkeypatch):
-    from docweave.plans import evaluation
-
-    monkeypatch.setattr(evaluation, "SLICE_ROWS", 1)
-    expected = spark.createDataFrame([("a", ["saga"]), ("b", ["core"]), ("c", ["nope"])], "path_id string, path array<string>")
-    edges = spark.createDataFrame([("Pay Hub", "DEPENDS_ON", "Core")], "source string, type string, target string")
-    got = {r["path_id"]: r["ok"] for r in check_paths(expected, graph.entities.select("name"), edges).collect()}
-    assert got == {"a": True, "b": True, "c": False}
+def test_paths_are_walked_on_one_chain_of_nodes(spark):
+    edges = [("A one", "R", "B"), ("A two", "R", "B2"), ("B2", "S", "C"), ("C", "T", "D"), ("B", "S", "X"), ("B", "r", "D"), ("loop", "R", "loop")]
+    names = [(n,) for e in edges for n in (e[0], e[2])] + [("alone",), (None,)]
+    paths = [
+        ("three", ["a", "r", "b", "s", "c", "t", "d"]), ("broken", ["A one", "R", "B", "S", "C"]), ("other way", ["B2", "R", "A two"]),
+        ("last", ["a", "R", "b", "S", "c", "T", "nothing"]), ("round", ["loop", "R", "loop", "R", "loop", "R", "loop"]), ("open", ["A one", "R"]),
+        ("empty", []), ("null", None), ("blank", ["--"]), ("holes", ["A one", "R", None]), ("alone", ["is ALONE?"]),
+    ]
+    found = check_paths(
+        spark.createDataFrame(paths, "path_id string, path array<string>"), spark.createDataFrame(names, "name string"),
+        spark.createDataFrame(edges, "source string, type string, target string"),
+    )
+    got = {r["path_id"]: (r["hops"], r["hops_ok"], r["full_ok"], r["ok"]) for r in found.collect()}
+    assert got == {
+        "three": (3, 3, True, True), "broken": (2, 1, False, True), "other way": (1, 0, False, False), "last": (3, 2, False, True),
+        "round": (3, 3, True, True), "open": (1, 0, False, False), "empty": (0, 0, False, False), "null": (0, 0, False, False),
+        "blank": (0, 0, False, False), "holes": (1, 0, False, False), "alone": (0, 0, True, True),
+    }
+    none = spark.createDataFrame([], "path_id string, path array<string>")
+    assert check_paths(none, spark.createDataFrame(names, "name string"), spark.createDataFrame(edges, "source string, type string, target string")).count() == 0
+
+
+def test_loose_matches_without_a_nested_loop(spark):
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choices("abc0", k=n))
+    wanted = sorted({word(draw.randint(0, 9)) for _ in range(120)} | {"a", "ab", "abc", "aaaaaaaaaaaa"})
+    actual = sorted({word(draw.randint(0, 14)) for _ in range(300)} | {"a", "c0", "abc"})
+    left, right = spark.createDataFrame([(w,) for w in wanted], "w string"), spark.createDataFrame([(a,) for a in actual], "a string")
+    expected = sorted((w, a) for w in wanted for a in actual if w and a and (w in a or a in w))
+    for q in (1, 2, 4, 6):
+        assert sorted(tuple(r) for r in loose_matches(left, right, q).collect()) == expected
+    plan = held_names(left, right)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert loose_matches(left.limit(0), right).count() == loose_matches(left, right.limit(0)).count() == 0
 
 
 def test_citation_scores(spark):
