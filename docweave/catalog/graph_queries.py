@@ -15,6 +15,7 @@ from docweave.catalog.corpora import table
 from docweave.catalog.registry import query
 from docweave.operators import graph as gr
 from docweave.operators.loose_paths import check_paths
+from docweave.plans import guard
 from docweave.plans.patterns import Graph, Match, path_counts
 
 # label, table, key column, name column
@@ -365,3 +366,44 @@ def path_checks(spark, sf_dir):
         F.array(F.concat(F.lit("a "), "p_name"), F.lit("SUPPLIED_BY"), "s_name", F.lit("IN_NATION"), "n_name", last, "r_name").alias("path"),
     )
     return check_paths(reduce(DataFrame.unionByName, [hops, single, none, two, three]), nodes, edges)
+
+
+# Statements as a model may write them over the graph's views, with the rows they give; None: the guard refuses them.
+_READS = {
+    "label": "SELECT name FROM nodes WHERE label = 'Nation'",
+    "link": "SELECT n.name FROM nodes n JOIN edges e ON n.label = e.source_label AND n.key = e.source_key WHERE e.rel_type = 'IN_REGION'",
+    "with": "WITH s AS (SELECT key FROM nodes WHERE label = 'Supplier') SELECT * FROM s JOIN edges ON target_key = s.key WHERE target_label = 'Supplier'",
+    "not in": "SELECT name FROM nodes WHERE label = 'Customer' AND key NOT IN (SELECT source_key FROM edges WHERE rel_type = 'PLACED')",
+    "exists": "SELECT key FROM nodes p WHERE label = 'Part' AND EXISTS (SELECT 1 FROM edges e WHERE e.target_label = 'Part' AND e.target_key = p.key)",
+    "groups": "SELECT rel_type, count(*) AS n FROM edges GROUP BY rel_type HAVING count(*) > 5",
+    "shadow": "WITH nodes AS (SELECT key FROM nodes WHERE label = 'Region') SELECT * FROM nodes",
+    "near": "SELECT * FROM nodes a JOIN nodes b ON a.label = b.label AND a.key < b.key WHERE a.label = 'Region' AND b.label = 'Region'",
+}
+_REFUSED = {
+    "hidden": "SELECT * FROM hidden_documents",
+    "hidden with": "WITH hidden_documents AS (SELECT * FROM hidden_documents) SELECT * FROM hidden_documents",
+    "hidden name": "SELECT * FROM IDENTIFIER('hidden_documents')",
+    "hidden inside": "SELECT name FROM nodes WHERE key IN (SELECT source FROM hidden_documents)",
+    "all pairs": "SELECT * FROM nodes a JOIN nodes b ON a.key < b.key",
+    "cross": "SELECT * FROM nodes, edges",
+    "write": "CREATE TEMPORARY VIEW copied AS SELECT * FROM nodes",
+}
+
+
+@query(
+    f"WITH {NODES_SQL},{EDGES_SQL} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS statement, 'ok' AS verdict, (SELECT count(*) FROM ({sql})) AS n" for name, sql in _READS.items())
+    + "".join(f" UNION ALL SELECT '{name}', 'refused', NULL" for name in _REFUSED)
+)
+def guarded_statements(spark, sf_dir):
+    """What the guard says of statements over the graph, and how many rows those that may run give."""
+    trade_graph(spark, sf_dir).register_views()
+    table(spark, sf_dir, "documents").createOrReplaceTempView("hidden_documents")
+    results = []
+    for name, statement in {**_READS, **_REFUSED}.items():
+        try:
+            counted = guard.checked(spark, statement, ("nodes", "edges")).agg(F.count("*").alias("n"))
+            results.append(counted.select(F.lit(name).alias("statement"), F.lit("ok").alias("verdict"), "n"))
+        except guard.Refused:
+            results.append(spark.range(1).select(F.lit(name).alias("statement"), F.lit("refused").alias("verdict"), F.lit(None).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, results)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.joins import broadcast_if_small
 from docweave.session import stored
 
 PIECE = 4
@@ -39,7 +38,7 @@ def held_names(inner: DataFrame, outer: DataFrame, q: int = PIECE) -> DataFrame:
     held = placed.groupBy("piece").agg(F.count("*").alias("n"))
     own = inner.select("inner", F.explode(pieces(F.col("inner"), size)).alias("piece"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest")
-    probes = own.join(broadcast_if_small(held), "piece", "left").groupBy("inner").agg(rarest).where("rarest.n > 0")
+    probes = own.join(held, "piece", "left").groupBy("inner").agg(rarest).where("rarest.n > 0")
     met = probes.select("inner", F.col("rarest.piece").alias("piece")).join(placed, "piece")
     return met.where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
 
@@ -64,21 +63,22 @@ def hops_of(expected: DataFrame) -> DataFrame:
     )
 
 
-def walked(hops: DataFrame, triples: DataFrame, begins: DataFrame, longest: int) -> DataFrame:
-    """(path_id, hops_ok): how many hops of each path can be walked on end, from any node that its first name matches.
+def walked(hops: DataFrame, triples: DataFrame, begun: DataFrame, longest: int) -> DataFrame:
+    """(path_id, hops_ok): how many hops of each path can be walked on end; paths without a first step are left out.
 
-    ``begins`` holds (path_id, node) of the first hop's sources. Paths without one are left out.
+    ``begun`` holds (path_id, type, target) of the edges whose ends match the first hop's names.
     """
-    frontier, reached = begins, None
-    for hop in range(longest):
+    first = hops.where("hop = 0").select("path_id", "rel")
+    frontier = begun.join(first, "path_id").where(F.upper("type") == F.upper("rel")).select("path_id", F.col("target").alias("node")).distinct()
+    reached = frontier.select("path_id", F.lit(1).alias("hops_ok"))
+    for hop in range(1, longest):
         asked = hops.where(F.col("hop") == hop).select("path_id", F.upper("rel").alias("asked"), "want_target")
         at = frontier.join(asked, "path_id").join(triples, (F.col("node") == F.col("source")) & (F.upper("type") == F.col("asked")))
-        fits = tx.loosely_matches(F.col("want_target"), F.col("target"))
-        frontier = stored(at.where(fits).select("path_id", F.col("target").alias("node")).distinct(), "frontier")
-        done = frontier.select("path_id", F.lit(hop + 1).alias("hops_ok"))
-        reached = done if reached is None else reached.unionByName(done)
-    if reached is None:
-        return begins.select("path_id", F.lit(0).alias("hops_ok")).where(F.lit(False))
+        fits = at.where(tx.loosely_matches(F.col("want_target"), F.col("target")))
+        frontier = fits.select("path_id", F.col("target").alias("node")).distinct()
+        if hop + 1 < longest:
+            frontier = stored(frontier, "frontier")
+        reached = reached.unionByName(frontier.select("path_id", F.lit(hop + 1).alias("hops_ok")))
     return reached.groupBy("path_id").agg(F.max("hops_ok").alias("hops_ok"))
 
 
@@ -89,8 +89,8 @@ def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame, q: int
     full_ok for the whole path: how many hops it has, how many can be walked on end, and whether all can. Names
     match loosely, types regardless of case. Nodes are told apart by their normalised names.
     """
-    paths = expected.select("path_id", "path")
-    hops = stored(hops_of(paths), "hops")
+    paths = stored(expected.select("path_id", "path"), "paths")
+    hops = hops_of(paths)
     triples = stored(
         edges.select(tx.alnum_name(F.col("source")).alias("source"), "type", tx.alnum_name(F.col("target")).alias("target")).distinct(), "triples"
     )
@@ -105,14 +105,12 @@ def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame, q: int
     matches = stored(loose_matches(wanted, names.union(triples.select("source")), q), "matches")
     met = matches.join(names, "actual", "left_semi").select("wanted").distinct()
     first = hops.where("hop = 0")
-    begins = first.join(matches, F.col("want_source") == F.col("wanted")).join(triples.select(F.col("source").alias("actual")), "actual", "left_semi")
-    begins = stored(begins.select("path_id", F.col("actual").alias("node")), "begins")
-
-    linked = begins.join(first.select("path_id", "want_target"), "path_id").join(triples, F.col("node") == F.col("source"))
-    linked = linked.where(tx.loosely_matches(F.col("want_target"), F.col("target"))).groupBy("path_id")
-    linked = linked.agg(F.array_sort(F.collect_set("type")).alias("types"))
+    begun = first.join(matches, F.col("want_source") == F.col("wanted")).join(triples, F.col("actual") == F.col("source"))
+    begun = begun.where(tx.loosely_matches(F.col("want_target"), F.col("target"))).select("path_id", "type", "target")
+    begun = stored(begun.distinct(), "begun")
+    linked = begun.groupBy("path_id").agg(F.array_sort(F.collect_set("type")).alias("types"))
     longest = hops.agg(F.coalesce(F.max("hop") + 1, F.lit(0))).first()[0]
-    steps = walked(hops, triples, begins, longest)
+    steps = walked(hops, triples, begun, longest)
     known_types = triples.select(F.upper("type").alias("known_type")).distinct()
 
     checked = (

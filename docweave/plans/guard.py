@@ -1,14 +1,15 @@
 """What a generated statement must satisfy before it may run.
 
-Spark's own analysis decides: the statement is explained, not run, and its plans may read the given views and
-nothing else, without cross joins, table functions, scripts, reflection or commands. For tables of statements the same first
-questions (empty, a URL, a write keyword) are answered by columns.
+Spark's own analysis decides. The statement is parsed and analysed, not run; every operator of the analysed plan,
+in subqueries and CTE bodies too, must be one of a plain read, and what it reads must be one of the given views, by
+the identity that names resolve to. Joins must have an equality between their sides. For tables of statements the
+first questions (empty, a URL, a write keyword) are answered by columns.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,19 @@ WRITE_KEYWORDS = "CREATE MERGE DELETE SET DETACH DROP REMOVE CALL LOAD FOREACH"
 URL = r"https?://"
 LITERAL = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
 
-# Functions by which a query could leave the engine.
-FOREIGN = r"\b(?:reflect|try_reflect|java_method|input_file_name|input_file_block_start|input_file_block_length)\("
-# What a statement's own text may not turn into.
-NOT_A_READ = r"'?(?:UnresolvedTableValuedFunction|UnresolvedTVF|ScriptTransformation|\w*Command\b|\w*Insert\w*|Create\w+|Drop\w+|Delete\w+|Update\w+|MergeInto\w*|Set\w*|Show\w+|Describe\w*|Cache\w*)"
+# Operators of analysed plans that a plain read is made of.
+READS = set(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Intersect Except SubqueryAlias "
+    "Window WithCTE CTERelationDef CTERelationRef OneRowRelation LocalRelation View Generate Expand Sample ResolvedHint".split()
+)
+# What a statement may be before names are resolved, by its root; commands and writes have other roots.
+ROOTS = READS | {"UnresolvedWith", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "WithWindowDefinition", "Pivot", "Unpivot"}
+# Expressions by which a query could leave the engine or see where data lies.
+FOREIGN = set(
+    "CallMethodViaReflection TryReflect StaticInvoke Invoke InputFileName InputFileBlockStart InputFileBlockLength "
+    "ScalaUDF PythonUDF PythonUDAF ScalaUDAF ScalaAggregator HiveSimpleUDF HiveGenericUDF".split()
+)
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 
 
 class Refused(ValueError):
@@ -37,33 +47,79 @@ def bare(text: str) -> str:
     return inner.strip().rstrip("; \n\t").strip()
 
 
-def explained(spark: SparkSession, statement: str) -> dict[str, list[str]]:
-    """Spark's plans of a statement by name, one operator a line, without running it."""
-    text = spark.sql(f"EXPLAIN EXTENDED {statement}").first()[0]
-    plans = re.findall(r"(?ms)^== ([A-Z]\w+) (?:Logical )?Plan ==\n(.*?)(?=^== |\Z)", text)
-    if [name for name, _ in plans] != ["Parsed", "Analyzed", "Optimized", "Physical"]:
-        raise Refused(text if "Exception" in text or "Error" in text else "the statement could not be analyzed")
-    return {name: [re.sub(r"^[\s:|+-]+", "", line) for line in body.splitlines()] for name, body in plans}
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _listed(nodes) -> Iterator:
+    return (nodes.apply(i) for i in range(nodes.size()))
+
+
+def _expressions(node) -> Iterator:
+    """All expressions of a plan's operator, inner ones too."""
+    waiting = list(_listed(node.expressions()))
+    while waiting:
+        expression = waiting.pop()
+        yield expression
+        waiting += _listed(expression.children())
+
+
+def operators(plan, into_views: bool) -> Iterator:
+    """All operators of a plan, those of subqueries too; with ``into_views`` also those that views are made of."""
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        waiting += [e.plan() for e in _expressions(node) if _kind(e) in SUBQUERIES]
+        if into_views or _kind(node) != "View":
+            waiting += _listed(node.children())
+
+
+def _check_reads(plan, allowed: set[str]) -> None:
+    for node in operators(plan, into_views=False):
+        kind = _kind(node)
+        if kind == "View":
+            name = node.desc().identifier().unquotedString().lower()
+            if name not in allowed or (node.isTempView() and "." in name):
+                raise Refused(f"{name} is not one of {', '.join(sorted(allowed))}")
+        elif kind not in READS:
+            raise Refused(f"{kind} is not part of a plain SELECT over {', '.join(sorted(allowed))}")
+        else:
+            for expression in _expressions(node):
+                if _kind(expression) in FOREIGN:
+                    raise Refused(f"{expression.prettyName()} may not be called")
+
+
+def _check_joins(spark: SparkSession, plan) -> None:
+    keys = spark._jvm.org.apache.spark.sql.catalyst.planning
+    for node in operators(plan, into_views=True):
+        if _kind(node) == "LateralJoin":
+            raise Refused("a lateral join has no equality")
+        if _kind(node) == "Join" and not (
+            keys.ExtractEquiJoinKeys.unapply(node).isDefined() or keys.ExtractSingleColumnNullAwareAntiJoin.unapply(node).isDefined()
+        ):
+            raise Refused("tables are joined without an equality between them")
 
 
 def checked(spark: SparkSession, statement: str, views: Iterable[str]) -> DataFrame:
-    """The statement as a DataFrame; Refused when its plan does more than read the views."""
+    """The statement as a DataFrame; Refused when it does more than read the views.
+
+    ``views`` are names of temporary views, or full names of stored ones. What the views themselves read is not
+    asked; their joins need an equality as well.
+    """
     allowed = {v.lower() for v in views}
     if re.search(URL, statement, re.IGNORECASE):
         raise Refused("a URL is not permitted")
     if not re.match(r"(?is)[\s(]*(?:SELECT|WITH)\b", statement):
         raise Refused(f"only a SELECT over {', '.join(sorted(allowed))} may run")
-    plans = explained(spark, statement)
-    names = {n.lower() for line in plans["Parsed"] if line.startswith("CTE [") for n in line[5:].rstrip("]").split(", ")}
-    for line in plans["Parsed"]:
-        relation = re.match(r"'UnresolvedRelation \[([^\]]*)\]", line)
-        if relation and relation.group(1).lower() not in allowed | names:
-            raise Refused(f"{relation.group(1)} is not one of {', '.join(sorted(allowed))}")
-        if re.match(NOT_A_READ, line) or re.search(FOREIGN, line, re.IGNORECASE):
-            raise Refused(f"{line.split(' ')[0]} is not part of a plain SELECT")
-    if any(re.fullmatch(r"Join (?:Cross|Inner|LeftOuter|RightOuter|FullOuter)", line) for line in plans["Optimized"]):
-        raise Refused("tables are joined without a condition")
-    return spark.sql(statement)
+    root = _kind(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
+    if root not in ROOTS:
+        raise Refused(f"{root} is not a SELECT")
+    df = spark.sql(statement)  # a query by its root: analysed here, run by whoever reads it
+    execution = df._jdf.queryExecution()
+    _check_reads(execution.analyzed(), allowed)
+    _check_joins(spark, execution.optimizedPlan())
+    return df
 
 
 # ------------------------------------------------------------- Column forms
