@@ -7,14 +7,19 @@ cover. Rank units are opened, one after the other, until every coordinate has a
 as it has shingles, but at least enough to fill the signature. Two texts agree in a coordinate with a
 probability equal to their weighted Jaccard similarity.
 
-Coordinates are grouped to bands. Texts that agree in a whole band meet in a bucket; every member is
-compared there with one hub, exactly, on whole texts. Linked texts form components; while components still
-share buckets, each sends a member, chosen anew by a hash, to be compared with a hub that is drawn anew, until
-a round adds no link. So no bucket is ever expanded to pairs, and a hub's side may be as large as it likes.
+Coordinates are grouped to bands. Texts that agree in a whole band meet in a bucket. A few long bands come first:
+members of their buckets are compared with one hub each, which brings large groups of copies together. Then the
+short bands do the same, in those of their buckets alone that still hold several components. What is left open is
+finished exactly: all members of different components that share a bucket are set against each other by their
+signatures, in blocks of bounded size, each pair in the first bucket that it shares, and those whose signatures
+agree often enough are compared.
+
+Comparisons are exact, on whole texts, and grouped, so that a text is read once for many partners.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +34,15 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 28
 BAND_COORDINATES = 4
+# Long bands, which bring close copies together before the others are looked at.
+LONG_BANDS = 4
+LONG_COORDINATES = 12
+# Chance that a pair at the similarity is not compared although it shares a bucket.
+MISSED = 1e-7
+# Rows of a block; two blocks are held against each other in one task.
+BLOCK_ROWS = 256
+# About so many comparisons share their texts in one task.
+GROUP_PAIRS = 400
 # Up to so many node ids (8 bytes each) are sent to all tasks to find their texts; beyond it the texts are shuffled.
 BROADCAST_NODES = 1_000_000
 
@@ -149,47 +163,202 @@ def weighted_similarity(a: str, b: str, words: int = WORDS) -> float:
     return both / (len(x) + len(y) - both) if len(x) and len(y) else 0.0
 
 
+def least_agreement(coordinates: int, similarity: float, missed: float = MISSED) -> int:
+    """In so many coordinates a pair at the similarity agrees, but for a chance of ``missed``."""
+    total, least = 0.0, 0
+    while least < coordinates:
+        total += math.comb(coordinates, least) * similarity**least * (1 - similarity) ** (coordinates - least)
+        if total > missed:
+            break
+        least += 1
+    return least
+
+
+def _band_hashes(darts: np.ndarray, bands: int, size: int, seed: int) -> np.ndarray:
+    key = mixed(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(seed))
+    for column in darts[: bands * size].reshape(bands, size).T:
+        key = mixed(key + column)
+    return key.view(np.int64)
+
+
 def band_keys(docs: DataFrame, words: int, bands: int, band_coordinates: int) -> DataFrame:
-    """(id, digest, keys, units): the text's digest, one hash per band and the total weight; keys are null without words."""
+    """(id, digest, mark): the text's digest, and its signature's low bytes, hashes of short and long bands and total weight.
+
+    Texts without words have a null mark.
+    """
+    coordinates = max(bands * band_coordinates, LONG_BANDS * LONG_COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             for part in text_slices(batch, "text"):
-                keys, units = [], []
+                marks = []
                 for text in part.column(2).to_pylist():
-                    darts = signature(text or "", bands * band_coordinates, words)
-                    units.append(len(shingles(text, words)) if text else 0)
+                    darts = signature(text or "", coordinates, words)
                     if darts is None:
-                        keys.append(None)
+                        marks.append(None)
                         continue
-                    key = salt
-                    for column in darts.reshape(bands, band_coordinates).T:
-                        key = mixed(key + column)
-                    keys.append(key.view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(units, pa.int64())],
-                    names=["id", "digest", "keys", "units"],
-                )
+                    marks.append(
+                        {
+                            "units": len(shingles(text, words)),
+                            "bytes": darts.astype(np.uint8).tobytes(),
+                            "short": _band_hashes(darts, bands, band_coordinates, 0).tolist(),
+                            "long": _band_hashes(darts, LONG_BANDS, LONG_COORDINATES, 1 << 20).tolist(),
+                        }
+                    )
+                kind = pa.struct([("units", pa.int64()), ("bytes", pa.binary()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, kind)], names=["id", "digest", "mark"])
 
-    return docs.select("id", F.md5("text").alias("digest"), "text").mapInArrow(run, "id long, digest string, keys array<long>, units long")
+    schema = "id long, digest string, mark struct<units: long, bytes: binary, short: array<long>, long: array<long>>"
+    return docs.select("id", F.md5("text").alias("digest"), "text").mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose whole texts are similar enough."""
+def _bytes(column) -> np.ndarray:
+    """A row of a matrix for every value; all are of one length."""
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype=np.uint8)
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The rows (a, b, part) of ``pairs`` whose signatures agree in at least ``least`` coordinates."""
 
     @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_similarity(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series((_bytes(a) == _bytes(b)).sum(axis=1) >= least, dtype=bool)
+
+    marks = nodes.select("node", F.col("mark.bytes").alias("bytes"))
+    both = pairs.join(marks.toDF("a", "bytes_a"), "a").join(marks.toDF("b", "bytes_b"), "b")
+    return both.filter(agree("bytes_a", "bytes_b")).select("a", "b", "part")
+
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(needed, "needed")
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what the rows (a, b, part) of ``pairs`` whose whole texts are similar enough join.
+
+    Pairs with the same ``part`` share texts and are compared in one task; a pair of texts that other links of
+    the task join already is left out.
+    """
+    asked = written(pairs.select("a", "b", "part"), "asked")
+    count = asked.count()
+    if not count:
+        return asked.select("a", "b")
+    groups = -(-count // GROUP_PAIRS)
+    asked = asked.withColumn("part", F.pmod("part", F.lit(groups)))
+    needed = written(asked.select(F.explode(F.array("a", "b")).alias("id"), "part").distinct(), "needed")
+    wanted = nodes.select(F.col("node").alias("id"), "digest").join(needed.select("id").distinct(), "id", "left_semi")
+    wanted = written(wanted, "wanted")
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    texts = written(docs.join(wanted, "id", "left_semi").select("id", "text"), "texts", "zstd")
-    left = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = left.join(texts.toDF("b", "text_b"), "b")
-    return both.filter(linked("text_a", "text_b")).select("a", "b")
+    texts = docs.join(wanted, "id").filter(F.md5("text") == F.col("digest")).select("id", "text").dropDuplicates(["id"])
+    texts = written(texts, "texts", "zstd")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        units = {i: weight_units(shingles(t, words)) for i, t in zip(right.id.tolist(), right.text.tolist())}
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (above := root.get(i, i)) != i:
+                root[i] = root.get(above, above)
+                i = above
+            return i
+
+        links = []
+        for a, b in zip(left.a.tolist(), left.b.tolist()):
+            p, q = find(a), find(b)
+            if p == q:
+                continue
+            x, y = np.sort(units[a]), np.sort(units[b])
+            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+            both = int((y[at] == x).sum()) if len(y) else 0
+            if both and both / (len(x) + len(y) - both) >= similarity:
+                links.append((a, b))
+                root[p] = q
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    held = needed.join(texts, "id")
+    return asked.groupBy("part").cogroup(held.groupBy("part")).applyInPandas(compare, "a long, b long")
+
+
+def open_buckets(members: DataFrame) -> DataFrame:
+    """The rows (key, node, units, component, ..) of buckets with several components, with each bucket's size and hub.
+
+    The hub is a member of the component with most members in the bucket.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("node", "units")).alias("first"))
+    largest = F.max(F.struct("n", "component", "first")).alias("hub")
+    buckets = sizes.groupBy("key").agg(largest, F.sum("n").alias("rows"), F.count("*").alias("components")).filter("components > 1")
+    buckets = buckets.select(
+        "key", "rows", F.col("hub.n").alias("hub_rows"), F.col("hub.component").alias("hub_component"),
+        F.col("hub.first.node").alias("hub"), F.col("hub.first.units").alias("hub_units"),
+    )
+    return members.join(buckets, "key")
+
+
+def hub_pairs(opened: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, part): every member outside the hub's component against the hub, once, where total weights allow the similarity."""
+    within = F.least("units", "hub_units") >= similarity * F.greatest("units", "hub_units")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS))
+    met = opened.filter(within & (F.col("component") != F.col("hub_component")))
+    pairs = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min(salt).alias("salt"))
+    return pairs.select("a", "b", F.xxhash64("a", "salt").alias("part"))
+
+
+def block_pairs(opened: DataFrame, nodes: DataFrame, similarity: float, least: int) -> DataFrame:
+    """(a, b, part): pairs of different components in a bucket that agree often enough, each from the first bucket it shares.
+
+    A bucket's rows are its hub's component and the rest. Blocks of the rest meet each other and the hub's blocks;
+    two blocks that meet are one task.
+    """
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("int")
+    own = (F.col("component") == F.col("hub_component")).alias("own")
+    placed = opened.select("key", "band", "node", "component", own, blocks(F.col("hub_rows")).alias("hubs"), blocks(F.col("rows") - F.col("hub_rows")).alias("rests"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("own"), F.col("hubs")).otherwise(F.col("rests"))).cast("int")
+    placed = placed.withColumn("at", at)
+    across = lambda x, y: F.struct(F.lit(0).alias("kind"), x.alias("x"), y.alias("y"))
+    inside = lambda y: F.struct(F.lit(1).alias("kind"), F.least("at", y).alias("x"), F.greatest("at", y).alias("y"))
+    over = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tasks = F.when(F.col("own"), F.transform(over("rests"), lambda y: across(F.col("at"), y))).otherwise(
+        F.concat(F.transform(over("hubs"), lambda x: across(x, F.col("at"))), F.transform(over("rests"), inside))
+    )
+    dealt = placed.select("key", "band", "node", "component", "own", F.explode(tasks).alias("t"), "at")
+    dealt = dealt.select(F.xxhash64("key", "t.kind", "t.x", "t.y").alias("task"), "band", "node", "component", "own", "t.kind", (F.col("at") == F.col("t.x")).alias("left"))
+    marks = nodes.select("node", F.col("mark.bytes").alias("bytes"), F.col("mark.short").alias("short"), F.col("mark.units").alias("units"))
+    rows = dealt.join(marks, "node").repartition("task").sortWithinPartitions("task")
+
+    def met(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.own.to_numpy() if rows.kind.iloc[0] == 0 else rows.left.to_numpy()
+        second = ~first if rows.kind.iloc[0] == 0 else None
+        if second is None:
+            # A block against itself has no second side; two blocks of the rest are told apart by ``left``.
+            second = first if first.all() else ~first
+        x, y = np.flatnonzero(first), np.flatnonzero(second)
+        signs, component, units, node = _bytes(rows.bytes), rows.component.to_numpy(), rows.units.to_numpy(), rows.node.to_numpy()
+        short, band = np.stack(rows.short.to_numpy()), int(rows.band.iloc[0])
+        found = []
+        for start in range(0, len(x), 64):
+            part = x[start : start + 64]
+            fits = component[part][:, None] != component[y]
+            low, high = np.minimum(units[part][:, None], units[y]), np.maximum(units[part][:, None], units[y])
+            fits &= low >= similarity * high
+            for earlier in range(band):
+                fits &= short[part, earlier][:, None] != short[y, earlier]
+            if fits.any():
+                i, j = np.nonzero(fits)
+                enough = (signs[part[i]] == signs[y[j]]).sum(axis=1) >= least
+                found.append(np.stack([node[part[i[enough]]], node[y[j[enough]]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        low, high = np.minimum(*pairs), np.maximum(*pairs)
+        return pd.DataFrame({"a": low, "b": high, "part": rows.task.iloc[0]}).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = frame.task.iloc[-1] if len(frame) else None
+            held = frame[frame.task == last]
+            for _, rows in frame[frame.task != last].groupby("task", sort=False):
+                yield met(rows)
+        if held is not None and len(held):
+            yield met(held)
+
+    return rows.mapInPandas(run, "a long, b long, part long")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -205,6 +374,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             links = joined.withColumn(end, F.coalesce("root", end)).select("a", "b")
     links = links.filter("a != b")
     both = written(links.union(links.select("b", "a")).toDF("u", "v"), "edges")
+    if both.isEmpty():
+        return labels if labels is not None else both.toDF("node", "component")
     first = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("component")).toDF("node", "component")
     if labels is not None:
         first = first.union(labels).groupBy("node").agg(F.min("component").alias("component"))
@@ -241,42 +412,30 @@ def near_duplicates(
     keyed = written(band_keys(rows, words, bands, band_coordinates), "bands")
     # Equal texts are one node, named by the smallest id; only nodes go on.
     known = keyed.filter("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = written(known.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys"), F.first("units").alias("units")), "nodes")
-    member = nodes.filter("keys IS NOT NULL").select("node", "units", F.explode("keys").alias("key"))
-    shared = written(
-        member.groupBy("key").agg(F.min(F.struct("node", "units")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select(
-            "key", F.col("hub.node").alias("hub"), F.col("hub.units").alias("hub_units")
-        ),
-        "buckets",
-    )
-    buckets = written(member.join(shared, "key"), "members")
+    nodes = written(known.groupBy("digest").agg(F.min("id").alias("node"), F.first("mark").alias("mark")), "nodes")
+    # Texts with the same smallest id count as one: the one with the smallest digest stands for them.
+    marked = nodes.filter("mark IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"), F.min_by("mark", "digest").alias("mark"))
+    marked = written(marked, "marked")
     named = rows.filter("id IS NOT NULL AND text IS NOT NULL")
+    least = least_agreement(max(bands * band_coordinates, LONG_BANDS * LONG_COORDINATES), similarity)
 
-    # The smaller total weight over the larger bounds the similarity.
-    within = F.least("units", "hub_units") >= similarity * F.greatest("units", "hub_units")
-    first = buckets.filter(within & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    classes = components(similar(written(first, "asked"), named, words, similarity))
-    turn = 0
-    while True:
-        turn += 1
-        # A bucket of several components: one, drawn anew in every bucket and round, offers a member as hub. Similar
-        # texts share many buckets, so nearly all of them meet in one round.
-        inside = buckets.select("key", "node", "units").join(classes, "node", "left").select("key", "node", "units", F.coalesce("component", "node").alias("component"))
-        inside = written(inside, "inside")
-        drawn = F.struct(F.xxhash64(F.lit(turn), "key", "component").alias("c"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "component", "units")
-        hubs = inside.groupBy("key").agg(F.min(drawn).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hubs = written(hubs.filter("low < high").select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"), F.col("hub.units").alias("hub_units")), "hubs")
-        buckets = written(inside.join(hubs, "key"), "open")
-        # Every other component sends that hub one member.
-        other = buckets.filter(within & (F.col("component") != F.col("hub_component"))).groupBy("hub", "component")
-        asked = other.agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("sent"))
-        asked = written(asked.select(F.col("hub").alias("a"), F.col("sent.node").alias("b")), "asked")
-        if asked.isEmpty():
-            break
-        added = written(similar(asked, named, words, similarity), "added")
-        if added.isEmpty():
-            break
-        classes = components(added, classes)
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(similar(agreeing(pairs, marked, least), named, marked, words, similarity), "links")
+
+    def members(kind: str) -> DataFrame:
+        return marked.select("node", F.col("mark.units").alias("units"), F.posexplode(F.col(f"mark.{kind}")).alias("band", "key"))
+
+    def with_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        return rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    alone = members("long").withColumn("component", F.col("node"))
+    classes = components(linked(hub_pairs(open_buckets(alone), similarity)))
+    columns = ["key", "band", "node", "units"]
+    opened = written(open_buckets(with_components(members("short"), classes)), "open")
+    classes = components(linked(hub_pairs(opened, similarity)), classes)
+    opened = written(open_buckets(with_components(opened.select(*columns), classes)), "open")
+    rest = block_pairs(opened, marked, similarity, least)
+    classes = components(written(similar(rest, named, marked, words, similarity), "links"), classes)
 
     ids = keyed.select("id", "digest")
     labelled = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))

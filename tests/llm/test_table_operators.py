@@ -79,6 +79,32 @@ def test_ids_missing_and_repeated(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("texts, words, edits", [(200, 300, (3, 5)), (500, 500, (6, 7))])
+def test_many_texts_near_the_similarity(spark, texts, words, edits):
+    """Most pairs lie just below 0.8: no link among them may be lost, whoever meets whom first."""
+    draw = random.Random(texts)
+    rows = []
+    for i in range(texts):
+        text = [f"b{k}" for k in range(words)]
+        for _ in range(draw.randint(*edits)):
+            text[draw.randrange(words)] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    units = [set(near_dedup.weight_units(near_dedup.shingles(t)).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(texts) for j in range(i) if len(units[i] & units[j]) >= 0.8 * len(units[i] | units[j])]
+    classes = list(range(texts))
+    for i, j in links:
+        low, high = sorted((classes[i], classes[j]))
+        classes = [low if c == high else c for c in classes]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(texts)] == classes and len(links) > texts
+
+
+def test_agreement_of_pairs_at_the_similarity():
+    least = near_dedup.least_agreement(112, 0.8)
+    draws = np.random.default_rng(0).binomial(112, 0.8, 200_000)
+    assert 60 < least < draws.min() + 8 and (draws >= least).all()
+
+
 def test_a_long_chain_is_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     labels = near_dedup.components(links)
