@@ -13,6 +13,7 @@ from docweave.operators import chunking as ck
 from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
 from docweave.operators.embedding import HashingEmbedder, hashed_totals
+from docweave.operators.text_segments import TextSegments
 from docweave.session import shared_folder
 
 # The question every single-question query asks, and its vector in the tables' width.
@@ -86,6 +87,18 @@ def stored_index_search(spark, sf_dir):
     return _rounded(rt.TextIndex.read(spark, path).search(QUESTION, K), "score")
 
 
+@query(f"WITH {SPARSE_SQL} SELECT id, round(score, 6) AS score, rank FROM sparse")
+def segmented_index_search(spark, sf_dir):
+    """K6, R2: an index grown by two batches; the second replaces the German and French documents, stale in the first."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "doc_id", "lang", "text")
+    moved = F.coalesce(F.col("lang").isin("de", "fr"), F.lit(False))
+    index = TextSegments(spark, f"{shared_folder(spark).rstrip('/')}/docweave/segments-{uuid.uuid4().hex}")
+    stale = F.concat(F.lit(QUESTION + " "), F.coalesce("text", F.lit("")))
+    index.add(texts.withColumn("text", F.when(moved, stale).otherwise(F.col("text"))), "first")
+    index.add(texts.where(moved), "second")
+    return _rounded(index.search(QUESTION, K), "score")
+
+
 @query(
     f"WITH {FUSED_SQL} SELECT id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score, rank FROM fused"
 )

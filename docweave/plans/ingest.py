@@ -1,6 +1,6 @@
 """Entry point A: a directory tree into the graph store.
 
-scan -> chunk -> embed -> model calls -> validate -> apply. The steps that cost
+scan -> chunk -> embed -> model calls -> validate -> apply -> text index. The steps that cost
 the most or are not repeatable (embedding, model calls) are written to the
 batch's staging tables and read back, which cuts the lineage: a lost executor
 afterwards repeats reads, not calls. A batch name that is already staged is
@@ -75,6 +75,9 @@ class Ingest:
             documents.select("doc_id", "title", "doc_type", "source_path"), chunks, mentions, relations
         )
         timings["apply"] = time.monotonic() - started
+        started = time.monotonic()
+        self.store.text_index().add(chunks.select("id", "doc_id", "text"), batch)
+        timings["text_index"] = time.monotonic() - started
         return self.summary(chunks, replies, mentions, relations) | {"seconds": timings}
 
     def _ordered_documents(self, root: str) -> DataFrame:

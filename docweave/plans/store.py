@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
 from docweave.operators import graph as gr
+from docweave.operators.text_segments import TextSegments
 from docweave.plans.graph_schema import GraphSchema
 
 BUCKET = "bucket"
@@ -42,6 +43,10 @@ class GraphStore:
                 return None
             raise
 
+    def text_index(self) -> TextSegments:
+        """K6: the full-text index over the chunks, a segment per batch."""
+        return TextSegments(self.spark, f"{self.path}/text_index")
+
     def _touched(self, *keys: DataFrame) -> list[int]:
         """Buckets to rewrite: at most ``table_buckets`` small numbers."""
         found = keys[0]

@@ -8,6 +8,7 @@ from docweave.config import EngineConfig
 from docweave.operators import graph as gr
 from docweave.operators.embedding import HashingEmbedder
 from docweave.operators.loose_paths import check_paths, held_names, loose_matches
+from docweave.operators.retrieval import bm25_top_k
 from docweave.plans.evaluation import citation_hits, score_citations
 from docweave.plans.graph_schema import GraphSchema
 from docweave.plans.ingest import Ingest
@@ -218,6 +219,11 @@ def test_ingest_and_reingest(spark, tmp_path, keyword_model):
     ingest.run(root, "batch2")
     assert tables() == before
     assert store.broken_keys().collect() == []
+    # The text index has a segment per batch and answers as one written afresh.
+    found = store.text_index().search("sysb clause report", 5).collect()
+    fresh = bm25_top_k(store.read("chunks").select("id", "text"), "sysb clause report", 5).collect()
+    assert [(r["id"], round(r["score"], 9)) for r in found] == [(r["id"], round(r["score"], 9)) for r in fresh] and len(found) == 3
+    assert [s["batch"] for s in store.text_index().segments()] == ["batch1", "batch2"]
 
     changed = tree(tmp_path / "two", {"architecture/a.md": "# A\n\nSysA SysD"})
     ingest.run(changed, "batch3")

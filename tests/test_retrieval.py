@@ -7,6 +7,7 @@ from docweave.operators import batch_retrieval as br
 from docweave.operators import embedding as em
 from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
+from docweave.operators.text_segments import TextSegments
 
 TEXTS = ["alpha beta beta", "beta gamma", "Alpha, alpha! delta", "", "épsilon beta_1 gamma gamma", "beta gamma"]
 
@@ -63,6 +64,56 @@ def test_stored_index_agrees(spark, chunks, tmp_path):
         assert a == b
 
 
+def test_grown_index_equals_a_fresh_one(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    weight = 1 / np.arange(1, 61)
+    text = lambda n: " ".join(draw.choice(words, n, p=weight / weight.sum()))
+    schema = "id string, doc_id long, text string"
+    old = [(f"{d}:{c}", d, text(int(draw.integers(1, 60)))) for d in range(150) for c in range(2)]
+    new = [(f"{d}:{c}", d, text(int(draw.integers(1, 60)))) for d in list(range(0, 40)) + list(range(150, 180)) for c in range(1 + d % 3)] + [("n", 500, None)]
+    third = [(f"{d}:{c}", d, text(9)) for d in (1, 2, 160) for c in range(1)]
+    index = TextSegments(spark, str(tmp_path / "grown"), range_docs=20)
+    assert index.search("w1", 3).count() == 0
+    living = {}
+    for name, rows in (("a", old), ("b", new), ("c", third)):
+        batch = spark.createDataFrame(rows, schema)
+        index.add(batch, name)
+        index.add(batch, name)  # a second time changes nothing
+        living = {d: kept for d, kept in living.items() if d not in {r[1] for r in rows}}
+        for row in rows:
+            living.setdefault(row[1], []).append(row)
+        fresh = spark.createDataFrame([r for kept in living.values() for r in kept], schema).withColumn("text", F.coalesce("text", F.lit("")))
+        for query in ("w1 w2 w40", "w59 w59 w0", "w7", "w3 absent", "absent", ""):
+            a = [(r["rank"], r["id"], round(r["score"], 9)) for r in index.search(query, 5).collect()]
+            b = [(r["rank"], r["id"], round(r["score"], 9)) for r in rt.bm25_top_k(fresh, query, 5).collect()]
+            assert sorted(a) == sorted(b), (name, query)
+    assert len(index.segments()) == 3
+
+
+def test_ranges_that_cannot_win_are_not_read(spark, tmp_path):
+    index = TextSegments(spark, str(tmp_path / "skips"), range_docs=10)
+    rows = [(i, i, "common " * (1 + i % 50) + ("rare " if i % 100 == 7 else "") + "filler " * (i % 37)) for i in range(600)]
+    index.add(spark.createDataFrame(rows, "id long, doc_id long, text string"), "all")
+    found = index.search("rare common", 3)
+    got = [(r["id"], round(r["score"], 9)) for r in found.orderBy("rank").collect()]
+    texts = spark.createDataFrame(rows, "id long, doc_id long, text string")
+    assert got == [(r["id"], round(r["score"], 9)) for r in rt.bm25_top_k(texts, "rare common", 3).orderBy("rank").collect()]
+    assert index.ranges_read < 30
+
+
+def test_a_segment_that_was_cut_off_is_not_seen(spark, tmp_path, monkeypatch):
+    index = TextSegments(spark, str(tmp_path / "cut"))
+    batch = spark.createDataFrame([(1, 1, "one two"), (2, 2, "two three")], "id long, doc_id long, text string")
+    index.add(batch, "whole")
+    before = index.search("two", 5).collect()
+    monkeypatch.setattr(TextSegments, "_living", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.add(spark.createDataFrame([(1, 1, "two two two")], "id long, doc_id long, text string"), "broken")
+    monkeypatch.undo()
+    assert index.search("two", 5).collect() == before and len(index.segments()) == 1
+
+
 def test_batch_dense_agrees(chunks):
     embedder = em.HashingEmbedder(16)
     questions = [(i, embedder.embed_query(t)) for i, t in enumerate(["beta gamma", "delta", "alpha"])]
