@@ -39,8 +39,10 @@ LONG_BANDS = 4
 LONG_COORDINATES = 12
 # Chance that a pair at the similarity is not compared although it shares a bucket.
 MISSED = 1e-7
-# Rows of a block; two blocks are held against each other in one task.
-BLOCK_ROWS = 256
+# Shingles of a block's texts together, about; two blocks are held against each other in one task.
+BLOCK_UNITS = 250_000
+# Members of a bucket that share one copy of their hub's text.
+HUB_ROWS = 256
 # About so many comparisons share their texts in one task.
 GROUP_PAIRS = 400
 # Up to so many node ids (8 bytes each) are sent to all tasks to find their texts; beyond it the texts are shuffled.
@@ -229,6 +231,15 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return both.filter(agree("bytes_a", "bytes_b")).select("a", "b", "part")
 
 
+def node_texts(ids: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the nodes ``ids``, once each."""
+    wanted = written(nodes.select(F.col("node").alias("id"), "digest").join(ids.distinct(), "id", "left_semi"), "wanted")
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    found = docs.join(wanted, "id").filter(F.md5("text") == F.col("digest")).select("id", "text").dropDuplicates(["id"])
+    return written(found, "texts", "zstd")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that join what the rows (a, b, part) of ``pairs`` whose whole texts are similar enough join.
 
@@ -242,15 +253,10 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, sim
     groups = -(-count // GROUP_PAIRS)
     asked = asked.withColumn("part", F.pmod("part", F.lit(groups)))
     needed = written(asked.select(F.explode(F.array("a", "b")).alias("id"), "part").distinct(), "needed")
-    wanted = nodes.select(F.col("node").alias("id"), "digest").join(needed.select("id").distinct(), "id", "left_semi")
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "id").filter(F.md5("text") == F.col("digest")).select("id", "text").dropDuplicates(["id"])
-    texts = written(texts, "texts", "zstd")
+    texts = node_texts(needed.select("id"), docs, nodes)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        units = {i: weight_units(shingles(t, words)) for i, t in zip(right.id.tolist(), right.text.tolist())}
+        units = {i: np.sort(weight_units(shingles(t, words))) for i, t in zip(right.id.tolist(), right.text.tolist())}
         root: dict[int, int] = {}
 
         def find(i: int) -> int:
@@ -264,10 +270,7 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, sim
             p, q = find(a), find(b)
             if p == q:
                 continue
-            x, y = np.sort(units[a]), np.sort(units[b])
-            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-            both = int((y[at] == x).sum()) if len(y) else 0
-            if both and both / (len(x) + len(y) - both) >= similarity:
+            if _resemble(units[a], units[b], similarity):
                 links.append((a, b))
                 root[p] = q
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -281,11 +284,16 @@ def open_buckets(members: DataFrame) -> DataFrame:
 
     The hub is a member of the component with most members in the bucket.
     """
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("node", "units")).alias("first"))
-    largest = F.max(F.struct("n", "component", "first")).alias("hub")
-    buckets = sizes.groupBy("key").agg(largest, F.sum("n").alias("rows"), F.count("*").alias("components")).filter("components > 1")
+    sizes = members.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum("units").alias("weight"), F.min(F.struct("node", "units")).alias("first")
+    )
+    largest = F.max(F.struct("n", "component", "first", "weight")).alias("hub")
+    buckets = sizes.groupBy("key").agg(
+        largest, F.sum("n").alias("rows"), F.sum("weight").alias("weight"), F.count("*").alias("components")
+    ).filter("components > 1")
     buckets = buckets.select(
-        "key", "rows", F.col("hub.n").alias("hub_rows"), F.col("hub.component").alias("hub_component"),
+        "key", "rows", F.col("hub.weight").alias("hub_weight"), (F.col("weight") - F.col("hub.weight")).alias("rest_weight"),
+        F.col("hub.component").alias("hub_component"),
         F.col("hub.first.node").alias("hub"), F.col("hub.first.units").alias("hub_units"),
     )
     return members.join(buckets, "key")
@@ -294,71 +302,132 @@ def open_buckets(members: DataFrame) -> DataFrame:
 def hub_pairs(opened: DataFrame, similarity: float) -> DataFrame:
     """(a, b, part): every member outside the hub's component against the hub, once, where total weights allow the similarity."""
     within = F.least("units", "hub_units") >= similarity * F.greatest("units", "hub_units")
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / HUB_ROWS))
     met = opened.filter(within & (F.col("component") != F.col("hub_component")))
     pairs = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min(salt).alias("salt"))
     return pairs.select("a", "b", F.xxhash64("a", "salt").alias("part"))
 
 
-def block_pairs(opened: DataFrame, nodes: DataFrame, similarity: float, least: int) -> DataFrame:
-    """(a, b, part): pairs of different components in a bucket that agree often enough, each from the first bucket it shares.
+def dealt_blocks(opened: DataFrame) -> DataFrame:
+    """(task, band, node, component, first, second): the members of open buckets, in all tasks that their blocks have a part in.
 
-    A bucket's rows are its hub's component and the rest. Blocks of the rest meet each other and the hub's blocks;
-    two blocks that meet are one task.
+    A bucket's rows are its hub's component and the rest, each dealt to blocks of bounded weight. Blocks of the rest
+    meet each other and the hub's blocks; the two sides of a task are ``first`` and ``second``.
     """
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("int")
+    blocks = lambda weight: F.greatest(F.ceil(F.col(weight) / BLOCK_UNITS), F.lit(1)).cast("int")
     own = (F.col("component") == F.col("hub_component")).alias("own")
-    placed = opened.select("key", "band", "node", "component", own, blocks(F.col("hub_rows")).alias("hubs"), blocks(F.col("rows") - F.col("hub_rows")).alias("rests"))
+    placed = opened.select("key", "band", "node", "component", own, blocks("hub_weight").alias("hubs"), blocks("rest_weight").alias("rests"))
     at = F.pmod(F.xxhash64("node"), F.when(F.col("own"), F.col("hubs")).otherwise(F.col("rests"))).cast("int")
     placed = placed.withColumn("at", at)
-    across = lambda x, y: F.struct(F.lit(0).alias("kind"), x.alias("x"), y.alias("y"))
-    inside = lambda y: F.struct(F.lit(1).alias("kind"), F.least("at", y).alias("x"), F.greatest("at", y).alias("y"))
     over = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    tasks = F.when(F.col("own"), F.transform(over("rests"), lambda y: across(F.col("at"), y))).otherwise(
-        F.concat(F.transform(over("hubs"), lambda x: across(x, F.col("at"))), F.transform(over("rests"), inside))
+    task = lambda kind, x, y, first, second: F.struct(
+        F.xxhash64("key", F.lit(kind), x, y).alias("task"), first.alias("first"), second.alias("second")
     )
-    dealt = placed.select("key", "band", "node", "component", "own", F.explode(tasks).alias("t"), "at")
-    dealt = dealt.select(F.xxhash64("key", "t.kind", "t.x", "t.y").alias("task"), "band", "node", "component", "own", "t.kind", (F.col("at") == F.col("t.x")).alias("left"))
-    marks = nodes.select("node", F.col("mark.bytes").alias("bytes"), F.col("mark.short").alias("short"), F.col("mark.units").alias("units"))
-    rows = dealt.join(marks, "node").repartition("task").sortWithinPartitions("task")
-
-    def met(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.own.to_numpy() if rows.kind.iloc[0] == 0 else rows.left.to_numpy()
-        second = ~first if rows.kind.iloc[0] == 0 else None
-        if second is None:
-            # A block against itself has no second side; two blocks of the rest are told apart by ``left``.
-            second = first if first.all() else ~first
-        x, y = np.flatnonzero(first), np.flatnonzero(second)
-        signs, component, units, node = _bytes(rows.bytes), rows.component.to_numpy(), rows.units.to_numpy(), rows.node.to_numpy()
-        short, band = np.stack(rows.short.to_numpy()), int(rows.band.iloc[0])
-        found = []
-        for start in range(0, len(x), 64):
-            part = x[start : start + 64]
-            fits = component[part][:, None] != component[y]
-            low, high = np.minimum(units[part][:, None], units[y]), np.maximum(units[part][:, None], units[y])
-            fits &= low >= similarity * high
-            for earlier in range(band):
-                fits &= short[part, earlier][:, None] != short[y, earlier]
-            if fits.any():
-                i, j = np.nonzero(fits)
-                enough = (signs[part[i]] == signs[y[j]]).sum(axis=1) >= least
-                found.append(np.stack([node[part[i[enough]]], node[y[j[enough]]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        low, high = np.minimum(*pairs), np.maximum(*pairs)
-        return pd.DataFrame({"a": low, "b": high, "part": rows.task.iloc[0]}).drop_duplicates()
+    yes, no = F.lit(True), F.lit(False)
+    with_rest = lambda y: task(0, F.col("at"), y, yes, no)
+    with_hub = lambda x: task(0, x, F.col("at"), no, yes)
+    inside = lambda y: task(1, F.least("at", y), F.greatest("at", y), F.col("at") <= y, F.col("at") >= y)
+    tasks = F.when(F.col("own"), F.transform(over("rests"), with_rest)).otherwise(
+        F.concat(F.transform(over("hubs"), with_hub), F.transform(over("rests"), inside))
+    )
+    return placed.select("band", "node", "component", F.explode(tasks).alias("t")).select("t.task", "band", "node", "component", "t.first", "t.second")
+
+
+def _meetings(rows: pd.DataFrame, similarity: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (x, y) of a task's pairs that may be similar: of different components, often enough agreeing, met here first."""
+    x, y = np.flatnonzero(rows["first"].to_numpy()), np.flatnonzero(rows["second"].to_numpy())
+    signs, component, units = _bytes(rows.bytes), rows.component.to_numpy(), rows.units.to_numpy()
+    short, band = np.stack(rows.short.to_numpy()), int(rows.band.iloc[0])
+    for start in range(0, len(x), 64):
+        part = x[start : start + 64]
+        fits = component[part][:, None] != component[y]
+        low, high = np.minimum(units[part][:, None], units[y]), np.maximum(units[part][:, None], units[y])
+        fits &= low >= similarity * high
+        for earlier in range(band):
+            fits &= short[part, earlier][:, None] != short[y, earlier]
+        i, j = np.nonzero(fits)
+        for cut in range(0, len(i), 1 << 16):
+            p, q = part[i[cut : cut + (1 << 16)]], y[j[cut : cut + (1 << 16)]]
+            enough = (signs[p] == signs[q]).sum(axis=1) >= least
+            yield p[enough], q[enough]
+
+
+def _by_task(rows: DataFrame, use, schema: str) -> DataFrame:
+    """``use(rows of a task)`` for every task; tasks are read one at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             last = frame.task.iloc[-1] if len(frame) else None
-            held = frame[frame.task == last]
-            for _, rows in frame[frame.task != last].groupby("task", sort=False):
-                yield met(rows)
-        if held is not None and len(held):
-            yield met(held)
+            if held and len(frame) and (held[0].task.iloc[0] != last or frame.task.iloc[0] != last):
+                frame, held = pd.concat([*held, frame], ignore_index=True), []
+            closed = frame[frame.task != last]
+            for _, part in closed.groupby("task", sort=False):
+                yield use(part.reset_index(drop=True))
+            if len(frame):
+                held.append(frame[frame.task == last])
+        if held:
+            yield use(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInPandas(run, schema)
+
+
+def block_links(opened: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, least: int) -> DataFrame:
+    """Links (a, b) that join what similar members of different components in the open buckets join.
+
+    Signatures come first; only members with a partner that agrees often enough are met again, with their texts.
+    Nothing is listed by pairs but the links.
+    """
+    dealt = written(dealt_blocks(opened), "dealt")
+    marks = nodes.select("node", F.col("mark.bytes").alias("bytes"), F.col("mark.short").alias("short"), F.col("mark.units").alias("units"))
+
+    def partners(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(rows), dtype=bool)
+        for p, q in _meetings(rows, similarity, least):
+            found[p], found[q] = True, True
+        return rows.loc[found, ["task", "node"]].drop_duplicates()
+
+    met = written(_by_task(dealt.join(marks, "node"), partners, "task long, node long"), "met")
+    if met.isEmpty():
+        return met.select(F.col("task").alias("a"), F.col("node").alias("b"))
+    texts = node_texts(met.select(F.col("node").alias("id")), docs, nodes).withColumnRenamed("id", "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        units: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (above := root.get(i, i)) != i:
+                root[i] = root.get(above, above)
+                i = above
+            return i
+
+        node, text, component = rows.node.to_numpy(), rows.text.to_numpy(), rows.component.to_numpy()
+        links = []
+        for p, q in _meetings(rows, similarity, least):
+            for i, j in zip(p.tolist(), q.tolist()):
+                a, b = find(component[i]), find(component[j])
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in units:
+                        units[k] = np.sort(weight_units(shingles(text[k], words)))
+                if _resemble(units[i], units[j], similarity):
+                    links.append((node[i], node[j]))
+                    root[a] = b
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    again = dealt.join(met, ["task", "node"], "left_semi").join(marks, "node").join(texts, "node")
+    return _by_task(again, compare, "a long, b long")
+
 
-    return rows.mapInPandas(run, "a long, b long, part long")
+def _resemble(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of weight units are similar enough."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return both / (len(x) + len(y) - both) >= similarity
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -434,8 +503,8 @@ def near_duplicates(
     opened = written(open_buckets(with_components(members("short"), classes)), "open")
     classes = components(linked(hub_pairs(opened, similarity)), classes)
     opened = written(open_buckets(with_components(opened.select(*columns), classes)), "open")
-    rest = block_pairs(opened, marked, similarity, least)
-    classes = components(written(similar(rest, named, marked, words, similarity), "links"), classes)
+    if not opened.isEmpty():
+        classes = components(written(block_links(opened, named, marked, words, similarity, least), "links"), classes)
 
     ids = keyed.select("id", "digest")
     labelled = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
