@@ -14,6 +14,7 @@ from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
 from docweave.operators.embedding import HashingEmbedder, hashed_totals
 from docweave.operators.text_segments import TextSegments
+from docweave.operators.vector_clusters import VectorClusters
 from docweave.session import shared_folder
 
 # The question every single-question query asks, and its vector in the tables' width.
@@ -74,6 +75,17 @@ def dense_top_k(spark, sf_dir):
     return _rounded(rt.dense_top_k(_vectors(spark, sf_dir), VECTOR, K), "cosine", "score")
 
 
+@query(f"WITH {DENSE_SQL} SELECT id, round(cosine, 6) AS cosine, round(score, 6) AS score, rank FROM dense")
+def clustered_top_k(spark, sf_dir):
+    """The vectors laid out by cluster in two parts, then searched; most clusters are not read."""
+    vectors = _vectors(spark, sf_dir)
+    layout = VectorClusters(spark, f"{shared_folder(spark).rstrip('/')}/docweave/vectors-{uuid.uuid4().hex}")
+    half = F.col("embedding")[0] > 0
+    layout.add(vectors.where(half))
+    layout.add(vectors.where(~half | half.isNull()))
+    return _rounded(layout.search(VECTOR, K), "cosine", "score")
+
+
 @query(f"WITH {SPARSE_SQL} SELECT id, round(score, 6) AS score, rank FROM sparse")
 def bm25_top_k(spark, sf_dir):
     return _rounded(rt.bm25_top_k(_texts(spark, sf_dir), QUESTION, K), "score")
@@ -151,7 +163,7 @@ def index_terms(spark, sf_dir):
     )
 
 
-_GOLDEN_SPARSE_SQL = f"""q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ts FROM benchmark),
+GOLDEN_SPARSE_SQL = f"""q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ts FROM benchmark),
         qt AS (SELECT item_id, term, count(*) AS weight FROM (SELECT item_id, unnest(ts) AS term FROM q) GROUP BY ALL),
         {TOKENS_SQL},
         tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM toks) GROUP BY ALL),
@@ -162,7 +174,7 @@ _GOLDEN_SPARSE_SQL = f"""q AS (SELECT item_id, regexp_extract_all(lower(text), '
 
 
 @query(
-    f"""WITH {_GOLDEN_SPARSE_SQL}
+    f"""WITH {GOLDEN_SPARSE_SQL}
         SELECT item_id AS query_id, id, round(score, 6) AS score,
                row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank
         FROM scores QUALIFY rank <= {K}"""
@@ -175,7 +187,7 @@ def golden_bm25(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_GOLDEN_SPARSE_SQL},
+    f"""WITH {GOLDEN_SPARSE_SQL},
         sparse AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= {K}),
         near AS (SELECT q.vec_id AS item_id, e.vec_id AS id, round((1 + list_cosine_similarity(
               CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, 9) AS score

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from docweave.catalog.corpora import table
-from docweave.catalog.registry import hard_split_sql, query
-from docweave.catalog.retrieval_queries import _titled_documents, _window_chunks
+from docweave.catalog.graph_queries import trade_graph
+from docweave.catalog.registry import WS, hard_split_sql, query
+from docweave.catalog.retrieval_queries import GOLDEN_SPARSE_SQL, K, RRF_K, WIDTH, _chunks, _titled_documents, _window_chunks
+from docweave.config import EngineConfig
+from docweave.operators.embedding import HashingEmbedder
 from docweave.plans import evaluation, runs
+from docweave.plans.graph_schema import GraphSchema
+from docweave.plans.llm import Reply
+from docweave.plans.question_runs import QuestionRuns
 
 
 @query(
@@ -130,3 +138,58 @@ def scored_citations(spark, sf_dir):
 )
 def citation_hits(spark, sf_dir):
     return evaluation.citation_hits(_scored(spark, sf_dir), ["user_id"])
+
+
+class CountingModel:
+    """Decides by the length of the question, so that SQL can say what it will do."""
+
+    def chat(self, messages, temperature=0.0, max_tokens=0):
+        body = json.loads(messages[0])
+        question, size = body["question"], len(body["question"])
+        if "tables" in body:
+            return Reply("SELECT name FROM nodes WHERE label = 'Region'" if size % 2 == 0 else "SELECT * FROM elsewhere")
+        if "choices" in body:
+            return Reply("Relationship: it divides by three" if size % 3 == 0 else "lookup it is")
+        if body["task"].startswith("Word"):
+            return Reply(f'"{question}"')
+        if "notes" in body:
+            graph = "graph" if "Result of SELECT" in body["context"] else "texts"
+            return Reply(f"{body['context'].split(')')[0]}; {graph}; {len(body['notes'])} notes")
+        return Reply("insufficient: more" if size % 4 == 1 else "Sufficient.")
+
+
+@query(
+    f"""WITH {GOLDEN_SPARSE_SQL},
+        codes AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS code FROM (SELECT item_id, unnest(ts) AS w FROM q)),
+        sums AS (SELECT item_id, code % {WIDTH} AS bucket, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS total FROM codes GROUP BY ALL),
+        asked AS (SELECT b.item_id, list(CAST(coalesce(total, 0) AS DOUBLE) ORDER BY r.range) AS v
+            FROM benchmark b CROSS JOIN range({WIDTH}) r LEFT JOIN sums s ON s.item_id = b.item_id AND s.bucket = r.range GROUP BY b.item_id),
+        near AS (SELECT item_id, vec_id AS id, round((1 + list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)) / 2, 9) AS score
+            FROM asked, embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+        dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= {K}),
+        sparse AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= {K}),
+        lists AS (SELECT item_id, id, rank, 0 AS list FROM dense UNION ALL SELECT item_id, id, rank, 1 FROM sparse),
+        merged AS (SELECT item_id, id, sum(1.0::DOUBLE / ({RRF_K} + rank)) AS rrf, min(list * 1000 + rank) AS seen FROM lists GROUP BY item_id, id),
+        fused AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, seen) AS rank FROM merged QUALIFY rank <= {K}),
+        found AS (SELECT item_id, 'vector' AS mode, id, rank FROM dense UNION ALL SELECT item_id, 'hybrid', id, rank FROM fused),
+        listed AS (SELECT item_id, mode, arg_min(id, rank) AS first, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS cited FROM found GROUP BY ALL),
+        sizes AS (SELECT item_id, length(trim(text, {WS})) AS size FROM benchmark),
+        decided AS (SELECT *, size % 3 = 0 AND mode = 'hybrid' AS walks, CASE WHEN size % 4 = 1 THEN 3 ELSE 1 END AS iterations FROM listed JOIN sizes USING (item_id))
+        SELECT CAST(item_id AS VARCHAR) AS id, mode, CASE WHEN size % 3 = 0 THEN 'relationship' ELSE 'lookup' END AS route, iterations,
+            '[1] (' || first || '; ' || CASE WHEN walks AND size % 2 = 0 THEN 'graph' ELSE 'texts' END || '; '
+                || (CAST(iterations > 1 AS INT) + CAST(walks AND size % 2 = 1 AS INT)) || ' notes' AS answer,
+            cited, CAST(3 + iterations * (2 + CAST(walks AS INT)) AS BIGINT) AS steps FROM decided"""
+)
+def question_runs(spark, sf_dir):
+    """Every benchmark item in both modes through the whole loop, with a model that counts characters."""
+    located = [F.lit("").alias(c) for c in ("section", "clause")] + [F.lit(None).cast("string").alias("code_ref")]
+    chunks = _chunks(spark, sf_dir).select("*", F.col("id").cast("string").alias("doc_id"), *located)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    config = EngineConfig(embedding_dim=WIDTH, top_k=K, rrf_k=RRF_K)
+    loop = QuestionRuns(
+        spark, chunks, _titled_documents(spark, sf_dir), trade_graph(spark, sf_dir), GraphSchema.load(), CountingModel, lambda: HashingEmbedder(WIDTH), config
+    )
+    done = loop.answer(asked)
+    steps = done.steps.groupBy("id", "mode").agg(F.count("*").alias("steps"))
+    cited = F.array_join(F.transform("citations", lambda c: c["doc_id"]), ",")
+    return done.runs.join(steps, ["id", "mode"]).select("id", "mode", "route", "iterations", "answer", cited.alias("cited"), "steps")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +44,21 @@ def items(payload: Column, name: str) -> Column:
     )
 
 
-def scalar(item: Column, name: str) -> Column:
-    """The field ``name`` of an object as text; NULL where it is missing, null, a list or an object.
+def texts(item: Column, names: Iterable[str]) -> Column:
+    """The named fields of an object as one struct of texts, read in one go; NULL for what is no object."""
+    return F.try_variant_get(item, "$", "struct<" + ", ".join(f"`{n}`: string" for n in names) + ">")
+
+
+def scalar(item: Column, read: Column, name: str) -> Column:
+    """The field ``name`` of an object whose ``texts`` are ``read``; NULL where it is missing, null, a list or an object.
 
-    A plain projection. The type is looked up only for texts that could come from another type.
+    The type is looked up only for texts that could come from another type.
     """
-    text = F.try_variant_get(item, f"$.{name}", "string")
+    text = read[name]
     kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
     nested = text.startswith("{") & kind.startswith("OBJECT") | text.startswith("[") & kind.startswith("ARRAY")
-    return F.when(nested, None).when(text.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(text)).otherwise(text)
+    odd = F.when(nested, None).when(text.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(text)).otherwise(text)
+    return F.when(text.rlike(r"^(?:[{\[]|true$|false$)"), odd).otherwise(text)
 
 
 def is_object(item: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.loose_paths import check_paths
-from docweave.plans.agent import Agent
 
 def score_citations(expected: DataFrame, citations: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per expectation, whether a citation of the same run fulfils it, and the first one's section.
@@ -41,38 +40,6 @@ def citation_hits(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.count_if("hit").alias("hits"), F.count("*").alias("expected"))
 
 
-def run_golden(agent: Agent, golden: DataFrame, modes: Sequence[str] = ("hybrid", "vector")) -> DataFrame:
-    """One row per question and mode from live runs. The golden set is small by nature.
-
-    Columns: id, mode, route, iterations, error, answer, citations, trace_id.
-    """
-    rows = []
-    for question in golden.orderBy("id").toLocalIterator():
-        for mode in modes:
-            events = list(agent.ask(question["question"], mode))
-            steps = [e for e in events if e["type"] == "step"]
-            last = events[-1]
-            rows.append(
-                (
-                    question["id"],
-                    mode,
-                    next((e["detail"]["route"] for e in steps if e["step"] == "route"), None),
-                    sum(e["step"] == "retrieve" for e in steps),
-                    last.get("message") if last["type"] == "error" else None,
-                    last.get("answer", ""),
-                    [tuple(c.values()) for c in last.get("citations", [])],
-                    last.get("trace_id", ""),
-                )
-            )
-    citation = (
-        "struct<doc_id:string,title:string,doc_type:string,source_path:string,section:string,clause:string,code_ref:string>"
-    )
-    return agent.spark.createDataFrame(
-        rows,
-        f"id string, mode string, route string, iterations int, error string, answer string, citations array<{citation}>, trace_id string",
-    )
-
-
 def evaluate(runs: DataFrame, golden: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The run table with citation hits and path results, by first hops and whole; the same for every mode."""
     expected = (

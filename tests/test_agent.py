@@ -7,10 +7,11 @@ from docweave.config import EngineConfig
 from docweave.operators.embedding import HashingEmbedder
 from docweave.plans import agent as ag
 from docweave.plans import nlquery
-from docweave.plans.evaluation import evaluate, run_golden, write_results
+from docweave.plans.evaluation import evaluate, write_results
 from docweave.plans.graph_schema import GraphSchema
 from docweave.plans.llm import ChatCompletionsModel, Reply, ScriptedModel, complete
 from docweave.plans.patterns import Graph
+from docweave.plans.question_runs import QuestionRuns, by_mode
 from docweave.sources.jsonl import read_golden, read_traces, trace_final, trace_finals
 from docweave.streaming import events as ev
 
@@ -127,6 +128,64 @@ def test_completion_and_events(caplog):
     assert list(ev.decode(lines)) == sent[:2]
 
 
+def table_runs(spark, world, rules, **config):
+    """Runs whose model answers by rules: (task, word in the prompt) to a reply, an exception or a list of replies by failures."""
+    chunks, documents, graph, embedder = world
+
+    class RuleModel:
+        def chat(self, messages, temperature=0.0, max_tokens=0):
+            body = json.loads(messages[0])
+            task = "graph" if "tables" in body else body["task"].split(" ")[0]
+            for (wanted, word), reply in rules.items():
+                if wanted == task and word in messages[0]:
+                    reply = reply[min(len(body.get("failures", [])), len(reply) - 1)] if isinstance(reply, list) else reply
+                    if isinstance(reply, Exception):
+                        raise reply
+                    return Reply(reply)
+            default = {"Choose": "lookup it is", "Word": body["question"], "Decide": "sufficient", "Answer": "An answer to " + body["question"]}
+            return Reply(default.get(task, ""))
+
+    settings = EngineConfig(embedding_dim=16, top_k=2, **config)
+    return QuestionRuns(spark, chunks, documents, graph, SCHEMA, RuleModel, lambda: HashingEmbedder(16), settings)
+
+
+def test_a_table_of_questions(spark, world):
+    rules = {
+        ("Choose", "core"): "Relationship: asks for links", ("Choose", "Which"): "compliance-mapping x", ("Choose", "fails"): RuntimeError("no such model"),
+        ("graph", "core"): QUERY, ("graph", "Which"): ["DROP TABLE x", "", "SELECT nothing FROM nodes"],
+        ("Word", "core"): '"pay hub core"', ("Word", "blank"): "", ("Decide", "Which"): "insufficient: a", ("Decide", "lost"): RuntimeError("judge gone"),
+    }
+    questions = [("q1", "How does the pay hub reach core?"), ("q2", "Which clause?"), ("q3", " "), ("q4", None), ("q5", "this fails"), ("q6", "blank backup"), ("q7", "lost")]
+    found = table_runs(spark, world, rules).answer(spark.createDataFrame(questions, "id string, question string"))
+    rows = {(r["id"], r["mode"]): r for r in found.runs.collect()}
+    assert len(rows) == 14 == found.runs.count()
+    assert {k: (r["route"], r["iterations"], r["error"]) for k, r in rows.items() if k[1] == "hybrid"} == {
+        ("q1", "hybrid"): ("relationship", 1, None), ("q2", "hybrid"): ("compliance-mapping", 3, None), ("q3", "hybrid"): (None, 0, "empty message"),
+        ("q4", "hybrid"): (None, 0, "empty message"), ("q5", "hybrid"): (None, 0, "no such model"), ("q6", "hybrid"): ("lookup", 1, None),
+        ("q7", "hybrid"): ("lookup", 1, "judge gone"),
+    }
+    assert [c["doc_id"] for c in rows["q1", "hybrid"]["citations"]][0] == "d2" and len(rows["q1", "hybrid"]["citations"]) == 2
+    steps = {}
+    for r in found.steps.collect():
+        steps.setdefault((r["id"], r["mode"]), []).append((r["turn"], r["step"], json.loads(r["detail"])))
+    names = lambda key: [s for _, s, _ in sorted(steps[key], key=lambda x: x[0])]
+    assert names(("q1", "vector")) == ["route", "rewrite", "retrieve", "sufficiency", "synthesize"]
+    assert names(("q2", "hybrid")).count("traverse") == 3 and names(("q2", "vector")).count("traverse") == 0
+    detail = {(s, t): d for t, s, d in steps["q1", "hybrid"]}
+    assert detail["route", 0] == {"route": "relationship", "rationale": "asks for links"} and detail["rewrite", 0] == {"rewritten": "pay hub core"}
+    assert detail["traverse", 1] == {"statement": QUERY} and detail["retrieve", 1]["chunk_ids"][0] == "c2"
+    last = {(s, t): d for t, s, d in steps["q2", "hybrid"]}["sufficiency", 3]
+    assert last == {"sufficient": False, "capped": True, "note": "hard cap of 3 iterations reached", "iterations": 3}
+
+
+def test_one_question_runs_alike_alone_and_in_a_table(spark, world):
+    agent, _ = make(spark, world, ["Relationship: asks for links", '"pay hub core"', QUERY, "sufficient"], ["An answer to How does the pay hub reach core?"])
+    alone = list(agent.ask("How does the pay hub reach core?"))
+    rules = {("Choose", "core"): "Relationship: asks for links", ("Word", "core"): '"pay hub core"', ("graph", "core"): QUERY}
+    (row,) = table_runs(spark, world, rules).answer(spark.createDataFrame([(1, "How does the pay hub reach core?")], "id int, question string"), ["hybrid"]).runs.collect()
+    assert row["answer"] == alone[-1]["answer"] and [c.asDict() for c in row["citations"]] == alone[-1]["citations"]
+
+
 def test_golden_evaluation(spark, world, tmp_path):
     golden_file = tmp_path / "golden.jsonl"
     question = {
@@ -137,16 +196,17 @@ def test_golden_evaluation(spark, world, tmp_path):
     golden_file.write_text(json.dumps(question) + "\n\n")
     golden = read_golden(spark, str(golden_file))
     assert golden.count() == 1
-    agent, _ = make(spark, world, ["lookup", "pay hub", "sufficient"] * 2)
-    runs = run_golden(agent, golden)
+    runs = table_runs(spark, world, {}).answer(golden.select("id", "question")).runs
     nodes = world[2].entities.select("name")
     edges = spark.createDataFrame([("Pay Hub", "DEPENDS_ON", "Core")], "source string, type string, target string")
     scored = evaluate(runs, golden, nodes, edges)
     rows = {r["mode"]: r for r in scored.collect()}
     assert set(rows) == {"hybrid", "vector"}
     for r in rows.values():
-        assert (r["hits"], r["expected"], r["paths_ok"], r["paths_total"]) == (1, 2, 1, 2)
-        assert r["route"] == "lookup" and r["answer"] == "An answer."
+        assert (r["hits"], r["expected"], r["paths_ok"], r["paths_full"], r["paths_total"]) == (1, 2, 1, 1, 2)
+        assert r["route"] == "lookup" and r["answer"] == "An answer to pay hub?"
+    (pivoted,) = by_mode(scored, ["hits", "iterations"]).collect()
+    assert pivoted["hybrid_hits"] == pivoted["vector_hits"] == pivoted["vector_iterations"] == 1
     write_results(scored, str(tmp_path / "out"))
     summary = spark.read.json(str(tmp_path / "out" / "summary"))
-    assert "answer" not in summary.columns and summary.first()["answer_chars"] == 10
+    assert "answer" not in summary.columns and summary.first()["answer_chars"] == 21

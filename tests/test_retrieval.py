@@ -8,6 +8,7 @@ from docweave.operators import embedding as em
 from docweave.operators import retrieval as rt
 from docweave.operators.citations import build_citations
 from docweave.operators.text_segments import TextSegments
+from docweave.operators.vector_clusters import VectorClusters
 
 TEXTS = ["alpha beta beta", "beta gamma", "Alpha, alpha! delta", "", "épsilon beta_1 gamma gamma", "beta gamma"]
 
@@ -114,6 +115,31 @@ def test_a_segment_that_was_cut_off_is_not_seen(spark, tmp_path, monkeypatch):
     assert index.search("two", 5).collect() == before and len(index.segments()) == 1
 
 
+def test_clusters_that_cannot_win_are_not_read(spark, tmp_path):
+    draw = np.random.default_rng(9)
+    centers = draw.normal(size=(25, 12))
+    points = centers[draw.integers(0, 25, 2000)] + 0.2 * draw.normal(size=(2000, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(points)] + [(5000, [0.0] * 12), (5001, None), (5002, [1.0, 2.0]), (5003, points[3].tolist())]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    layout = VectorClusters(spark, str(tmp_path / "vectors"))
+    assert layout.search([1.0] * 12, 3).count() == 0
+    layout.add(vectors.where("id < 1200"), clusters=30)
+    layout.add(vectors.where("id >= 1200"), clusters=30)
+    layout.add(vectors.limit(0))
+    for query, few in ((points[3], True), (centers[7], True), (-points.mean(axis=0), False), (draw.normal(size=12), False)):
+        before = layout.clusters_read
+        got = [(r["rank"], r["id"], round(r["cosine"], 9)) for r in layout.search(query.tolist(), 5).collect()]
+        expected = [(r["rank"], r["id"], round(r["cosine"], 9)) for r in rt.dense_top_k(vectors, query.tolist(), 5).collect()]
+        assert sorted(got) == sorted(expected)
+        if few:
+            assert layout.clusters_read - before < 20 < len(layout.clusters(12))
+    assert [r["id"] for r in layout.search([1.0, 2.0], 2).collect()] == [5002]
+    # Fewer rows than asked for: all are found, the zero vector too.
+    small = VectorClusters(spark, str(tmp_path / "small"))
+    small.add(vectors.where("id IN (1, 2, 5000)"))
+    assert {r["id"] for r in small.search((-points[1]).tolist(), 9).collect()} == {1, 2, 5000}
+
+
 def test_batch_dense_agrees(chunks):
     embedder = em.HashingEmbedder(16)
     questions = [(i, embedder.embed_query(t)) for i, t in enumerate(["beta gamma", "delta", "alpha"])]
