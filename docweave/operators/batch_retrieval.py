@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ QUESTIONS_AT_ONCE = 4096
 # A question slice is shipped to every task; larger sets take one scan per slice.
 SLICE_BYTES = 64 << 20
 SCORE_DIGITS = 9
+# Scores (chunks x questions) that a task holds at a time.
+SCORED_CELLS = 200_000
+# Fixed value: what lies between index terms.
+NOT_A_WORD = r"[^\p{L}\p{N}_]+"
 
 
 class _Best:
@@ -111,24 +116,83 @@ def dense_top_k(chunks: DataFrame, questions: Sequence[tuple[int, Sequence[float
     return _top(reduce(DataFrame.unionByName, map(scan, _slices(questions, 8 * width))), k)
 
 
+def question_counts(chunks: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """(id, length, terms, tfs) of every chunk: how often it holds the words of a vocabulary, by their numbers."""
+    words, (kind, id_type) = pa.array(list(vocabulary), pa.large_string()), _arrow_type(chunks)
+    schema = pa.schema([("id", id_type), ("length", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern_regex(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), NOT_A_WORD)
+            flat, bounds = split.flatten(), split.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            length = np.bincount(row[pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0], minlength=batch.num_rows)
+            term = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy().astype(np.int64)
+            pairs, tf = np.unique(row[term >= 0] * len(words) + term[term >= 0], return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(pairs // len(words), minlength=batch.num_rows))))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (pairs % len(words), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(length, pa.int64()), *lists], schema=schema)
+
+    lowered = chunks.select("id", F.lower("text"))
+    return lowered.mapInArrow(count, f"id {kind}, length long, terms array<int>, tfs array<int>")
+
+
 def bm25_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """R2 for questions (query_id, text): query_id, id, score, rank, as one join of question terms and postings.
+    """R2 for questions (query_id, text): query_id, id, score, rank.
 
-    The postings of all question terms are kept in a table, from which document frequencies and scores are
-    summed; a frequent term is a skewed probe side only, which adaptive execution splits.
+    Texts are read once per part of the questions, for the counts of their words; document frequencies and scores
+    come from the stored counts. A chunk is scored inside its task for all questions that share a word with it, and
+    a task hands on its k best chunks per question, however common the words are.
     """
     terms = questions.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    terms = stored(terms.groupBy("query_id", "term").agg(F.count("*").alias("weight")), "question-terms")
-    lengths = F.coalesce(F.sum(F.size(tx.tokens(F.col("text")))), F.lit(0))
-    n_docs, n_words = chunks.agg(F.count("*"), lengths).first()
-    mean = n_words / max(1, n_docs) or 1.0
-    found = stored(rt.postings(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "question-postings")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = stored(terms.join(df, "term").select("query_id", "term", (F.col("weight") * idf).alias("weight")), "question-weights")
-    matched = found.join(weighted, "term").groupBy("query_id", "id")
-    scored = matched.agg(F.sum(F.col("weight") * rt.bm25_weight(F.col("tf"), F.col("length"), mean)).alias("score"))
-    return _top(scored.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+    weighted = stored(terms.groupBy("query_id", "term").agg(F.count("*").alias("weight")), "question-terms")
+    return answer_all(weighted.select("query_id").distinct(), lambda rows: _bm25_part(chunks, weighted, [r["query_id"] for r in rows], k))
+
+
+def _bm25_part(chunks: DataFrame, weighted: DataFrame, names: Sequence[int], k: int) -> DataFrame:
+    """``bm25_top_k`` for the questions ``names``, whose words fit the driver and every task."""
+    if not names:
+        return _nothing(chunks)
+    rows = weighted.join(F.broadcast(weighted.sparkSession.createDataFrame([(n,) for n in names], "query_id long")), "query_id").collect()
+    vocabulary = sorted({r["term"] for r in rows})
+    number, place = {t: i for i, t in enumerate(vocabulary)}, {n: i for i, n in enumerate(names)}
+    counts = stored(question_counts(chunks, vocabulary), "question-counts")
+    n_docs, mean = counts.agg(F.count("*"), F.avg("length")).first()
+    df = dict(counts.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # a row per word
+    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
+    for r in rows:
+        term = number[r["term"]]
+        if term in df:
+            postings[term].append((place[r["query_id"]], r["weight"] * rt.idf(n_docs, df[term])))
+    sizes = np.array([len(p) for p in postings], dtype=np.int64)
+    flat = np.array([q for p in postings for q, _ in p], dtype=np.int64)
+    weights = np.array([w for p in postings for _, w in p])
+    begins, mean = np.cumsum(sizes) - sizes, mean or 1.0
+    kind, id_type = _arrow_type(chunks)
+    schema = pa.schema([("query_id", pa.int64()), ("id", id_type), ("score", pa.float64())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, at_once = _Best(len(names), k), max(128, SCORED_CELLS // len(names))
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                held = np.diff(batch.column("terms").offsets.to_numpy())
+                term, tf = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("terms", "tfs"))
+                row = np.repeat(np.arange(batch.num_rows), held)
+                length = batch.column("length").to_numpy()[row]
+                impact = tf / (tf + rt.BM25_K1 * (1 - rt.BM25_B + rt.BM25_B * length / mean))
+                n = sizes[term]
+                ends = np.cumsum(n)
+                spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[term] - (ends - n), n)
+                cell = np.repeat(row, n) * len(names) + flat[spots]
+                shape = (batch.num_rows, len(names))
+                score = np.bincount(cell, np.repeat(impact, n) * weights[spots], minlength=shape[0] * shape[1]).reshape(shape)
+                hit = np.bincount(cell, minlength=score.size).reshape(shape) > 0
+                kept.add(_object_ids(batch.column("id")), np.where(hit, np.round(score, SCORE_DIGITS), np.nan))
+        yield from kept.batches(names, schema)
+
+    return _top(counts.mapInArrow(best, f"query_id long, id {kind}, score double"), k)
 
 
 def answer_all(questions: DataFrame, answer: Callable[[list[Row]], DataFrame], path: str | None = None) -> DataFrame:

@@ -189,7 +189,7 @@ class Agent:
         log = RunLog(self.spark, self.config.trace_dir, question, mode)
         problem = "empty message" if not question else "" if mode in MODES else f"unknown retrieval mode {mode!r}"
         if problem:
-            log.close([], 0)
+            log.fail(problem, 0)
             yield {"type": "error", "message": problem}
             return
         run = Run(question, mode, self.spark.createDataFrame([], CONTEXT))
@@ -211,5 +211,9 @@ class Agent:
                 cited = self.citations(run)
             log.close(cited, run.iterations)
             yield {"type": "done", "answer": "".join(run.answer), "citations": cited, "trace_id": log.trace_id}
+        except GeneratorExit:
+            log.fail("left by its reader", run.iterations)
+            raise
         except Exception as exc:  # noqa: BLE001 - a failed run ends in an error event
+            log.fail(str(exc), run.iterations)
             yield {"type": "error", "message": str(exc)}

@@ -53,11 +53,35 @@ class Ingest:
             stored = self.spark.read.parquet(f"{self.store.path}/{table}")
         return stored
 
-    def run(self, root: str, batch: str) -> dict:
-        """Ingest everything under ``root`` as one batch; returns the summary counters."""
+    def follow(self, root: str, checkpoint: str) -> None:
+        """Ingests what has come to ``root`` since the last call, in batches, and returns.
+
+        The stream's checkpoint knows the files that were seen; a call that is cut off takes its batch up again.
+        """
+        files = self.spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        files = files.schema("path string, modificationTime timestamp, length long, content binary").load(root).select("path")
+
+        def arrived(paths: DataFrame, number: int) -> None:
+            self.run(root, f"arrived-{number}", paths)
+
+        stream = files.writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        stream.start().awaitTermination()
+
+    def _wanted(self, documents: DataFrame, paths: DataFrame) -> DataFrame:
+        """The documents of the given paths, and those the store does not hold under the id that the listing now gives them."""
+        named = documents.join(paths.select(F.col("path").alias("abs_path")).distinct().withColumn("named", F.lit(True)), "abs_path", "left")
+        known = self.store.read("documents")
+        if known is not None:
+            known = known.select("source_path", "doc_id").withColumn("known", F.lit(True))
+            named = named.join(known, ["source_path", "doc_id"], "left").where("named OR known IS NULL").drop("known")
+        return named.select(*documents.columns)
+
+    def run(self, root: str, batch: str, paths: DataFrame | None = None) -> dict:
+        """Ingest everything under ``root``, or only the files of ``paths`` (path), as one batch; returns the summary counters."""
         timings: dict[str, float] = {}
         check_dimension(self.make_embedder(), self.config.embedding_dim)
-        documents = self._stage(batch, "documents", lambda: self._ordered_documents(root), timings)
+        listed = lambda: self._ordered_documents(root)
+        documents = self._stage(batch, "documents", listed if paths is None else lambda: self._wanted(listed(), paths), timings)
         chunks = self._stage(batch, "chunks", lambda: self._embedded_chunks(documents), timings)
         replies = self._stage(batch, "replies", lambda: self._replies(chunks, documents), timings)
         keep = ("doc_id", "doc_order", "chunk_index", "chunk_id")

@@ -1,14 +1,16 @@
 """K1-K8: the tables on disk, and applying an ingest batch to them.
 
-Tables are Parquet, split into hash buckets. A batch rewrites only the buckets
-its rows fall into, by dynamic partition overwrite: tasks write next to the old
-files and the job commit swaps them in, so a lost executor costs retried tasks
-and a failed job leaves the old state. Running a batch again gives the same
-tables.
+Tables are Parquet, split into hash buckets. A batch writes the buckets its rows
+fall into to folders of its own; which folder holds a bucket now is said, for all
+tables together, by one version that is written last. A batch that ends half-way
+leaves the old version of every table as it was, and files of an old version stay
+for whoever still reads them. Running a batch again gives the same tables. One
+writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -21,6 +23,9 @@ from docweave.operators.text_segments import TextSegments
 from docweave.plans.graph_schema import GraphSchema
 
 BUCKET = "bucket"
+TABLES = ("documents", "chunks", "entities", "edges")
+#: Table to bucket to the folder that holds it.
+State = dict[str, dict[int, str]]
 
 
 @dataclass(frozen=True)
@@ -33,94 +38,122 @@ class GraphStore:
     def _bucket(self, *key: str) -> Column:
         return F.pmod(F.xxhash64(*key), F.lit(self.config.table_buckets)).cast("int")
 
-    def read(self, table: str) -> DataFrame | None:
+    def _stored(self, *paths: str, base: str) -> DataFrame | None:
         try:
-            stored = self.spark.read.parquet(f"{self.path}/{table}")
-            # See _upsert_edges for the rows without a type.
-            return stored.where(F.col("rel_type").isNotNull()) if table == "edges" else stored
+            return self.spark.read.option("basePath", base).parquet(*paths)
         except AnalysisException as exc:
             if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
+    def versions(self) -> DataFrame | None:
+        """version, table, bucket, folder: every state the tables were in, the largest version last."""
+        return self._stored(f"{self.path}/versions", base=f"{self.path}/versions")
+
+    def state(self) -> tuple[int, State]:
+        """The current version and its folders: a row per table and bucket, whatever the tables hold."""
+        known = self.versions()
+        if known is None:
+            return 0, {}
+        version = known.agg(F.max("version")).first()[0]
+        if version is None:
+            return 0, {}
+        state: State = {}
+        for r in known.where(F.col("version") == version).collect():
+            state.setdefault(r["table"], {})[r[BUCKET]] = r["folder"]
+        return version, state
+
+    def _commit(self, version: int, state: State) -> None:
+        """Makes ``state`` the current one: a single file, which is there as a whole or not at all."""
+        rows = [(t, b, folder) for t, buckets in sorted(state.items()) for b, folder in sorted(buckets.items())]
+        frame = self.spark.createDataFrame(rows, f"table string, {BUCKET} int, folder string").coalesce(1)
+        frame.write.mode("overwrite").parquet(f"{self.path}/versions/version={version}")  # what a lost attempt left goes
+
+    def read(self, table: str) -> DataFrame | None:
+        """A table as the current version has it, or a staging table; None where there is none."""
+        if table not in TABLES:
+            return self._stored(f"{self.path}/{table}", base=f"{self.path}/{table}")
+        return self._read(self.state()[1], table)
+
+    def _read(self, state: State, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """``table`` in ``state``, or those of its buckets that are named; None where it has none of them."""
+        held = {b: folder for b, folder in state.get(table, {}).items() if buckets is None or b in buckets}
+        if not held:
+            return None
+        paths = [f"{folder}/{BUCKET}={b}" for b, folder in sorted(held.items())]
+        return self._stored(*paths, base=f"{self.path}/{table}").drop("write")
+
     def text_index(self) -> TextSegments:
         """K6: the full-text index over the chunks, a segment per batch."""
         return TextSegments(self.spark, f"{self.path}/text_index")
 
-    def _touched(self, *keys: DataFrame) -> list[int]:
+    def _touched(self, keys: DataFrame) -> list[int]:
         """Buckets to rewrite: at most ``table_buckets`` small numbers."""
-        found = keys[0]
-        for more in keys[1:]:
-            found = found.unionByName(more)
-        return [r[BUCKET] for r in found.distinct().collect()]
+        return [r[BUCKET] for r in keys.distinct().collect()]
 
-    def _write(self, rows: DataFrame, table: str) -> None:
-        """Rebalancing splits a bucket that outgrows one task instead of funnelling it through."""
+    def _write(self, state: State, rows: DataFrame, table: str, touched: list[int]) -> None:
+        """Rows of the touched buckets to a new folder, which ``state`` names from then on; empty buckets are dropped.
+
+        Rebalancing splits a bucket that outgrows one task instead of funnelling it through.
+        """
+        folder = f"{self.path}/{table}/write={uuid.uuid4().hex}"
         (
             rows.hint("rebalance", F.col(BUCKET))
             .write.partitionBy(BUCKET)
-            .option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#id", "true" if "id" in rows.columns else "false")
-            .mode("overwrite")
-            .parquet(f"{self.path}/{table}")
+            .parquet(folder)
         )
+        written = self._stored(folder, base=folder)
+        kept = {b: f for b, f in state.get(table, {}).items() if b not in touched}
+        filled = self._touched(written.select(BUCKET)) if written is not None and BUCKET in written.columns else []
+        state[table] = {**kept, **{b: folder for b in filled}}
 
-    def _replace(self, table: str, batch: DataFrame) -> None:
+    def _replace(self, state: State, table: str, batch: DataFrame) -> None:
         """K1, K2, K5 for the tables owned by documents."""
         batch = batch.withColumn(BUCKET, self._bucket("doc_id"))
-        current = self.read(table)
-        if current is not None:
-            touched = self._touched(batch.select(BUCKET))
-            if not touched:
-                return
-            batch = gr.replace_documents(current.where(F.col(BUCKET).isin(*touched)), batch)
-        self._write(batch, table)
+        touched = self._touched(batch.select(BUCKET))
+        if not touched:
+            return
+        current = self._read(state, table, touched)
+        self._write(state, batch if current is None else gr.replace_documents(current, batch), table, touched)
 
     def apply(self, documents: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame) -> None:
-        """Apply one batch: chunks and documents, then entities, then edges.
+        """Apply one batch: chunks and documents, then entities, then edges; all are visible together at the end.
 
         Inputs are read several times, so they should be stored tables.
         Documents without chunks change nothing, their old rows included.
         """
+        version, state = self.state()
         batch = documents.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
-        self._replace("documents", batch)
-        self._replace("chunks", gr.attached_chunks(chunks, batch))
-        self._upsert_entities(mentions)
-        self._upsert_edges(gr.last_assertions(relations), batch, mentions)
-
-    def _upsert_entities(self, mentions: DataFrame) -> None:
-        properties = self.schema.properties
-        bucketed = mentions.withColumn(BUCKET, self._bucket("label", "key"))
-        current = self.read("entities")
-        if current is not None:
-            touched = self._touched(bucketed.select(BUCKET))
-            if not touched:
-                return
-            current = current.where(F.col(BUCKET).isin(*touched))
-        merged = gr.upsert_entities(current, mentions, properties).drop("first_seen")
-        self._write(merged.withColumn(BUCKET, self._bucket("label", "key")), "entities")
-
-    def _upsert_edges(self, assertions: DataFrame, batch: DataFrame, mentions: DataFrame) -> None:
-        if self.read("entities") is None:
+        self._replace(state, "documents", batch)
+        self._replace(state, "chunks", gr.attached_chunks(chunks, batch))
+        self._upsert_entities(state, mentions)
+        self._upsert_edges(state, gr.last_assertions(relations), batch, mentions)
+        self._commit(version + 1, state)
+
+    def _upsert_entities(self, state: State, mentions: DataFrame) -> None:
+        touched = self._touched(mentions.select(self._bucket("label", "key").alias(BUCKET)))
+        if not touched:
             return
-        entities = self._seen_entities(mentions)
-        current, touched = self.read("edges"), []
+        merged = gr.upsert_entities(self._read(state, "entities", touched), mentions, self.schema.properties).drop("first_seen")
+        self._write(state, merged.withColumn(BUCKET, self._bucket("label", "key")), "entities", touched)
+
+    def _upsert_edges(self, state: State, assertions: DataFrame, batch: DataFrame, mentions: DataFrame) -> None:
+        if self._read(state, "entities") is None:
+            return
+        current, touched = self._read(state, "edges"), assertions.select(self._bucket(*gr.EDGE).alias(BUCKET))
         if current is not None:
             owned = current.join(
                 batch.select(F.col("doc_id").alias("source_document")), "source_document", "left_semi"
             )
-            stated = assertions.withColumn(BUCKET, self._bucket(*gr.EDGE))
-            touched = self._touched(owned.select(BUCKET), stated.select(BUCKET))
-            if not touched:
-                return
-            current = current.where(F.col(BUCKET).isin(*touched))
-        edges = gr.upsert_edges(current, assertions, entities, batch).withColumn(BUCKET, self._bucket(*gr.EDGE))
-        # A bucket whose last edge goes must still be overwritten, so every
-        # touched bucket gets one row that stands for no edge.
-        marks = self.spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int")
-        self._write(edges.unionByName(marks, allowMissingColumns=True), "edges")
-
-    def _seen_entities(self, mentions: DataFrame) -> DataFrame:
+            touched = touched.unionByName(owned.select(BUCKET))
+        touched = self._touched(touched)
+        if not touched:
+            return
+        edges = gr.upsert_edges(self._read(state, "edges", touched), assertions, self._seen_entities(state, mentions), batch)
+        self._write(state, edges.withColumn(BUCKET, self._bucket(*gr.EDGE)), "edges", touched)
+
+    def _seen_entities(self, state: State, mentions: DataFrame) -> DataFrame:
         """Stored entities with the write that first made them visible in this batch.
 
         An entity new to the batch counts from its first mention; one that was
@@ -130,7 +163,7 @@ class GraphStore:
             F.min(gr.write_order()).alias("first_seen"), F.max("is_new").alias("is_new")
         )
         before = gr.before_batch(mentions)
-        stored = self.read("entities").select("label", "key")
+        stored = self._read(state, "entities").select("label", "key")
         return stored.join(seen, ["label", "key"], "left").select(
             "label", "key", F.when(F.col("is_new"), F.col("first_seen")).otherwise(before).alias("first_seen")
         )

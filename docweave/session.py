@@ -7,14 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes shuffle partitions from the real data and splits
-# skewed join partitions; dynamic overwrite lets an ingest rewrite only the
-# buckets its documents fall into.
+# skewed join partitions.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

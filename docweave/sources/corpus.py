@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators.barrier import settle
 from docweave.operators.joins import broadcast_if_small
 
 # Document classes in ingestion order, supported and skipped files.
@@ -44,12 +45,12 @@ def file_stem(name: Column) -> Column:
 def _below(path: Column, root: str) -> Column:
     """What follows the root; readers may put a scheme and authority before it, so the first occurrence counts."""
     base = re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
-    bare = F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "")
-    return (
+    after = lambda bare: (
         F.when(bare.startswith(base), F.substr(bare, F.lit(len(base) + 1)))
-        .when(F.locate(base, bare) > 0, F.substr(bare, F.locate(base, bare) + len(base)))
+        .when(bare.contains(base), F.substr(bare, F.instr(bare, base) + len(base)))
         .otherwise(bare)
     )
+    return tx.let(F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", ""), after)
 
 
 def walk(files: DataFrame, root: str) -> DataFrame:
@@ -59,7 +60,8 @@ def walk(files: DataFrame, root: str) -> DataFrame:
     """
     rel = _below(F.col("path"), root)
     parts = F.split("rel", "/")
-    listed = files.withColumn("rel", rel).withColumn("parts", parts)
+    # Class, name and suffix are filtered on: the path is cut once, below them.
+    listed = settle(files.withColumn("rel", rel).withColumn("parts", parts))
     listed = listed.withColumns(
         {
             "name": F.element_at("parts", -1),

@@ -17,7 +17,7 @@ CITATION = (
 )
 TRACE = (
     "event string, trace_id string, retrieval_mode string, question string, step string, "
-    f"detail variant, ts_ms bigint, citations array<{CITATION}>, iterations int, total_ms bigint"
+    f"detail variant, ts_ms bigint, citations array<{CITATION}>, iterations int, total_ms bigint, message string"
 )
 
 

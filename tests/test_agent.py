@@ -86,9 +86,17 @@ def test_iteration_cap_and_failed_traversal(spark, world):
     assert json.loads(model.prompts[4])["failures"][1] == {"statement": "", "error": nlquery.NO_STATEMENT}
 
 
-def test_errors_are_events(spark, world):
-    agent, _ = make(spark, world, [RuntimeError("no such model")])
-    assert list(agent.ask("q")) == [{"type": "error", "message": "no such model"}]
+def test_errors_are_events(spark, world, tmp_path):
+    agent, _ = make(spark, world, ["lookup", RuntimeError("no such model"), "lookup"], trace_dir=str(tmp_path))
+    assert list(agent.ask("q"))[1:] == [{"type": "error", "message": "no such model"}]
+    left = agent.ask("left")
+    next(left)
+    left.close()
+    traces = read_traces(spark, str(tmp_path))
+    ends = {r["message"]: r["trace_id"] for r in traces.where("event = 'error'").collect()}
+    assert set(ends) == {"no such model", "left by its reader"}
+    for trace_id in ends.values():  # the steps before the end are there too
+        assert [r["step"] for r in traces.where((F.col("trace_id") == trace_id) & (F.col("event") == "step")).collect()] == ["route"]
     assert list(agent.ask("  "))[0]["message"] == "empty message"
     assert "unknown retrieval mode" in list(agent.ask("q", "both"))[0]["message"]
 

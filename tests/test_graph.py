@@ -225,10 +225,43 @@ def test_ingest_and_reingest(spark, tmp_path, keyword_model):
     assert [(r["id"], round(r["score"], 9)) for r in found] == [(r["id"], round(r["score"], 9)) for r in fresh] and len(found) == 3
     assert [s["batch"] for s in store.text_index().segments()] == ["batch1", "batch2"]
 
+    # A batch that ends between two tables leaves all four as they were; run again, it goes through.
     changed = tree(tmp_path / "two", {"architecture/a.md": "# A\n\nSysA SysD"})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(GraphStore, "_upsert_edges", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            ingest.run(changed, "batch3")
+    assert tables() == before and store.state()[0] == 2
     ingest.run(changed, "batch3")
+    assert store.state()[0] == 3 and store.versions().where("version = 1").count() > 0
     edges = {(r["source_key"], r["target_key"]) for r in store.read("edges").collect()}
     assert edges == {("sysa", "sysd"), ("sysb", "sysc")}
     assert {r["key"] for r in store.read("entities").collect()} == {"sysa", "sysb", "sysc", "sysd"}
     assert store.read("chunks").where("doc_id = 'a'").count() == 1
     assert store.read("documents").count() == 3
+
+
+def test_a_growing_folder_equals_one_batch(spark, tmp_path, keyword_model):
+    schema, config = GraphSchema.load(), EngineConfig(embedding_dim=8, table_buckets=4, ingest_concurrency=2)
+
+    def ingest(name):
+        store = GraphStore(spark, str(tmp_path / name), schema, config)
+        return store, Ingest(spark, store, schema, lambda: HashingEmbedder(8), keyword_model, config)
+
+    grown, follower = ingest("grown")
+    early = {"security/b.md": "# B\n\nSysB SysC", "code/__init__.py": "# SysInit"}
+    root = tree(tmp_path / "folder", early)
+    follower.follow(root, str(tmp_path / "checkpoint"))
+    # The second file takes the stem of the first, which comes after it in reading order.
+    late = {"regulatory/b.md": "## Part\n\nSysA SysB", "architecture/d.md": "# D\n\nSysD SysA"}
+    tree(tmp_path / "folder", late)
+    follower.follow(root, str(tmp_path / "checkpoint"))
+    version = grown.state()[0]
+    follower.follow(root, str(tmp_path / "checkpoint"))
+    assert grown.state()[0] == version  # nothing new came
+
+    whole, once = ingest("whole")
+    once.run(root, "all")
+    for table in ("documents", "chunks", "entities", "edges"):
+        rows = [sorted(map(str, s.read(table).drop("bucket", "embedding").collect())) for s in (grown, whole)]
+        assert rows[0] == rows[1], table
