@@ -29,9 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"), "text_key")
-    found = written(found.distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("text_key"))
-    return docs.join(found, same, "left_anti")
+    found = written(found.distinct(), "contaminated").alias("found")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("found.found_id")) & (F.xxhash64("docs.text") == F.col("found.text_key"))
+    return docs.alias("docs").join(found, same, "left_anti")
 
 
 def clear_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
