@@ -38,7 +38,6 @@ class EngineConfig:
     query_attempts: int = 3
     query_page_rows: int = 25
     query_row_chars: int | None = None
-    query_error_chars: int = 400
     extract_attempts: int = 3
     extract_slice_rows: int = 200
     extract_max_tokens: int = 8192
