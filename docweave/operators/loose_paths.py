@@ -19,6 +19,11 @@ from docweave.session import stored
 PIECE = 4
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side that grows with the graph or the paths: joined by sorting, never gathered by the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def pieces(name: Column, size: Column | int) -> Column:
     """The distinct runs of ``size`` characters of a name; none where it is shorter."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -38,8 +43,8 @@ def held_names(inner: DataFrame, outer: DataFrame, q: int = PIECE) -> DataFrame:
     held = placed.groupBy("piece").agg(F.count("*").alias("n"))
     own = inner.select("inner", F.explode(pieces(F.col("inner"), size)).alias("piece"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest")
-    probes = own.join(held, "piece", "left").groupBy("inner").agg(rarest).where("rarest.n > 0")
-    met = probes.select("inner", F.col("rarest.piece").alias("piece")).join(placed, "piece")
+    probes = own.join(sorted_side(held), "piece", "left").groupBy("inner").agg(rarest).where("rarest.n > 0")
+    met = probes.select("inner", F.col("rarest.piece").alias("piece")).join(sorted_side(placed), "piece")
     return met.where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
 
 
@@ -69,11 +74,11 @@ def walked(hops: DataFrame, triples: DataFrame, begun: DataFrame, longest: int)
     ``begun`` holds (path_id, type, target) of the edges whose ends match the first hop's names.
     """
     first = hops.where("hop = 0").select("path_id", "rel")
-    frontier = begun.join(first, "path_id").where(F.upper("type") == F.upper("rel")).select("path_id", F.col("target").alias("node")).distinct()
+    frontier = begun.join(sorted_side(first), "path_id").where(F.upper("type") == F.upper("rel")).select("path_id", F.col("target").alias("node")).distinct()
     reached = frontier.select("path_id", F.lit(1).alias("hops_ok"))
     for hop in range(1, longest):
         asked = hops.where(F.col("hop") == hop).select("path_id", F.upper("rel").alias("asked"), "want_target")
-        at = frontier.join(asked, "path_id").join(triples, (F.col("node") == F.col("source")) & (F.upper("type") == F.col("asked")))
+        at = frontier.join(sorted_side(asked), "path_id").join(sorted_side(triples), (F.col("node") == F.col("source")) & (F.upper("type") == F.col("asked")))
         fits = at.where(tx.loosely_matches(F.col("want_target"), F.col("target")))
         frontier = fits.select("path_id", F.col("target").alias("node")).distinct()
         if hop + 1 < longest:
@@ -103,9 +108,9 @@ def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame, q: int
     names = nodes.select(tx.alnum_name(F.col("name")).alias("actual"))
     # Sources of edges may have names that the list of nodes lacks; those can be walked from but are not found as nodes.
     matches = stored(loose_matches(wanted, names.union(triples.select("source")), q), "matches")
-    met = matches.join(names, "actual", "left_semi").select("wanted").distinct()
+    met = matches.join(sorted_side(names), "actual", "left_semi").select("wanted").distinct()
     first = hops.where("hop = 0")
-    begun = first.join(matches, F.col("want_source") == F.col("wanted")).join(triples, F.col("actual") == F.col("source"))
+    begun = first.join(sorted_side(matches), F.col("want_source") == F.col("wanted")).join(sorted_side(triples), F.col("actual") == F.col("source"))
     begun = begun.where(tx.loosely_matches(F.col("want_target"), F.col("target"))).select("path_id", "type", "target")
     begun = stored(begun.distinct(), "begun")
     linked = begun.groupBy("path_id").agg(F.array_sort(F.collect_set("type")).alias("types"))
@@ -114,10 +119,10 @@ def check_paths(expected: DataFrame, nodes: DataFrame, edges: DataFrame, q: int
     known_types = triples.select(F.upper("type").alias("known_type")).distinct()
 
     checked = (
-        ends.join(met.select(F.col("wanted").alias("want_start"), F.lit(True).alias("start_found")), "want_start", "left")
-        .join(met.select(F.col("wanted").alias("want_end"), F.lit(True).alias("end_found")), "want_end", "left")
-        .join(linked, "path_id", "left")
-        .join(steps, "path_id", "left")
+        ends.join(sorted_side(met.select(F.col("wanted").alias("want_start"), F.lit(True).alias("start_found"))), "want_start", "left")
+        .join(sorted_side(met.select(F.col("wanted").alias("want_end"), F.lit(True).alias("end_found"))), "want_end", "left")
+        .join(sorted_side(linked), "path_id", "left")
+        .join(sorted_side(steps), "path_id", "left")
         .join(known_types, F.upper("rel") == F.col("known_type"), "left")
     )
     start_ok, end_ok = (F.coalesce(F.col(c), F.lit(False)) for c in ("start_found", "end_found"))

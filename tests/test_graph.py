@@ -127,6 +127,16 @@ def test_paths_are_walked_on_one_chain_of_nodes(spark):
     assert check_paths(none, spark.createDataFrame(names, "name string"), spark.createDataFrame(edges, "source string, type string, target string")).count() == 0
 
 
+def test_growing_sides_of_path_checks_are_not_broadcast(spark):
+    paths = spark.createDataFrame([("two", ["a", "r", "b", "s", "c"]), ("node", ["a"])], "path_id string, path array<string>")
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "s", "c")], "source string, type string, target string")
+    found = check_paths(paths, names, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1  # the edge types alone, as few as the schema has
+    assert {r["path_id"]: (r["hops_ok"], r["full_ok"]) for r in found.collect()} == {"two": (2, True), "node": (0, True)}
+
+
 def test_loose_matches_without_a_nested_loop(spark):
     draw = random.Random(7)
     word = lambda n: "".join(draw.choices("abc0", k=n))
