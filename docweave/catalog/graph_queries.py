@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docweave.catalog.corpora import table
 from docweave.catalog.registry import query
 from docweave.operators import graph as gr
+from docweave.operators.joins import sorted_side
 from docweave.operators.loose_paths import check_paths
 from docweave.plans import guard
 from docweave.plans.patterns import Graph, Match, path_counts
@@ -358,7 +359,7 @@ def path_checks(spark, sf_dir):
         F.array("c_name", F.lit("In_Nation"), "n_name", F.when(F.col("c_custkey") % 2 == 0, "IN_REGION").otherwise("PLACED"), "r_name").alias("path"),
     )
     supplied = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey"))
-    three = part.join(supplied, F.col("l_partkey") == F.col("p_partkey")).join(supplier, "s_suppkey")
+    three = part.join(sorted_side(supplied), F.col("l_partkey") == F.col("p_partkey")).join(sorted_side(supplier), "s_suppkey")
     next_door = F.when(F.col("p_partkey") % 5 == 0, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey"))
     last = F.when(F.col("p_partkey") % 4 == 0, "OWNS").otherwise("IN_REGION")
     three = three.join(nation, F.col("n_nationkey") == next_door).join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.joins import sorted_side
+
 EDGE = ("rel_type", "source_label", "source_key", "target_label", "target_key")
 PROVENANCE = ("source_chunk", "source_document")
 
@@ -145,11 +147,11 @@ def graph_inventory(entities: DataFrame, edges: DataFrame) -> DataFrame:
     )
     triples = (
         edges.join(
-            names.select(F.col("label").alias("source_label"), F.col("key").alias("source_key"), F.col("shown").alias("source")),
+            sorted_side(names.select(F.col("label").alias("source_label"), F.col("key").alias("source_key"), F.col("shown").alias("source"))),
             ["source_label", "source_key"],
         )
         .join(
-            names.select(F.col("label").alias("target_label"), F.col("key").alias("target_key"), F.col("shown").alias("target")),
+            sorted_side(names.select(F.col("label").alias("target_label"), F.col("key").alias("target_key"), F.col("shown").alias("target"))),
             ["target_label", "target_key"],
         )
         .select(F.lit("edge").alias("kind"), F.col("rel_type").alias("label"), "source", "target")

@@ -14,16 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators.joins import sorted_side
 from docweave.session import stored
 
 PIECE = 4
 
 
-def sorted_side(df: DataFrame) -> DataFrame:
-    """A side that grows with the graph or the paths: joined by sorting, never gathered by the driver for a broadcast."""
-    return df.hint("merge")
-
-
 def pieces(name: Column, size: Column | int) -> Column:
     """The distinct runs of ``size`` characters of a name; none where it is shorter."""
     size = F.lit(size) if isinstance(size, int) else size

@@ -137,6 +137,21 @@ def test_growing_sides_of_path_checks_are_not_broadcast(spark):
     assert {r["path_id"]: (r["hops_ok"], r["full_ok"]) for r in found.collect()} == {"two": (2, True), "node": (0, True)}
 
 
+def test_names_of_the_inventory_are_not_broadcast(spark):
+    key = F.col("id").cast("string")
+    entities = spark.range(3).select(
+        F.lit("System").alias("label"), key.alias("key"), F.concat(F.lit("n"), key).alias("name"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("path")
+    )
+    edges = spark.range(2).select(
+        F.lit("USES").alias("rel_type"), F.lit("System").alias("source_label"), key.alias("source_key"),
+        F.lit("System").alias("target_label"), (F.col("id") + 1).cast("string").alias("target_key"),
+    )
+    listed = gr.graph_inventory(entities, edges)
+    rows = {(r["kind"], r["label"], r["source"], r["target"]) for r in listed.collect()}
+    assert rows == {("node", "System", f"n{n}", None) for n in range(3)} | {("edge", "USES", f"n{n}", f"n{n + 1}") for n in range(2)}
+    assert "BroadcastHashJoin" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_loose_matches_without_a_nested_loop(spark):
     draw = random.Random(7)
     word = lambda n: "".join(draw.choices("abc0", k=n))
