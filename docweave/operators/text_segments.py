@@ -48,9 +48,10 @@ class TextSegments:
             raise
 
     def segments(self) -> list:
-        """One row per segment: as many as batches."""
+        """One row per segment, in the order in which they were added: as many as batches."""
         try:
-            return self.spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments").collect()
+            rows = self.spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments")
+            return rows.select("*", F.col("_metadata.file_modification_time").alias("added")).orderBy("added").collect()
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
                 return []

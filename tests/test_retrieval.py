@@ -240,3 +240,12 @@ def test_hot_run_keeps_whole_results(spark):
     for r in rt.merge_context(df, "seq", 24, by=["run"]).orderBy("run", "position").collect():
         got.setdefault(r["run"], []).append(r["id"])
     assert got == {run: ids[:24] for run, ids in expected.items()}
+
+
+def test_segments_come_in_the_order_they_were_added(spark, tmp_path):
+    index = TextSegments(spark, str(tmp_path / "order"))
+    batches = [f"batch{n}" for n in range(6)]
+    for batch in batches:
+        row = spark.createDataFrame([(batch, batch, 0, 0, 0, 0)], "segment string, batch string, n_docs long, n_words long, dead_docs long, dead_words long")
+        row.coalesce(1).write.mode("append").parquet(f"{index.path}/segments")
+    assert [s["batch"] for s in index.segments()] == batches
