@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,25 @@ def test_accepted_replies_are_strict_json(spark):
     payload, _ = ex.call_model(ScriptedModel(['{"entities": [{"label": "Control", "name": "x", "standard": NaN}]}']), "p", EngineConfig())
     df = spark.createDataFrame([("c", "security", payload)], "chunk_id string, doc_type string, payload string")
     assert [r["key"] for r in ex.merge_mentions(ex.entity_verdicts(df, SCHEMA, "chunk_id"), SCHEMA, "chunk_id").collect()] == ["x"]
+
+
+def test_relation_steps_are_short_enough_to_be_compiled(spark, capsys):
+    replies = spark.createDataFrame([(1, "architecture", "{}")], "n long, doc_type string, payload string")
+    ex.relation_verdicts(replies, GraphSchema.load(), "n").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM compiles no longer method
+
+
+def test_items_are_read_like_their_fields_one_by_one(spark):
+    texts = [
+        '{"a": [{"x": "t", "y": 1}, 7, "loose", null, {"x": null}, {"z": 0}]}',
+        '{"a": [{"x": true, "y": "true"}, {"x": [1], "y": "[1]"}, {"x": {"b": 1}, "y": "{"}, [], {"x": 1.5}]}',
+        '{"a": 3}', '{"a": null}', "{}", "prose", None, " ```json\n{\"a\": [{\"x\": \"}\"}]}\n``` ", "} {", '```\n{"a"```',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, payload string")
+    parsed = pl.parse_object(F.col("payload"))
+    at_once = rows.select("n", F.posexplode(pl.read_items(parsed, "a", ["x", "y"])).alias("i", "r")).select("n", "i", "r.x", "r.y", F.col("r").isNotNull())
+    single = rows.select("n", F.posexplode(pl.items(parsed, "a")).alias("i", "v")).withColumn("t", pl.texts(F.col("v"), ["x", "y"]))
+    single = single.select("n", "i", *[pl.scalar(F.col("v"), F.col("t"), c).alias(c) for c in ("x", "y")], pl.is_object(F.col("v")))
+    found = sorted(map(tuple, at_once.collect()), key=str)
+    assert len(found) == 12 and found == sorted(map(tuple, single.collect()), key=str)
