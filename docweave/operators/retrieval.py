@@ -114,7 +114,7 @@ def term_frequencies(toks: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(toks) > 0, tx.let(F.array_sort(toks), runs))
+    return F.when(F.size(toks) > 0, tx.let(F.sort_array(toks), runs))
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -249,3 +249,10 @@ def test_segments_come_in_the_order_they_were_added(spark, tmp_path):
         row = spark.createDataFrame([(batch, batch, 0, 0, 0, 0)], "segment string, batch string, n_docs long, n_words long, dead_docs long, dead_words long")
         row.coalesce(1).write.mode("append").parquet(f"{index.path}/segments")
     assert [s["batch"] for s in index.segments()] == batches
+
+
+def test_words_of_a_text_are_sorted_without_a_comparison_per_pair(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "ä", "B"],), ([],)], "toks array<string>")
+    counted = rows.select(rt.term_frequencies(F.col("toks")).alias("e"))
+    assert "array_sort(" not in counted._jdf.queryExecution().optimizedPlan().toString()  # compares by an expression that is not compiled
+    assert [r["e"] and [tuple(e) for e in r["e"]] for r in counted.collect()] == [[("B", 1), ("a", 1), ("b", 2), ("ä", 1)], None]
