@@ -53,6 +53,19 @@ def test_replacing_a_document_takes_its_edges(spark):
     assert {(r["source_key"], r["target_key"]) for r in after.collect()} == {("b", "c"), ("a", "c")}
 
 
+def test_batch_is_resolved_once_and_gives_the_provenance(spark):
+    first = F.struct(F.lit(None).cast("long").alias("doc"), F.lit(-1).cast("long").alias("chunk"))
+    entities = spark.createDataFrame([("System", k) for k in "abc"], "label string, key string").withColumn("first_seen", first)
+    one = spark.createDataFrame([relation("a", "b", "c1", "d1", 1), relation("b", "c", "c2", "d2", 2), relation("a", "c", "c3", "d3", 3)], RELATION)
+    state = gr.upsert_edges(None, gr.last_assertions(one), entities, None)
+    two = spark.createDataFrame([relation("b", "c", "c9", "d1", 1), relation("c", "a", "c8", "d1", 1)], RELATION)
+    after = gr.upsert_edges(state, gr.last_assertions(two), entities, spark.createDataFrame([("d1",)], "doc_id string"))
+    found = {(r["source_key"], r["target_key"]): (r["source_chunk"], r["source_document"]) for r in after.collect()}
+    assert found == {("b", "c"): ("c9", "d1"), ("c", "a"): ("c8", "d1"), ("a", "c"): ("c3", "d3")}
+    plan = after._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Aggregate [" in line and "max(" in line for line in plan) == 2  # one for each batch
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     entities = spark.createDataFrame(
