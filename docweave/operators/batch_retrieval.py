@@ -29,6 +29,8 @@ SLICE_BYTES = 64 << 20
 SCORE_DIGITS = 9
 # Scores (chunks x questions) that a task holds at a time.
 SCORED_CELLS = 200_000
+# Texts whose words a task holds at a time.
+TEXTS_AT_ONCE = 256
 # Fixed value: what lies between index terms.
 NOT_A_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -122,7 +124,7 @@ def question_counts(chunks: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     schema = pa.schema([("id", id_type), ("length", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(start, TEXTS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             split = pc.split_pattern_regex(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), NOT_A_WORD)
             flat, bounds = split.flatten(), split.offsets.to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))

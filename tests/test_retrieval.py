@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,35 @@ def test_words_of_a_text_are_sorted_without_a_comparison_per_pair(spark):
     counted = rows.select(rt.term_frequencies(F.col("toks")).alias("e"))
     assert "array_sort(" not in counted._jdf.queryExecution().optimizedPlan().toString()  # compares by an expression that is not compiled
     assert [r["e"] and [tuple(e) for e in r["e"]] for r in counted.collect()] == [[("B", 1), ("a", 1), ("b", 2), ("ä", 1)], None]
+
+
+def test_words_are_counted_in_every_text_of_a_large_batch(spark):
+    texts = [None if i % 11 == 0 else " ".join(["alpha"] * (i % 3) + ["beta", f"w{i}"] * (i % 2) + ["É_1"]) for i in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    counts = br.question_counts(rows, ["alpha", "beta", "é_1"])
+    found = {r["id"]: (r["length"], dict(zip(r["terms"], r["tfs"]))) for r in counts.collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        assert found[i] == (len(words), {n: words.count(w) for n, w in enumerate(["alpha", "beta", "é_1"]) if w in words})
+
+
+class OneBatch:
+    """Stands for a table of texts: hands over the function that a task would run."""
+
+    def __init__(self, rows):
+        self.schema = rows.schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_a_task_holds_the_words_of_a_few_texts_only(spark):
+    rows = spark.createDataFrame([], "id long, text string")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["a b"] * 1000})
+    out = list(br.question_counts(OneBatch(rows), ["a"])(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= br.TEXTS_AT_ONCE < 1000
+    assert [i for b in out for i in b.column("id").to_pylist()] == list(range(1000))
+    assert {tuple(x) for b in out for x in b.column("terms").to_pylist()} == {(0,)} and {n for b in out for n in b.column("length").to_pylist()} == {2}
