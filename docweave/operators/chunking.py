@@ -16,7 +16,7 @@ import re
 import tokenize
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,6 +250,8 @@ SEGMENTS = T.ArrayType(
     )
 )
 MODULE = "module"
+# Sources that a task takes up at a time.
+SOURCES_AT_ONCE = 128
 
 
 def _top_level(source: str, lines: list[str]) -> list[tuple[str, int, int, str]]:
@@ -327,12 +329,14 @@ def _segments(source: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
-@F.pandas_udf(SEGMENTS)
-def python_segments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(SEGMENTS)
+def python_segments(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("symbol", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("body", pa.string())]))
     for batch in batches:
-        yield batch.map(
-            lambda source: [dict(zip(("symbol", "first", "last", "body"), s)) for s in _segments(source)]
-        )
+        # A task holds the sources and segments of a few rows in Python, however many arrive at once.
+        for start in range(0, len(batch), SOURCES_AT_ONCE):
+            few = batch.slice(start, SOURCES_AT_ONCE).to_pylist()
+            yield pa.array([[dict(zip(("symbol", "first", "last", "body"), s)) for s in _segments(source)] for source in few], kind)
 
 
 def code_chunks(segments: Column, text: Column, path: Column, size: int, overlap: int) -> Column:

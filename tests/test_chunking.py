@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
@@ -211,3 +212,11 @@ def test_section_requests(spark):
     found = {(r["source_path"], r["section"]): r["content"] for r in lookup_sections(asked, docs).collect()}
     assert found["data/g.md", "Safety"].startswith("## Safety")
     assert found["data/g.md", None] == GUIDE and found["data/none.md", "Safety"] is None
+
+
+def test_segments_are_handed_on_a_few_sources_at_a_time():
+    sources = pa.array([f"x = {i}\n" if i % 7 else None for i in range(1000)])
+    pieces = list(ck.python_segments.func(iter([sources, sources[:0], sources[:3]])))
+    assert max(map(len, pieces)) <= ck.SOURCES_AT_ONCE < 1000
+    found = [s for piece in pieces for s in piece.to_pylist()]
+    assert len(found) == 1003 and found[0] == [] and found[8] == [{"symbol": "", "first": 1, "last": 1, "body": "x = 8"}] and found[1001] == found[1]
