@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +24,13 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docweave.llm.common import WordCache, joined_ids, small_batches, split_words, table, text_slices, work_folder, written
+from docweave.llm.common import WordCache, small_batches, table, text_slices, work_folder, written
 
 END_ID = 2
 FILE_BYTES = 64_000_000
+# Ids that are counted at once.
+COUNT_IDS = 1 << 20
 
 # One record is a header (id, id present, tokens, control bytes, data bytes), then both streams.
 HEADER = "<qbqqq"
@@ -55,31 +55,45 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(WordCache):
-    """Word, as it stands behind a blank, to its ids."""
+    """Word, as it stands behind a blank or with the line feed before it, to its ids."""
 
-    def __init__(self, encode, blank: str):
+    CACHE_WORDS = 300_000
+    CACHE_LETTERS = 64  # longer words are seldom met again
+
+    def __init__(self, encoder: "Encoder"):
         super().__init__()
-        self.encode, self.blank = encode, blank
-        self.first_words: Words = self
+        self.encode, self.merges, self.letter = encoder.ids, encoder.tokenizer.model.tokenize, np.dtype(encoder.width).char
+        self.letters = _byte_letters()
+        self.line_feed = self.encode("\n")
+        self.signs = {sign: self.encode(sign) for sign in ".,"}
 
     def keeps(self, word: str) -> bool:
-        return "\n" not in word  # a word and the next line's first are seldom met again
+        return len(word) <= self.CACHE_LETTERS
 
     def make(self, word: str) -> bytes:
-        head, line, tail = word.partition("\n")
-        if line:  # the pre-tokenizer ends a word at white space; what follows a line feed has no blank
-            return self[head] + self.encode("\n") + (self.first_words[tail] if tail else b"")
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha():  # and between letters and signs
-            return self[word[:-1]] + self.first_words[word[-1]]
-        return self.encode(self.blank + word) if self.blank + word else b""
+        if word.isalpha() and word.isascii():  # most words; the vocabulary writes these bytes as they are
+            return self.packed(self.merges("\u0120" + word))
+        # The pre-tokenizer ends a word between letters and signs.
+        if word[-1:] in self.signs and "A" <= word[-2:-1] < "\u0250" and word[-2].isalpha():
+            return self[word[:-1]] + self.signs[word[-1]]
+        first = word[:1] == "\n"
+        own, before = (word[1:], self.line_feed) if first else (" " + word, b"")
+        letters = word[1:] if first else word
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return before + self.encode(own)
+        # One word of Latin letters to any pre-tokenizer: straight to the merges.
+        return before + self.packed(self.merges(own.encode().decode("latin-1").translate(self.letters)))
+
+    def packed(self, found: list) -> bytes:
+        return struct.pack(f"<{len(found)}{self.letter}", *[t.id for t in found])
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; a word's ids are looked up once per worker.
+    """Ids of whole texts by the tokenizers library; a word's ids are looked up while the word is still met.
 
-    A byte-level pre-tokenizer never joins what stands before a blank with the blank itself unless white
-    space stands on both sides, so a text is cut at its single blanks. Texts with wider white space go to
-    the library whole, as do all texts under a tokenizer of another kind.
+    A byte-level pre-tokenizer never joins what stands before a blank or a line feed with it unless white space
+    stands on both sides, so a text is cut there. Texts with wider white space go to the library whole, as do all
+    texts under a tokenizer of another kind.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -91,35 +105,20 @@ class Encoder:
         self.cut = kind.get("type") == "ByteLevel" and not kind["add_prefix_space"] and kind["use_regex"]
         self.cut = self.cut and parts["normalizer"] is None and parts["truncation"] is None
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.byte_letters = _byte_letters()
         if self.cut:
-            self.first_words = Words(self._ids, "")
-            self.words = Words(self._ids, " ")
-            self.words.first_words = self.first_words
-
-    def _ids(self, text: str) -> bytes:
-        letters = text[1:] if text[:1] == " " else text
-        if self.cut and letters.isalpha() and max(letters) < "\u0250":  # one word to any pre-tokenizer: straight to the merges
-            mapped = text.encode().decode("latin-1").translate(self.byte_letters)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.width).tobytes()
+            self.words = Words(self)
+
+    def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width``."""
-        cut = [i for i, text in enumerate(texts) if self.cut and text and not _has_wide_space(text)]
-        out = [b""] * len(texts)
-        if cut:
-            words, order, begins = split_words([texts[i] for i in cut])
-            pieces = [self.words[w] for w in words]
-            # A text's first word has no blank before it.
-            first = [words[w] for w in order[begins[:-1]]]
-            order[begins[:-1]] = np.arange(len(first)) + len(pieces)
-            pieces += [self.first_words[w] if w else b"" for w in first]
-            for i, ids in zip(cut, joined_ids(pieces, order, begins, self.width)):
-                out[i] = ids.tobytes()
-        for i in set(range(len(texts))).difference(cut):
-            out[i] = self._ids(texts[i])
-        return out
+        return [self._words(text) if self.cut and text and not _has_wide_space(text) else self.ids(text) for text in texts]
+
+    def _words(self, text: str) -> bytes:
+        # With a line feed before it, a text's first word is looked up like a line's; that line feed is left out again.
+        words = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        return b"".join(map(self.words.__getitem__, words))[len(self.words.line_feed) :]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -178,14 +177,29 @@ def tokenized(docs: DataFrame, id_column: str, text_column: str, tokenizer_file:
     return ordered.mapInArrow(encode, "part long, seq long, id long, ids binary")
 
 
+def flat_ids(column: pa.Array, width: str) -> Iterator[np.ndarray]:
+    """The ids of all rows, at most about twice ``COUNT_IDS`` at a time."""
+    held, count = [], 0
+    for data in column:
+        ids = np.frombuffer(data.as_buffer(), dtype=width)
+        for start in range(0, len(ids), COUNT_IDS):
+            held.append(ids[start : start + COUNT_IDS])
+            count += len(held[-1])
+            if count >= COUNT_IDS:
+                yield np.concatenate(held)
+                held, count = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def frequency_ranks(tokens: DataFrame, width: str) -> DataFrame:
     """(token, n, rank) of every id in use, from all documents; as many rows as the vocabulary has at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                found = np.bincount(np.frombuffer(data.as_buffer(), dtype=width))
+            for ids in flat_ids(batch.column(0), width):
+                found = np.bincount(ids)
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found
@@ -216,7 +230,8 @@ def write_corpus(
     path = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
     width = encoder(path).width
     tokens = written(tokenized(docs, id_column, text_column, path, end_id), "tokens", "zstd")
-    frequency_ranks(tokens, width).write.parquet(f"{folder}/ranks")
+    with small_batches(spark):
+        frequency_ranks(tokens, width).write.parquet(f"{folder}/ranks")
     by_token = spark.read.parquet(f"{folder}/ranks").select("token", "rank").toPandas()  # bounded by the vocabulary
     rank_of = np.zeros(int(by_token.token.max()) + 1 if len(by_token) else 1, dtype="<u4")
     rank_of[by_token.token.to_numpy()] = by_token["rank"].to_numpy()
@@ -307,9 +322,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "token-files")
     write_corpus(table(spark, sf_dir, "documents"), folder)
 
-    @F.pandas_udf(T.LongType())
-    def checksum(ids):
-        return ids.map(zlib.crc32)
-
     rows = read_corpus(spark, folder)
-    return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), checksum("ids").alias("ids_crc32"))
+    return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -49,6 +49,17 @@ def test_runs_of_line_feeds_equal_the_librarys():
     assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
 
 
+def test_kept_words_are_bounded(monkeypatch):
+    own = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_files.Words, "CACHE_WORDS", 50)
+    texts = [f"Line{i}\nNext{i} word{i}, {'x' * 300}{i} end{i}." for i in range(500)]
+    expected = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
+    caches = [x for x in vars(own).values() if isinstance(x, dict)]
+    held = [w for cache in caches for w in [*cache, *cache.old]]
+    assert held and len(held) <= 100 and max(map(len, held)) < 100
+
+
 def test_packed_ranks_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], dtype="<u4")
     for n in range(len(ranks) + 1):
