@@ -182,6 +182,20 @@ def test_pseudo_likelihood_prefers_the_corpus_order(spark):
     assert rows[0]["log_likelihood"] == pytest.approx(160 * rows[0]["mean_log_likelihood"])
 
 
+def test_texts_are_split_into_tokens_once(spark):
+    mark = "ſplit-once"
+    docs = spark.createDataFrame([(i, f"{mark} red apple {i}") for i in range(6)], "doc_id long, text string").repartition(3)
+    seen = masked_lm.Vocabulary({"red": 0, "apple": 1}, np.zeros(masked_lm.CLASSES), np.full((256, 256), -1.0))
+    split = masked_lm.classified(docs, seen).select("doc_id", "_split.*").collect()
+    assert all(len(r["classes"]) == 4 and list(r["classes"])[1:3] == [0, 1] for r in split)
+    spelled = [mark, "0"]
+    expected = sum(-float(len(w.lower().encode()) + 1) + np.log(masked_lm.OTHER_CLASSES) for w in spelled)
+    assert all(r["within"] == pytest.approx(expected) for r in split)
+    # Training and scores read the table of classes, not the texts.
+    plan = masked_lm.score_documents(docs)._jdf.queryExecution().toString()
+    assert "classes" in plan and "text" not in plan.split("Physical Plan")[1]
+
+
 def test_each_token_is_scored_from_both_sides():
     network = masked_lm.Network()
     context, target = masked_lm.windows([np.array([5, 6, 7]), np.array([8])])
