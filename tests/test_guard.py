@@ -120,3 +120,27 @@ def test_verdict_column(spark, statement, verdict):
 def test_column_names():
     assert guard.unique_columns(["a", "a", "b", "a"]) == ["a", "a_2", "b", "a_3"]
     assert guard.unique_columns(["a", "a_2", "a"]) == ["a", "a_2", "a_3"]
+
+
+def test_values_to_miss_are_listed_once(spark):
+    once = guard.distinct_lists("SELECT key FROM nodes WHERE name <> 'x NOT IN (SELECT' AND key NOT IN (SELECT (source_key) FROM edges)")
+    assert once == "SELECT key FROM nodes WHERE name <> 'x NOT IN (SELECT' AND key NOT IN (SELECT DISTINCT * FROM (SELECT (source_key) FROM edges))"
+    for hard in ("SELECT key FROM nodes WHERE key NOT IN (SELECT source_key FROM edges -- )\n)", "SELECT key FROM nodes WHERE key NOT IN ('a', 'b')", "SELECT r'\\' FROM nodes WHERE key NOT IN (SELECT ')')"):
+        assert guard.distinct_lists(hard) == hard
+    edges = spark.createDataFrame([("R", "a"), ("R", "a"), ("S", None), ("T", "b")], "rel_type string, source_key string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "key string")
+    nodes.createOrReplaceTempView("few_nodes")
+    edges.createOrReplaceTempView("few_edges")
+    for tail, keys in (
+        ("key NOT IN (SELECT source_key FROM few_edges WHERE rel_type = 'R')", ["b", "c"]),
+        ("key NOT IN (SELECT source_key FROM few_edges)", []),
+        ("key NOT IN (SELECT source_key FROM few_edges WHERE rel_type = 'none')", ["None", "a", "b", "c"]),
+        ("key NOT IN (SELECT source_key FROM few_edges WHERE rel_type = 'R' AND source_key NOT IN (SELECT source_key FROM few_edges WHERE rel_type = 'T'))", ["b", "c"]),
+        ("key NOT IN (WITH w AS (SELECT source_key FROM few_edges WHERE rel_type = 'R' LIMIT 2) SELECT * FROM w)", ["b", "c"]),
+    ):
+        statement = f"SELECT key FROM few_nodes WHERE {tail}"
+        assert sorted(str(r["key"]) for r in spark.sql(statement).collect()) == keys
+        found = guard.checked(spark, statement, ("few_nodes", "few_edges"))
+        assert sorted(str(r["key"]) for r in found.collect()) == keys and found.columns == ["key"]
+    plan = guard.checked(spark, "SELECT key FROM few_nodes WHERE key NOT IN (SELECT source_key FROM few_edges WHERE rel_type = 'R')", ("few_nodes", "few_edges"))
+    assert "Aggregate [source_key" in plan._jdf.queryExecution().optimizedPlan().toString()
