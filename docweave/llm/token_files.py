@@ -13,6 +13,7 @@ or repeated tasks are without effect.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from docweave.llm.common import WordCache, small_batches, table, text_slices, wo
 
 END_ID = 2
 FILE_BYTES = 64_000_000
-# Ids that are counted at once.
+# Ids that are counted, packed or unpacked at once.
 COUNT_IDS = 1 << 20
 
 # One record is a header (id, id present, tokens, control bytes, data bytes), then both streams.
@@ -55,45 +56,55 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(WordCache):
-    """Word, as it stands behind a blank or with the line feed before it, to its ids."""
+    """Word, as it stands behind a blank or with the line feed before it, to its ids.
 
-    CACHE_WORDS = 300_000
+    A key that begins with a blank stands for the signs after it, right behind a word.
+    """
+
+    CACHE_WORDS = 600_000
     CACHE_LETTERS = 64  # longer words are seldom met again
 
     def __init__(self, encoder: "Encoder"):
         super().__init__()
-        self.encode, self.merges, self.letter = encoder.ids, encoder.tokenizer.model.tokenize, np.dtype(encoder.width).char
-        self.letters = _byte_letters()
+        self.encode, self.merges = encoder.ids, encoder.tokenizer.model.tokenize
+        letter_of = _byte_letters()
+        # Latin letters in the vocabulary's writing of their bytes.
+        self.letters = {c: "".join(map(letter_of.get, c.encode())) for c in map(chr, range(0x250)) if c.isalpha()}
+        ids = np.arange(max(encoder.tokenizer.get_vocab().values()) + 1, dtype=encoder.width)
+        self.id_bytes = [i.tobytes() for i in ids]
         self.line_feed = self.encode("\n")
-        self.signs = {sign: self.encode(sign) for sign in ".,"}
 
     def keeps(self, word: str) -> bool:
         return len(word) <= self.CACHE_LETTERS
 
     def make(self, word: str) -> bytes:
         if word.isalpha() and word.isascii():  # most words; the vocabulary writes these bytes as they are
-            return self.packed(self.merges("\u0120" + word))
+            return self.merged("\u0120" + word)
         # The pre-tokenizer ends a word between letters and signs.
-        if word[-1:] in self.signs and "A" <= word[-2:-1] < "\u0250" and word[-2].isalpha():
-            return self[word[:-1]] + self.signs[word[-1]]
-        first = word[:1] == "\n"
-        own, before = (word[1:], self.line_feed) if first else (" " + word, b"")
-        letters = word[1:] if first else word
-        if not letters.isalpha() or max(letters) >= "\u0250":
+        stem = word.rstrip(string.punctuation)
+        if stem != word and stem[-1:] in self.letters:
+            return self[stem] + self[" " + word[len(stem) :]]
+        first = word[:1]
+        if first == " ":
+            return self.encode(word[1:])
+        own, before = (word[1:], self.line_feed) if first == "\n" else (" " + word, b"")
+        letters = word[1:] if first == "\n" else word
+        try:  # one word of Latin letters to any pre-tokenizer: straight to the merges
+            written = "".join([self.letters[c] for c in letters])
+        except KeyError:
             return before + self.encode(own)
-        # One word of Latin letters to any pre-tokenizer: straight to the merges.
-        return before + self.packed(self.merges(own.encode().decode("latin-1").translate(self.letters)))
+        return before + self.merged(written if first == "\n" else "\u0120" + written)
 
-    def packed(self, found: list) -> bytes:
-        return struct.pack(f"<{len(found)}{self.letter}", *[t.id for t in found])
+    def merged(self, written: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.merges(written)])
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library; a word's ids are looked up while the word is still met.
 
     A byte-level pre-tokenizer never joins what stands before a blank or a line feed with it unless white space
-    stands on both sides, so a text is cut there. Texts with wider white space go to the library whole, as do all
-    texts under a tokenizer of another kind.
+    stands on both sides, so a text is cut there. Texts with wider white space or an added token in them go to the
+    library whole, as do all texts under a tokenizer of another kind.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -104,6 +115,7 @@ class Encoder:
         kind = parts["pre_tokenizer"] or {}
         self.cut = kind.get("type") == "ByteLevel" and not kind["add_prefix_space"] and kind["use_regex"]
         self.cut = self.cut and parts["normalizer"] is None and parts["truncation"] is None
+        self.added = [t["content"] for t in parts["added_tokens"]]
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         if self.cut:
             self.words = Words(self)
@@ -113,7 +125,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width``."""
-        return [self._words(text) if self.cut and text and not _has_wide_space(text) else self.ids(text) for text in texts]
+        return [self._words(text) if self.cut and text and not self._is_whole(text) else self.ids(text) for text in texts]
+
+    def _is_whole(self, text: str) -> bool:
+        return _has_wide_space(text) or any(t in text for t in self.added)
 
     def _words(self, text: str) -> bytes:
         # With a line feed before it, a text's first word is looked up like a line's; that line feed is left out again.
@@ -131,27 +146,45 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _encoders[tokenizer_file]
 
 
-def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(control bytes, data bytes) of ``ranks``."""
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Where each code stands if every record's codes begin at a new control byte; ``counts`` are the records' codes."""
+    padded = -(-counts // 4) * 4
+    shift = np.cumsum(padded) - padded - (np.cumsum(counts) - counts)
+    return np.arange(int(counts.sum())) + np.repeat(shift, counts)
+
+
+def pack_records(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, data bytes of each record) of records with ``counts`` of the ``ranks`` on end."""
     ranks = ranks.astype("<u4", copy=False)
-    codes = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
-    padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
-    padded[: len(codes)] = codes
+    codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    padded = np.zeros(int((-(-counts // 4)).sum()) * 4, dtype=np.uint8)
+    padded[_places(counts)] = codes
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     used = np.arange(4, dtype=np.uint8) <= codes[:, None]
-    return control.astype(np.uint8), ranks.view(np.uint8).reshape(-1, 4)[used]
+    ends = np.concatenate(([0], np.cumsum(codes, dtype=np.int64)))[np.cumsum(counts)]
+    return control.astype(np.uint8), ranks.view(np.uint8).reshape(-1, 4)[used], np.diff(ends, prepend=0) + counts
 
 
-def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
-    """The ranks behind both streams."""
-    lengths = LENGTHS[control].reshape(-1)[:count]
+def unpack_records(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks behind both streams of records with ``counts`` ranks, on end."""
+    lengths = LENGTHS[control].reshape(-1)[_places(counts)]
     used = np.arange(4, dtype=np.uint8) < lengths[:, None]
-    out = np.zeros((count, 4), dtype=np.uint8)
+    out = np.zeros((len(lengths), 4), dtype=np.uint8)
     out[used] = data
     return out.reshape(-1).view("<u4")
 
 
+def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(control bytes, data bytes) of ``ranks``."""
+    return pack_records(ranks, np.array([len(ranks)]))[:2]
+
+
+def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
+    """The ranks behind both streams."""
+    return unpack_records(control, data, np.array([count]))
+
+
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
@@ -192,6 +225,20 @@ def flat_ids(column: pa.Array, width: str) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def id_runs(batch: pa.RecordBatch, column: str, width: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """``batch`` in runs of rows, and the ids of each row; about ``COUNT_IDS`` in a run, or one row of more."""
+    start, held, count = 0, [], 0
+    for row, data in enumerate(batch.column(batch.schema.get_field_index(column))):
+        ids = np.frombuffer(data.as_buffer(), dtype=width)
+        if held and count + len(ids) > COUNT_IDS:
+            yield batch.slice(start, row - start), held
+            start, held, count = row, [], 0
+        held.append(ids)
+        count += len(ids)
+    if held:
+        yield batch.slice(start), held
+
+
 def frequency_ranks(tokens: DataFrame, width: str) -> DataFrame:
     """(token, n, rank) of every id in use, from all documents; as many rows as the vocabulary has at most."""
 
@@ -243,13 +290,17 @@ def write_corpus(
         system, root = _filesystem(folder)
         stream, rows, name = None, [], ""
         part = first = seq = held = documents = total = 0
+        runs = (run for batch in batches for run in id_runs(batch, "ids", width))
         # A file holds a run of one part; another begins where the scan starts elsewhere or the file is full.
-        for batch in batches:
-            for own_part, own_seq, doc_id, data in zip(*(batch.column(i) for i in range(4))):
-                own_part, own_seq, doc_id = own_part.as_py(), own_seq.as_py(), doc_id.as_py()
-                ids = np.frombuffer(data.as_buffer(), dtype=width)
-                control, packed = pack(shared.value[ids])
-                if stream is None or (own_part, own_seq) != (part, seq + 1) or held + len(packed) > file_bytes:
+        for records, ids in runs:
+            counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            control, packed, sizes = pack_records(shared.value[np.concatenate(ids)], counts)
+            control, packed = memoryview(control.tobytes()), memoryview(packed.tobytes())
+            keys = (records.column(i).to_pylist() for i in range(3))
+            at_control = at_packed = 0
+            for own_part, own_seq, doc_id, n, n_packed in zip(*keys, counts.tolist(), sizes.tolist()):
+                n_control = -(-n // 4)
+                if stream is None or (own_part, own_seq) != (part, seq + 1) or held + n_packed > file_bytes:
                     if stream is not None:
                         stream.close()
                         rows.append((part, first, name, documents, total))
@@ -257,12 +308,13 @@ def write_corpus(
                     stream = system.open_output_stream(f"{root}/documents/{name}", buffer_size=1 << 20)
                     part, first, held, documents, total = own_part, own_seq, 0, 0, 0
                 seq = own_seq
-                stream.write(struct.pack(HEADER, doc_id or 0, doc_id is not None, len(ids), len(control), len(packed)))
-                stream.write(control.tobytes())
-                stream.write(packed.tobytes())
-                held += len(packed) + len(control) + struct.calcsize(HEADER)
+                stream.write(struct.pack(HEADER, doc_id or 0, doc_id is not None, n, n_control, n_packed))
+                stream.write(control[at_control : at_control + n_control])
+                stream.write(packed[at_packed : at_packed + n_packed])
+                at_control, at_packed = at_control + n_control, at_packed + n_packed
+                held += n_packed + n_control + struct.calcsize(HEADER)
                 documents += 1
-                total += len(ids)
+                total += n
         if stream is not None:
             stream.close()
             rows.append((part, first, name, documents, total))
@@ -292,26 +344,29 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held: list[tuple] = []
-                size = 0
+                count = 0
                 with system.open_input_stream(f"{path}/documents/{name}", buffer_size=1 << 20) as stream:
                     while header := stream.read(struct.calcsize(HEADER)):
                         doc_id, present, n, n_control, n_data = struct.unpack(HEADER, header)
-                        control = np.frombuffer(stream.read(n_control), dtype=np.uint8)
-                        data = np.frombuffer(stream.read(n_data), dtype=np.uint8)
-                        ids = shared.value[unpack(control, data, n)]
-                        held.append((doc_id if present else None, start, ids.tobytes()))
-                        start, size = start + n, size + 4 * n
-                        if size > 16_000_000:
-                            yield _rows(held)
-                            held, size = [], 0
-                yield _rows(held)
+                        if held and count + n > COUNT_IDS:
+                            yield _rows(held, shared.value)
+                            held, count = [], 0
+                        held.append((doc_id if present else None, start, n, stream.read(n_control), stream.read(n_data)))
+                        start, count = start + n, count + n
+                if held:
+                    yield _rows(held, shared.value)
 
     spread = listed.select("name", "start").repartition(max(1, files.count()))
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*held)) or [()] * 3
+def _rows(held: list[tuple], token_of: np.ndarray) -> pa.RecordBatch:
+    doc_ids, starts, counts, control, data = zip(*held)
+    counts = np.array(counts)
+    control, data = (np.frombuffer(b"".join(x), dtype=np.uint8) for x in (control, data))
+    ids = token_of[unpack_records(control, data, counts)].tobytes()
+    ends = (4 * np.cumsum(counts)).tolist()
+    columns = [doc_ids, starts, [ids[a:b] for a, b in zip([0, *ends], ends)]]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "ids"]
     )

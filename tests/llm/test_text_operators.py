@@ -60,6 +60,30 @@ def test_kept_words_are_bounded(monkeypatch):
     assert held and len(held) <= 100 and max(map(len, held)) < 100
 
 
+def test_a_word_is_merged_once_whatever_signs_follow(monkeypatch):
+    own = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = ["", ".", ",", "!!!", "%%%", "...", '")', "'", "<|endoftext|>", "|>"]
+    texts = [f"{word}{end} {word}{end}\n{word}{end}" for word in ("word", "été", "it's", "a-b", "3") for end in signs]
+    expected = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
+    library, asked = token_files.Encoder.ids, []
+    monkeypatch.setattr(token_files.Encoder, "ids", lambda self, text: asked.append(text) or library(self, text))
+    own = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode([f"the word{end} été{end}" for end in signs if "|" not in end])
+    assert not [text for text in asked if any(c.isalpha() for c in text)]
+
+
+def test_records_packed_together_equal_single_ones():
+    draw = np.random.default_rng(5)
+    ranks = [(draw.integers(0, 2**32, n) >> draw.integers(0, 32, n)).astype("<u4") for n in (1, 0, 4, 7, 300, 0, 2)]
+    counts = np.array([len(x) for x in ranks])
+    control, data, sizes = token_files.pack_records(np.concatenate(ranks), counts)
+    single = [token_files.pack(x) for x in ranks]
+    assert control.tolist() == np.concatenate([c for c, _ in single]).tolist()
+    assert data.tolist() == np.concatenate([d for _, d in single]).tolist() and sizes.tolist() == [len(d) for _, d in single]
+    assert token_files.unpack_records(control, data, counts).tolist() == np.concatenate(ranks).tolist()
+
+
 def test_packed_ranks_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], dtype="<u4")
     for n in range(len(ranks) + 1):
