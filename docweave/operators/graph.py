@@ -142,7 +142,10 @@ def display_name(*columns: str) -> Column:
 
 
 def graph_inventory(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every node and every edge triple as (kind, label, source, target) rows, duplicates removed."""
+    """Every node and every edge triple as (kind, label, source, target) rows, duplicates removed.
+
+    Edges meet names by key first: labels are few, and rows sorted by them would be told apart by whole comparisons.
+    """
     names = entities.select("label", "key", display_name("name", "id", "path").alias("shown"))
     nodes = names.select(
         F.lit("node").alias("kind"), "label", F.col("shown").alias("source"), F.lit(None).cast("string").alias("target")
@@ -150,11 +153,11 @@ def graph_inventory(entities: DataFrame, edges: DataFrame) -> DataFrame:
     triples = (
         edges.join(
             sorted_side(names.select(F.col("label").alias("source_label"), F.col("key").alias("source_key"), F.col("shown").alias("source"))),
-            ["source_label", "source_key"],
+            ["source_key", "source_label"],
         )
         .join(
             sorted_side(names.select(F.col("label").alias("target_label"), F.col("key").alias("target_key"), F.col("shown").alias("target"))),
-            ["target_label", "target_key"],
+            ["target_key", "target_label"],
         )
         .select(F.lit("edge").alias("kind"), F.col("rel_type").alias("label"), "source", "target")
     )

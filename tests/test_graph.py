@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
+from docweave.functions import text as tx
 from docweave.operators import graph as gr
 from docweave.operators.embedding import HashingEmbedder
 from docweave.operators.loose_paths import check_paths, held_names, loose_matches
@@ -165,6 +166,26 @@ def test_names_of_the_inventory_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in listed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_paths_from_one_hub_are_not_held_against_all_its_edges(spark, monkeypatch):
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(expected, actual):
+        compared.add(1)
+        return bool(expected) and bool(actual) and (expected in actual or actual in expected)
+
+    monkeypatch.setattr(tx, "loosely_matches", lambda expected, actual: same(expected, actual))
+    spokes = [f"spoke {n:02}x" for n in range(60)]
+    edges = spark.createDataFrame([e for s in spokes for e in (("hub", "HAS", s), (s, "IN", "hub"))] + [("hub", "IN", "town")], "source string, type string, target string")
+    paths = [(s, ["the hub", "has", f"a {s}", "in", "hub", "in" if s != spokes[7] else "has", "town"]) for s in spokes] + [("back", ["town", "in", "hub"])]
+    found = check_paths(
+        spark.createDataFrame(paths, "path_id string, path array<string>"), spark.createDataFrame([(n,) for n in [*spokes, "hub", "town"]], "name string"), edges
+    )
+    got = {r["path_id"]: (r["hops_ok"], r["full_ok"]) for r in found.collect()}
+    assert got == {s: (3, True) if s != spokes[7] else (2, False) for s in spokes} | {"back": (0, False)}
+    assert compared.value < 5 * len(spokes)  # one edge and one later step a path, and the hub's edges once; not paths times edges
+
+
 def test_loose_matches_without_a_nested_loop(spark):
     draw = random.Random(7)
     word = lambda n: "".join(draw.choices("abc0", k=n))
