@@ -1,5 +1,6 @@
 """Operators over single texts, on small tables and against brute force."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -220,6 +221,34 @@ def test_texts_are_split_into_tokens_once(spark):
     assert "classes" in plan and "text" not in plan.split("Physical Plan")[1]
 
 
+def test_every_word_has_its_share_of_the_corpus(spark):
+    draw = random.Random(6)
+    texts = [None, "  ", "red\u00a0fox Red\x1ffox rare", "red fox fox other other", "red rest"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counted = masked_lm.word_counts(docs)
+    counts = collections.Counter(w for t in texts for w in (t or "").lower().split())
+    assert {r["word"]: r["n"] for r in counted.collect()} == counts
+    vocabulary = masked_lm.Vocabulary({"red": 0}, np.zeros(masked_lm.CLASSES), np.log(np.linspace(0.01, 0.4, 1 << 16)).reshape(256, 256))
+    split = masked_lm.classified(docs, vocabulary).select(F.monotonically_increasing_id().alias("row"), "text", "_split.*").localCheckpoint()
+    sums, within = masked_lm.word_shares(split, counted, vocabulary)
+    others = sum(n for w, n in counts.items() if w != "red")
+    alone = {w for w, n in counts.items() if any((t or "").lower().split().count(w) == n for t in texts)}
+    own_share = sum(counts[w] for w in alone) / others
+
+    def share(word):
+        return np.log(own_share) + vocabulary.classify([word])[1][0] if word in alone else np.log(counts[word] * masked_lm.OTHER_CLASSES / others)
+
+    for r in split.join(sums, "row", "left").select("text", within.alias("found")).collect():
+        assert r["found"] == pytest.approx(sum(share(w) for w in (r["text"] or "").lower().split() if w != "red"))
+    # Rare words that two documents have are likelier than those of one.
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=8))
+    fill = [f"f{n:03}" for n in range(masked_lm.WORDS)]
+    made = [" ".join(draw.choices(fill, k=30) + [word() for _ in range(10)]) for _ in range(40)]
+    rows = masked_lm.score_documents(spark.createDataFrame(list(enumerate(made + made[:20])), "doc_id long, text string")).collect()
+    mean = {r["doc_id"]: r["mean_log_likelihood"] for r in rows}
+    assert min(mean[i] for i in range(20)) > max(mean[i] for i in range(20, 40)) + 0.5
+
+
 def test_each_token_is_scored_from_both_sides():
     network = masked_lm.Network()
     context, target = masked_lm.windows([np.array([5, 6, 7]), np.array([8])])
